@@ -32,7 +32,7 @@ UNDER = {"nav": 8.0, "footer": 8.0, "aside": 7.0, "form": 7.0, "menu": 8.0, "dia
 #: Words of a class, id or role that mark boilerplate, and content.
 MARKS = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments respond disqus cookie cookies consent footer header masthead menu nav navbar navigation navigationmenu notice alert popup modal promo promotion promoted related recommended share sharing sidebar side social sponsor sponsored subscribe newsletter signup login search toolbar widget widgets pagination pager copyright legal disclaimer complementary contentinfo".split())
 GOOD = frozenset("article content entry post story main body text".split())
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|\"[^\"]*\Z|'[^']*\Z)*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|style|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 SPLIT = re.compile(r"[^a-z]+")
 

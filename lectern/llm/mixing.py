@@ -81,7 +81,7 @@ def mixed(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     edge of the budget stays whole if at least half of it is taken). Documents without words go."""
     part = mix(documents, id_col, text_col, source_col).select(
         F.col("doc_id").alias("_mix_id"), F.col("source").alias("_mix_source"), F.col("size").alias("_mix_size"),
-        F.floor(F.col("taken") / F.col("size") + 0.5).cast("int").alias("_mix_n")).where("_mix_n > 0")
+        F.floor(F.try_divide("taken", "size") + 0.5).cast("int").alias("_mix_n")).where("_mix_n > 0")
     # equal rows (same id, source, size) share their copies: the sum of what they take goes to each in turn
     part = part.groupBy("_mix_id", "_mix_source", "_mix_size").agg(F.max("_mix_n").alias("_mix_n"))
     keys = documents.withColumn("_mix_words", words(F.col(text_col)))

@@ -31,7 +31,7 @@ ALLOWED = (
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",  # UUID
     r"^[0-9_=/+-]*$",  # numbers alone
     r"^[A-Za-z]+$",  # one word
-    r"^[A-Za-z0-9]*(?:[_/=+-]+[A-Za-z]*)*$",  # words joined by separators
+    r"^[A-Za-z]*(?:[_/=+-]+[A-Za-z]*)*$",  # words joined by separators
     r"^(?:/[A-Za-z0-9_-]{1,19})+/?$",  # paths of short names
     r"(?i:0123456789|abcdefghijklm|qwertyuiop|example|placeholder|changeme|xxxxxx)",  # runs in order, samples
 )
