@@ -1,4 +1,4 @@
-"""The queries of the library and their DuckDB equivalents, gathered from the plan modules."""
+"""All queries of the library and their DuckDB equivalents, gathered from the plan modules."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from lectern.plans import documents, library, reading, text  # noqa: F401  (they register on import)
+from lectern.plans.registry import ORACLE_SQL, QUERIES  # noqa: F401
