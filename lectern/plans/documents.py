@@ -70,8 +70,8 @@ def href_resolve(spark, folder):
 def toc_rows(spark, folder):
     """A contents tree from parts: brand, type within it, part within that."""
     p = table(spark, folder, "part")
-    rows = [p.select("p_brand", F.lit("").alias("b"), F.lit(0).cast("long").alias("c"), F.lit(0).alias("depth")).distinct(),
-            p.select("p_brand", F.col("p_type").alias("b"), F.lit(0).cast("long").alias("c"), F.lit(1).alias("depth")).distinct(),
+    rows = [p.select("p_brand", F.lit("").alias("b"), F.lit(-1).cast("long").alias("c"), F.lit(0).alias("depth")).distinct(),
+            p.select("p_brand", F.col("p_type").alias("b"), F.lit(-1).cast("long").alias("c"), F.lit(1).alias("depth")).distinct(),
             p.select("p_brand", F.col("p_type").alias("b"), F.col("p_partkey").alias("c"), F.lit(2).alias("depth"))]
     df = tc.union_all(rows)
     from pyspark.sql import Window as W
@@ -80,7 +80,7 @@ def toc_rows(spark, folder):
                      F.when(F.col("depth") == 0, F.col("p_brand")).when(F.col("depth") == 1, F.col("b")).otherwise(F.col("c").cast("string")).alias("label"))
 
 
-TOC_SQL = """r AS (SELECT DISTINCT p_brand AS book, '' AS b, 0 AS c, 0 AS depth FROM part UNION ALL SELECT DISTINCT p_brand, p_type, 0, 1 FROM part UNION ALL SELECT p_brand, p_type, p_partkey, 2 FROM part),
+TOC_SQL = """r AS (SELECT DISTINCT p_brand AS book, '' AS b, -1 AS c, 0 AS depth FROM part UNION ALL SELECT DISTINCT p_brand, p_type, -1, 1 FROM part UNION ALL SELECT p_brand, p_type, p_partkey, 2 FROM part),
 t AS (SELECT book, b, c, row_number() OVER (PARTITION BY book ORDER BY b, c) AS ord, depth FROM r),
 pa AS (SELECT x.book, x.ord, x.depth, max(y.ord) AS parent FROM t x LEFT JOIN t y ON x.book = y.book AND y.ord < x.ord AND y.depth < x.depth GROUP BY 1, 2, 3)"""
 
@@ -127,10 +127,10 @@ def nearest_heading_page(spark, folder):
     return tc.nearest_within(o.where("o_orderkey % 5 <> 0"), marks, "o_custkey", "day", "mark", 12).select("o_orderkey", "mark")
 
 
-@query("SELECT l_orderkey, l_linenumber, arg_min(p_partkey, p_partkey) AS first_part FROM lineitem LEFT JOIN part ON p_brand = 'Brand#' || (11 + l_partkey % 5) GROUP BY 1, 2")
+@query("WITH l AS (SELECT DISTINCT l_partkey, 'Brand#' || (1 + l_partkey % 7) AS b FROM lineitem), f AS (SELECT p_brand, min(p_partkey) AS first_part FROM part GROUP BY 1) SELECT l_partkey, first_part FROM l LEFT JOIN f ON b = p_brand")
 def toc_first_match(spark, folder):
-    lines = table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", F.concat(F.lit("Brand#"), (11 + F.col("l_partkey") % 5).cast("string")).alias("p_brand")).dropDuplicates(["l_orderkey", "l_linenumber"])
-    return tc.first_match(lines, table(spark, folder, "part"), "p_brand", "p_partkey", "p_partkey").select("l_orderkey", "l_linenumber", F.col("p_partkey").alias("first_part"))
+    lines = table(spark, folder, "lineitem").select("l_partkey", F.concat(F.lit("Brand#"), (1 + F.col("l_partkey") % 7).cast("string")).alias("p_brand")).distinct()
+    return tc.first_match(lines, table(spark, folder, "part"), "p_brand", "p_partkey", "p_partkey").select("l_partkey", F.col("p_partkey").alias("first_part"))
 
 
 @query("""WITH k AS (SELECT c_custkey, 'c' || c_custkey AS a, 'n' || c_nationkey AS b FROM customer), v AS (SELECT 'c' || (n_nationkey * 7) AS key, n_name AS name FROM nation UNION ALL SELECT 'n' || n_nationkey, 'by nation ' || n_nationkey FROM nation WHERE n_nationkey % 2 = 0)
