@@ -8,6 +8,7 @@ from lectern.functions.text import excerpt
 
 #: Hits that a search page shows, and that an assistant is given.
 SHOWN, GIVEN = 200, 6
+MARK_KIND = "struct<start:int,end:int>"
 
 
 def text_nodes(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -22,10 +23,14 @@ def places(text: Column, query: str, case_sensitive: bool = False) -> Column:
     Pieces between matches and the matches give the places, so a match whose length differs
     from the query's (by case folding) keeps its own.
     """
-    kind = "array<struct<start:int,end:int>>"
     if not query:
-        return F.array().cast(kind)
-    pattern = ("" if case_sensitive else "(?iu)") + "\\Q" + query.replace("\\E", "\\E\\\\E\\Q") + "\\E"
+        return F.array().cast(f"array<{MARK_KIND}>")
+    return marks(text, ("" if case_sensitive else "(?iu)") + "\\Q" + query.replace("\\E", "\\E\\\\E\\Q") + "\\E")
+
+
+def marks(text: Column, pattern: str) -> Column:
+    """Array of (start, end) of non-overlapping matches of a pattern, by code points."""
+    kind = f"array<{MARK_KIND}>"
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     both = F.filter(F.zip_with(F.split(text, pattern, -1), found, lambda a, b: F.struct(F.length(a).alias("gap"), F.length(b).alias("n"))), lambda x: x["n"].isNotNull())
     start = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
