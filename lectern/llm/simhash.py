@@ -1,13 +1,20 @@
 """SimHash near-duplicates by bit-sliced comparison.
 
-Distinct fingerprints within `RADIUS` bits agree in one of four 16-bit blocks, and then in
-one of four 12-bit parts of the other 48 bits, so 16 keys of 28 bits bring every close pair
-together. Rows of a key are compared bit-sliced: 64 fingerprints at a time are stored as 64
-vertical bit planes, a query's bits are XORed against the planes, and two carry-save
-counter bits with a sticky overflow bit count the differences of all 64 at once; a block is
-abandoned when every member has overflowed. A key's links go out as a star on its smallest
-member, so links grow with rows, not with pairs. Keys with more than `CHUNK` fingerprints
-are cut into chunks which meet pair by pair, each pair of chunks in a group of its own.
+Rows of a key are compared bit-sliced: fingerprints are stored 64 at a time as vertical bit
+planes, a query's bits are XORed against the planes, and carry-save counter bits with a
+sticky overflow count the differences of all 64 at once; a block is abandoned when every
+member is beyond the radius. A key's links go out as a star on its smallest member, so
+links grow with rows, not with pairs. Keys with more than `CHUNK` fingerprints are cut into
+chunks which meet pair by pair, each pair of chunks in a group of its own.
+
+`near_duplicates` is exact for 64 bits and `RADIUS`: fingerprints within three bits agree in
+one of four 16-bit blocks, and then in one of four 12-bit parts of the other 48 bits, so 16
+keys of 28 bits bring every close pair together.
+
+`deduplicated` looks for texts whose word five-grams have a similarity of 0.8 or more. 64
+bits tell that apart too coarsely, so it takes `WIDE` x 64 bits, in which a similarity of
+0.8 differs by 39 bits of 256 on average (standard deviation 6), and a radius of
+`WIDE_RADIUS`. `BANDS` keys of 16 bits each bring 99 % of such pairs together.
 
 Defined cases: null, empty and blank texts have fingerprint zero, linked like any other;
 one or two words are one shingle; equal rows share a component; null ids belong to a
@@ -29,6 +36,8 @@ from lectern.llm.common import map_rows, stored
 SHINGLE = 3
 SEED = 42
 RADIUS = 3
+#: The finer fingerprint of `deduplicated`: words of 64 bits, radius, keys, and words of a shingle.
+WIDE, WIDE_RADIUS, BANDS, BAND_BITS, WIDE_SHINGLE = 4, 48, 64, 16, 5
 #: Fingerprints of one key that are compared in one group.
 CHUNK = 16_384
 #: Rows of small groups gathered for one vectorised pass.
@@ -37,113 +46,122 @@ _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
-def fingerprint(text: str | None, size: int = SHINGLE) -> int:
-    """64-bit SimHash of the text's word shingles, repeats counted."""
+def fingerprint(text: str | None, size: int = SHINGLE, wide: int = 1) -> list[int]:
+    """SimHash of the text's word shingles, repeats counted, as 64-bit words. The first is that of the hash itself."""
     words = text.encode().translate(_LOWER).split() if text else []
     if not words:
-        return 0
+        return [0] * wide
     grams = [b" ".join(words)] if len(words) < size else [b" ".join(g) for g in zip(*(words[i:] for i in range(size)), strict=False)]
-    ones, n = np.zeros(64, np.int64), len(grams)
+    ones, n = np.zeros((wide, 64), np.int64), len(grams)
     digest = xxhash.xxh64_intdigest
     for at in range(0, n, 8192):
         h = np.array([digest(g, SEED) for g in grams[at : at + 8192]], "<u8")
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
+        for w in range(wide):
+            ones[w] += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+            if w + 1 < wide:
+                h = (h ^ h >> np.uint64(31)) * np.uint64(0x9E3779B97F4A7C15)
+                h ^= h >> np.uint64(29)
+    return np.packbits(2 * ones > n, axis=1, bitorder="little").view("<u8")[:, 0].tolist()
 
 
-def fingerprints(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE) -> DataFrame:
-    """doc_id and fp, the fingerprint as a signed long."""
+def names(wide: int) -> list[str]:
+    return ["fp"] if wide == 1 else [f"fp{k}" for k in range(wide)]
+
+
+def fingerprints(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, wide: int = 1) -> DataFrame:
+    """doc_id and fp (or fp0, fp1, ...): the fingerprint in signed longs."""
     kind = documents.schema[id_col].dataType.simpleString()
 
     def make() -> Callable:
         def step(cols: dict) -> dict:
-            fp = np.array([fingerprint(t, size) for t in cols["text"]], np.uint64)
-            return {"doc_id": cols["doc_id"], "fp": pa.array(fp.view(np.int64))}
+            fp = np.array([fingerprint(t, size, wide) for t in cols["text"]], np.uint64).reshape(-1, wide).view(np.int64)
+            return {"doc_id": cols["doc_id"]} | {n: pa.array(np.ascontiguousarray(fp[:, k])) for k, n in enumerate(names(wide))}
 
         return step
 
-    return map_rows(documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), make, f"doc_id {kind}, fp long")
+    return map_rows(documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), make, f"doc_id {kind}, " + ", ".join(f"{n} long" for n in names(wide)))
 
 
 def _planes(fp: np.ndarray) -> np.ndarray:
-    """Bit planes (64, words) of the fingerprints, 64 to a word; len(fp) is a multiple of 64."""
-    bits = np.unpackbits(fp.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    """Bit planes (bits, words) of fingerprints (n, wide), 64 to a word; n is a multiple of 64."""
+    bits = np.unpackbits(np.ascontiguousarray(fp).view(np.uint8), axis=1, bitorder="little")
     return np.ascontiguousarray(np.packbits(bits.T, axis=1, bitorder="little")).view(np.uint64)
 
 
-def close(planes: np.ndarray, words: np.ndarray, queries: np.ndarray, radius: int = RADIUS) -> np.ndarray:
-    """For each (word of 64 members, query fingerprint): a mask of the members within the radius."""
+def close(planes: np.ndarray, words: np.ndarray, queries: np.ndarray, asked: np.ndarray, radius: int) -> np.ndarray:
+    """For each (word of 64 members, query fingerprint, mask of members asked for): a mask of those within the radius."""
     out = np.zeros(len(words), np.uint64)
-    alive = np.arange(len(words))
-    ones = np.zeros(len(words), np.uint64)
-    twos, over = ones.copy(), ones.copy()
-    for bit in range(64):
-        differs = planes[bit][words] ^ (np.uint64(0) - ((queries >> np.uint64(bit)) & np.uint64(1)))
-        carry = ones & differs
-        ones ^= differs
-        over |= twos & carry
-        twos ^= carry
-        if bit in (7, 15, 23, 31, 39, 47, 55):
-            keep = over != ALL
-            if not keep.all():
-                alive, words, queries = alive[keep], words[keep], queries[keep]
-                ones, twos, over = ones[keep], twos[keep], over[keep]
+    alive, bits = np.arange(len(words)), len(planes)
+    beyond = ~asked
+    digits = [np.zeros(len(words), np.uint64) for _ in range(radius.bit_length())]
+    step = 8 if bits <= 64 else 16
+    for bit in range(bits):
+        carry = planes[bit][words] ^ (np.uint64(0) - ((queries[:, bit // 64] >> np.uint64(bit % 64)) & np.uint64(1)))
+        for d in digits:
+            held = d & carry
+            d ^= carry
+            carry = held
+        beyond |= carry
+        if bit + 1 == bits or bit >= radius and bit % step == step - 1:
+            more, same = np.zeros_like(beyond), np.full_like(beyond, ALL)
+            for k in range(len(digits) - 1, -1, -1):
+                if radius >> k & 1:
+                    same &= digits[k]
+                else:
+                    more |= same & digits[k]
+                    same &= ~digits[k]
+            keep = (beyond | more) != ALL
+            if bit + 1 == bits:
+                out[alive] = ~(beyond | more)
+            elif not keep.all():
+                alive, words, queries, beyond = alive[keep], words[keep], queries[keep], beyond[keep]
+                digits = [d[keep] for d in digits]
                 if not len(alive):
-                    return out
-    assert radius == 3, "two counter bits and an overflow count to three"
-    out[alive] = ~over
+                    break
     return out
 
 
-def links(key: np.ndarray, fp: np.ndarray, side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links (fingerprint, smallest one of its connected group) within runs of equal key.
+def links(key: np.ndarray, fp: np.ndarray, side: np.ndarray, radius: int = RADIUS) -> np.ndarray:
+    """For each place the first place of its connected group, within runs of equal key; fp has a row per place.
 
     side 0: all members meet each other; sides 1 and 2: members of side 1 meet those of side 2.
     """
+    n = len(key)
     starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-    sizes = np.diff(np.r_[starts, len(key)])
-    padded = -(-sizes // 64) * 64
-    base = np.r_[0, np.cumsum(padded)]
-    slot = np.repeat(base[:-1] - starts, sizes) + np.arange(len(key))
-    table = np.zeros(base[-1], np.uint64)
-    table[slot] = fp
-    real = np.zeros(base[-1], bool)
-    real[slot] = side != 1
-    planes = _planes(table)
+    ends = np.r_[starts[1:], n]
+    of = np.repeat(np.arange(len(starts)), ends - starts)
+    room = np.zeros((-(-n // 64) * 64, fp.shape[1]), np.uint64)
+    room[:n] = fp
+    planes = _planes(room)
+    real = np.zeros(len(room), bool)
+    real[:n] = side != 1
     valid = np.packbits(real.reshape(-1, 64), axis=1, bitorder="little").view(np.uint64)[:, 0]
-    label = np.arange(len(key))
-    asks = np.flatnonzero(side != 2)
-    of = np.repeat(np.arange(len(starts)), sizes)
-    n_words = (padded // 64)[of[asks]]
-    pairs_a, pairs_b = [], []
-    cut = np.cumsum(n_words)
-    at = 0
+    label = np.arange(n)
+    asks = np.flatnonzero((side != 2) & ((ends - starts)[of] > 1))
+    low, high = starts[of[asks]], ends[of[asks]]
+    n_words = (high - 1) // 64 - low // 64 + 1
+    cut, at = np.cumsum(n_words), 0
+    pairs_a: list[np.ndarray] = []
+    pairs_b: list[np.ndarray] = []
     while at < len(asks):  # bounded batches of (query, word)
-        to = max(at + 1, int(np.searchsorted(cut, (cut[at - 1] if at else 0) + 500_000, "right")))
-        q = np.repeat(asks[at:to], n_words[at:to])
+        to = max(at + 1, int(np.searchsorted(cut, (cut[at - 1] if at else 0) + 300_000, "right")))
+        q = np.repeat(np.arange(at, to), n_words[at:to])
         first = np.cumsum(n_words[at:to]) - n_words[at:to]
-        word = (base[:-1] // 64)[of[q]] + np.arange(len(q)) - np.repeat(first, n_words[at:to])
-        mask = close(planes, word, fp[q]) & valid[word]
-        hit = np.flatnonzero(mask)
+        word = (low // 64)[q] + np.arange(len(q)) - np.repeat(first, n_words[at:to])
+        begin, end = np.maximum(low[q] - word * 64, 0), np.minimum(high[q] - word * 64, 64)
+        mask = (ALL >> (64 - (end - begin)).astype(np.uint64)) << begin.astype(np.uint64)
+        found = close(planes, word, fp[asks[q]], mask & valid[word], radius)
+        hit = np.flatnonzero(found)
         if len(hit):
-            bits = np.unpackbits(mask[hit].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            row, col = np.nonzero(bits)
-            back = np.full(base[-1], -1)
-            back[slot] = np.arange(len(key))
-            a, b = q[hit][row], back[word[hit][row] * 64 + col]
-            other = a != b
-            pairs_a.append(a[other])
-            pairs_b.append(b[other])
+            row, col = np.nonzero(np.unpackbits(found[hit].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
+            a, b = asks[q[hit[row]]], word[hit[row]] * 64 + col
+            pairs_a.append(a[a != b])
+            pairs_b.append(b[a != b])
         at = to
-        if sum(map(len, pairs_a)) > 2_000_000 or at >= len(asks):
-            if pairs_a:
-                label = _components(label, np.concatenate(pairs_a), np.concatenate(pairs_b))
+        if pairs_a and (sum(map(len, pairs_a)) > 2_000_000 or at >= len(asks)):
+            label = _components(label, np.concatenate(pairs_a), np.concatenate(pairs_b))
             pairs_a, pairs_b = [], []
-    smallest = np.full(len(key), ALL)
-    np.minimum.at(smallest, label, fp)
-    low = smallest[label]
-    moved = low != fp
-    return fp[moved], low[moved]
+    return label
 
 
 def _components(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -174,17 +192,41 @@ def _keys(fp: str = "fp") -> list:
     return out
 
 
-def candidate_links(distinct: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """Links (a, b) between distinct fingerprints (column fp) whose transitive closure joins all within the radius."""
-    keyed = distinct.select("fp", F.expr(f"inline(array({', '.join(_keys())}))")).drop("part")
-    counts = keyed.groupBy("key").count().where("count > 1")
-    hot = counts.where(F.col("count") > chunk).select(F.col("key").alias("hot_key"), F.ceil(F.col("count") / chunk).cast("int").alias("chunks"))
-    rows = keyed.join(counts.select("key"), "key", "left_semi").join(F.broadcast(hot) if hot.limit(10_001).count() <= 10_000 else hot, F.col("key") == F.col("hot_key"), "left")
-    mine = F.pmod(F.xxhash64("fp"), F.coalesce(F.col("chunks"), F.lit(1))).cast("int")
+def band_keys(distinct: DataFrame, wide: int) -> DataFrame:
+    """node, fp0, ... and key: one row per band, a key of `BAND_BITS` bits drawn from all of the fingerprint (the same every time)."""
+    draw = np.random.default_rng(SEED)
+    places = np.concatenate([draw.permutation(64 * wide) for _ in range(-(-BANDS * BAND_BITS // (64 * wide)))])[: BANDS * BAND_BITS].reshape(BANDS, BAND_BITS)
+    columns = ["node", *names(wide)]
+    schema = pa.schema([(c, pa.int64()) for c in (*columns, "key")])
+    powers = 1 << np.arange(BAND_BITS, dtype=np.int64)
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2048):
+                rows = np.column_stack([np.asarray(batch.column(batch.schema.get_field_index(c)))[at : at + 2048] for c in columns])
+                bits = np.unpackbits(np.ascontiguousarray(rows[:, 1:]).view(np.uint8), axis=1, bitorder="little")
+                keys = np.concatenate([bits[:, p].astype(np.int64) @ powers + (k << BAND_BITS) for k, p in enumerate(places)])
+                rows = np.tile(rows, (BANDS, 1))
+                yield pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(c)) for c in rows.T), pa.array(keys)], schema=schema)
+
+    return distinct.select(*columns).mapInArrow(spread, ", ".join(f"{c} long" for c in (*columns, "key")))
+
+
+def candidate_links(distinct: DataFrame, chunk: int = CHUNK, wide: int = 1, radius: int = RADIUS) -> DataFrame:
+    """Links (a, b) between nodes (column node, or fp itself) whose transitive closure joins all that keys bring within the radius."""
+    if wide == 1:
+        keyed = distinct.select(F.col("fp").alias("node"), "fp", F.expr(f"inline(array({', '.join(_keys())}))")).drop("part")
+    else:
+        keyed = band_keys(distinct, wide)
+    fps = names(wide)
+    counts = keyed.groupBy("key").count()
+    hot = stored(counts.where(F.col("count") > chunk).select(F.col("key").alias("hot_key"), F.ceil(F.col("count") / chunk).cast("int").alias("chunks")), "hot-keys")
+    rows = keyed.join(F.broadcast(hot) if hot.count() <= 10_000 else hot, F.col("key") == F.col("hot_key"), "left")
+    mine = F.pmod(F.xxhash64("node"), F.coalesce(F.col("chunks"), F.lit(1))).cast("int")
     meets = F.transform(F.sequence(F.lit(0), F.coalesce(F.col("chunks"), F.lit(1)) - 1), lambda o: F.struct(
         F.least(mine, o).alias("lo"), F.greatest(mine, o).alias("hi"), F.when(mine == o, 0).when(mine < o, 1).otherwise(2).alias("side")))
-    rows = rows.select("fp", "key", F.inline(meets))
-    rows = rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").select("key", "lo", "hi", "side", "fp")
+    rows = rows.select("node", *fps, "key", F.inline(meets))
+    rows = rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").select("key", "lo", "hi", "side", "node", *fps)
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,17 +238,16 @@ def candidate_links(distinct: DataFrame, chunk: int = CHUNK) -> DataFrame:
             group = np.repeat(np.arange(len(whole)), np.diff(np.r_[whole, len(rows)]))
             many = np.bincount(group)[group] > 1
             rows, group = rows[many], group[many]
-            a, b = links(group, rows[:, 4].copy().view(np.uint64), rows[:, 3]) if len(rows) else (np.zeros(0, np.uint64),) * 2
-            return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], schema=schema)
+            label = links(group, np.ascontiguousarray(rows[:, 5:]).view(np.uint64), rows[:, 3], radius) if len(rows) else np.zeros(0, np.int64)
+            moved = np.flatnonzero(label != np.arange(len(rows)))
+            return pa.RecordBatch.from_arrays([pa.array(rows[moved, 4]), pa.array(rows[label[moved], 4])], schema=schema)
 
         for batch in batches:
-            held.append(np.column_stack([np.asarray(batch.column(i)).astype(np.int64) for i in range(5)]))
+            held.append(np.column_stack([np.asarray(c).astype(np.int64) for c in batch.columns]))
             size += len(held[-1])
             if size >= PASS_ROWS:
                 rows = np.concatenate(held)
-                cut = len(rows)
-                last = (rows[:, :3] == rows[-1, :3]).all(axis=1)
-                cut = int(np.argmax(last))
+                cut = int(np.argmax((rows[:, :3] == rows[-1, :3]).all(axis=1)))
                 if cut:
                     yield flush(rows[:cut])
                 held, size = [rows[cut:]], len(rows) - cut
@@ -239,21 +280,30 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
 
+def grouped(documents: DataFrame, id_col: str, text_col: str, size: int, wide: int, radius: int) -> DataFrame:
+    """doc_id, the fingerprint's columns and component_id: the smallest doc_id that links reach, itself included."""
+    fps = names(wide)
+    docs = stored(fingerprints(documents, id_col, text_col, size, wide), "fingerprints")
+    node = F.col("fp") if wide == 1 else F.xxhash64(*fps)
+    distinct = stored(docs.groupBy(*fps).agg(F.min("doc_id").alias("least_id")).withColumn("node", node), "distinct")
+    roots = components(candidate_links(distinct, wide=wide, radius=radius)).withColumnRenamed("node", "linked")
+    named = distinct.join(roots, F.col("node") == F.col("linked"), "left").select("node", "least_id", F.coalesce("root", "node").alias("root"))
+    lowest = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    labels = named.join(lowest, "root").select(F.col("node").alias("of"), "component_id")
+    return docs.withColumn("node", node).join(labels, F.col("node") == F.col("of")).select("doc_id", *fps, "component_id")
+
+
 def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id that links reach, itself included)."""
-    docs = stored(fingerprints(documents, id_col, text_col, size), "fingerprints")
-    distinct = stored(docs.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "distinct")
-    roots = components(candidate_links(distinct))
-    named = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
-    lowest = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    labels = named.join(lowest, "root").select(F.col("fp").alias("of"), "component_id")
-    return docs.join(labels, F.col("fp") == F.col("of")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    found = grouped(documents, id_col, text_col, size, 1, RADIUS)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def deduplicated(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE) -> DataFrame:
-    """The documents, all columns, of which each component keeps one row: that of its smallest id (of rows that share
-    it, the one of the smallest text). Rows without an id cannot be named, so of these each different text stays once."""
-    found = near_duplicates(documents, id_col, text_col, size)
+def deduplicated(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WIDE_SHINGLE) -> DataFrame:
+    """The documents, all columns, of which each group of near copies (similarity of word shingles about 0.8 or more,
+    and what such links join) keeps one row: that of its smallest id (of rows that share it, the one of the smallest
+    text). Rows without an id cannot be named, so of these each different text stays once."""
+    found = grouped(documents, id_col, text_col, size, WIDE, WIDE_RADIUS)
     keep = found.where(F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))).select(F.col("doc_id").alias("_keep_id")).distinct()
     rows = documents.join(keep, F.col(id_col).eqNullSafe(F.col("_keep_id")), "left_semi")
     order = W.partitionBy(F.col(id_col), F.when(F.col(id_col).isNull(), F.col(text_col))).orderBy(F.col(text_col).asc_nulls_last())

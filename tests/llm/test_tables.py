@@ -107,8 +107,10 @@ def test_simhash_documents(docs, no_docs):
         least[root[f]] = min(i, least.get(root[f], i))
     got = sorted(map(tuple, simhash.near_duplicates(docs.where("doc_id is not null")).collect()))
     assert got == sorted((i, f"{f:016x}", least[root[f]]) for i, f in fp)
+    assert [simhash.fingerprint(r["text"])[0] for r in rows] == [f for _, f in fp]
     assert simhash.near_duplicates(no_docs).count() == 0
     kept = simhash.deduplicated(docs)
+    assert simhash.deduplicated(no_docs).count() == 0
     assert kept.columns == docs.columns and kept.where("doc_id = 1").count() == 1 and kept.where("doc_id in (4, 5)").count() == 0 and kept.where("doc_id is null").count() == 1
 
 
@@ -132,6 +134,46 @@ def test_simhash_links(spark, chunk):
     assert groups(found) == groups(want)
 
 
+def test_near_copies_go(spark):
+    import random
+
+    r = random.Random(2)
+    rows, originals = [], 60
+    for k in range(originals):
+        words = ["".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(r.randint(120, 400))]
+        rows.append((k, " ".join(words)))
+        for c in range(3):
+            copy = list(words)
+            for _ in range(max(1, len(words) // 60)):
+                copy[r.randrange(len(copy))] = "changed"
+            rows.append((1000 + 10 * k + c, " ".join(copy)))
+    kept = {x["doc_id"] for x in simhash.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert set(range(originals)) <= kept and len(kept) <= originals + 2
+
+
+@pytest.mark.parametrize("wide, radius", [(1, 3), (4, 48), (2, 20)])
+def test_bit_sliced_comparison(wide, radius):
+    rng = np.random.default_rng(4)
+    fp = rng.integers(0, 2**64, (300, wide), dtype=np.uint64)
+    for k in range(1, 150):
+        bits = rng.choice(64 * wide, rng.integers(0, 2 * radius), replace=False)
+        fp[k] = fp[k - 1]
+        for b in bits:
+            fp[k, b // 64] ^= np.uint64(1 << int(b % 64))
+    key = np.sort(rng.integers(0, 6, 300))
+    label = simhash.links(key, fp, np.zeros(300, np.int64), radius)
+    want = np.arange(300)
+    near = lambda a, b: key[a] == key[b] and sum(int(x ^ y).bit_count() for x, y in zip(fp[a], fp[b], strict=True)) <= radius
+    pairs = [(a, b) for a in range(300) for b in range(a) if near(a, b)]
+    for _ in range(300):
+        before = want.copy()
+        for a, b in pairs:
+            want[a] = want[b] = min(want[a], want[b])
+        if (before == want).all():
+            break
+    assert (label == want).all() and pairs
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(1)
     x = rng.standard_normal((3000, 24)).astype("f4")
