@@ -6,7 +6,7 @@ is a random projection. Lists are the cells of centroids fitted on a bounded sam
 distinct vector is in exactly one list, and big lists are cut into shards that are searched
 side by side. Within a list, a query reads one block of components after another and
 abandons candidates whose partial distance, scaled up, exceeds its k-th best by more than
-chance allows (a one-sided test). Survivors are scored exactly on the original vectors in
+chance allows (a one-sided test). How many lists a query visits is measured on the sample. Survivors are scored exactly on the original vectors in
 double precision.
 
 Equal vectors are indexed once, with the smallest ids that can ever be in an answer (k + 1
@@ -36,8 +36,8 @@ LIST_ROWS, SHARD_ROWS = 1000, 4000
 MOST_LISTS = 4096
 #: Rows the centroids are fitted on, at most.
 SAMPLE_ROWS = 40_000
-#: Lists a query visits: this share of them, but so many at least.
-PROBE_SHARE, LEAST_PROBES = 0.25, 12
+#: Recall to aim at, queries of the sample that show how many lists it takes, lists at least, and queries scanned together.
+TARGET, CALIBRATION, LEAST_PROBES, TOGETHER = 0.96, 400, 8, 256
 #: Components of a column block, and the factor of the test: larger abandons less.
 BLOCK, EPSILON = 16, 2.1
 SEED = 7
@@ -75,29 +75,51 @@ def nearest(x: np.ndarray, centre: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
-def adaptive_scan(rows: np.ndarray, query: np.ndarray, k: int) -> np.ndarray:
-    """Indices of rows (rotated) that the tests leave over for the query's k nearest."""
-    d = rows.shape[1]
-    alive = np.arange(len(rows))
-    if len(rows) <= k:
-        return alive
-    partial, limit = np.zeros(len(rows)), np.inf
+def adaptive_scan(rows: np.ndarray, queries: np.ndarray, k: int) -> list[np.ndarray]:
+    """For each query the indices of rows (both rotated) that the tests leave over for its k nearest.
+
+    One block of components after another adds to the partial distances of all pairs; a pair
+    whose scaled distance fails the test is abandoned, and rows that no query needs any more
+    leave the later blocks.
+    """
+    n, d = rows.shape
+    if n <= k:
+        return [np.arange(n)] * len(queries)
+    at_row = np.arange(n)
+    partial = np.zeros((len(queries), n), np.float32)
+    alive = np.ones_like(partial, bool)
+    limit = None
     for at in range(0, d, BLOCK):
-        partial = partial + ((rows[alive, at : at + BLOCK] - query[at : at + BLOCK]) ** 2).sum(axis=1)
+        x, q = rows[at_row, at : at + BLOCK], queries[:, at : at + BLOCK]
+        partial += (x**2).sum(axis=1) + (q**2).sum(axis=1)[:, None] - 2 * (q @ x.T)
         done = min(d, at + BLOCK)
-        if limit == np.inf:  # the whole distance of the k most promising bounds the k-th best
-            first = alive[np.argpartition(partial, k - 1)[:k]]
-            limit = ((rows[first] - query) ** 2).sum(axis=1).max()
-        if done < d:
-            keep = partial * (d / done) <= limit * (1 + EPSILON / np.sqrt(done)) ** 2 + 1e-6
-        else:
-            keep = partial <= limit * (1 + 1e-5) + 1e-6
-        alive, partial = alive[keep], partial[keep]
-    return alive
+        if limit is None:  # the whole distance of the k most promising bounds the k-th best
+            first = np.argpartition(partial, k - 1, axis=1)[:, :k]
+            limit = np.array([((rows[f] - one) ** 2).sum(axis=1).max() for f, one in zip(first, queries, strict=True)])[:, None]
+        slack = 1 + 1e-5 if done == d else (1 + EPSILON / np.sqrt(done)) ** 2 * done / d
+        alive &= partial <= limit * slack + 1e-4
+        keep = alive.any(axis=0)
+        if keep.mean() < 0.8:
+            at_row, partial, alive = at_row[keep], partial[:, keep], alive[:, keep]
+    return [at_row[m] for m in alive]
+
+
+def probes_needed(sample: np.ndarray, tails: np.ndarray, turn: np.ndarray, centre: np.ndarray, k: int, target: float) -> int:
+    """Lists a query must visit so that `target` of the sample's true neighbours lie in them: how well lists separate
+    vectors depends on the data, so it is measured on the sample (whose neighbours are further away than the table's)."""
+    asks = sample[:: max(1, len(sample) // CALIBRATION)][:CALIBRATION]
+    own = nearest(np.c_[sample, tails] @ turn, centre, 1)[:, 0]
+    order = nearest(np.c_[asks, np.zeros(len(asks))] @ turn, centre, len(centre))
+    place = np.argsort(order, axis=1)
+    ranks = []
+    for q, p in zip(asks, place, strict=True):
+        best = np.argsort(-(sample @ q), kind="stable")[: k + 1]
+        ranks.append(p[own[best]])
+    return int(np.quantile(np.concatenate(ranks), target, method="higher")) + 1 if ranks else 1
 
 
 def search(vectors: DataFrame, query_rows: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K,
-           probe_share: float = PROBE_SHARE, least_probes: int = LEAST_PROBES) -> DataFrame:
+           target: float = TARGET, least_probes: int = LEAST_PROBES) -> DataFrame:
     """query_id, rank, vec_id, score of the k best found for each row that query_rows selects."""
     spark = vectors.sparkSession
     out = "query_id long, rank int, vec_id long, score double"
@@ -116,9 +138,9 @@ def search(vectors: DataFrame, query_rows: Column, id_col: str = "vec_id", vecto
     share = min(1.0, 1.2 * SAMPLE_ROWS / n)
     drawn = index.where(F.pmod(F.xxhash64("vkey"), F.lit(1_000_003)) <= int(share * 1_000_003)).limit(SAMPLE_ROWS).select("vkey", "v").collect()
     sample = np.array([r["v"] for r in sorted(drawn)], float).reshape(-1, width)
-    sample = np.c_[sample, np.sqrt(np.maximum(0, longest - (sample**2).sum(axis=1)))] @ turn
-    centre = kmeans(sample, min(lists, len(sample))) if len(sample) else np.zeros((1, width + 1))
-    probes = min(len(centre), max(least_probes, int(np.ceil(probe_share * len(centre)))))
+    tails = np.sqrt(np.maximum(0, longest - (sample**2).sum(axis=1)))
+    centre = kmeans(np.c_[sample, tails] @ turn, min(lists, len(sample))) if len(sample) else np.zeros((1, width + 1))
+    probes = min(len(centre), max(least_probes, probes_needed(sample, tails, turn, centre, k, target)))
     sent = spark.sparkContext.broadcast((turn, centre))  # at most MOST_LISTS centroids
 
     def placer(count: int, lengthen: bool) -> Callable:
@@ -149,12 +171,13 @@ def search(vectors: DataFrame, query_rows: Column, id_col: str = "vec_id", vecto
             q = np.array(right["v"].tolist(), float)
             turned_q = (np.c_[q, np.zeros(len(q))] @ turn_).astype("f4")
             ids = left["ids"].tolist()
-            for key, one, turned_one in zip(right["vkey"], q, turned_q, strict=True):
-                some = adaptive_scan(turned, turned_one, k + 1)
-                scores = (x[some] * one).sum(axis=1)
-                best = sorted(((-s, int(i)) for s, at in zip(scores.tolist(), some, strict=True) for i in ids[at]))[: k + 1]
-                keys.append(key)
-                found.append([{"s": s, "i": i} for s, i in best])
+            for at in range(0, len(q), TOGETHER):
+                left_over = adaptive_scan(turned, turned_q[at : at + TOGETHER], k + 1)
+                for key, one, some in zip(right["vkey"][at : at + TOGETHER], q[at : at + TOGETHER], left_over, strict=True):
+                    scores = (x[some] * one).sum(axis=1)
+                    best = sorted(((-s, int(i)) for s, row in zip(scores.tolist(), some, strict=True) for i in ids[row]))[: k + 1]
+                    keys.append(key)
+                    found.append([{"s": s, "i": i} for s, i in best])
         return pd.DataFrame({"vkey": keys, "best": found})
 
     met = cand.groupBy("list", "shard").cogroup(asks.groupBy("list", "shard")).applyInPandas(visit, "vkey string, best array<struct<s:double,i:bigint>>")

@@ -34,8 +34,8 @@ END_ID = 0
 ROW_GROUP_BYTES = 16 * 1024 * 1024
 PAGE_BYTES = 256 * 1024
 #: Pieces, and words with their blank, whose ids a Python worker keeps; once full, a store takes no more.
-KEPT_PIECES = 1_000_000
-KEPT_WORDS = 300_000
+KEPT_PIECES = 500_000
+KEPT_WORDS = 200_000
 
 # The byte-level pre-tokenizer's pattern, spelled out for characters up to U+024F.
 _L, _N, _S = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \x85\xa0"
