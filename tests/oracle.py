@@ -8,7 +8,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 def rows(df):
     def plain(v):
-        if v is None or v is pd.NaT or (isinstance(v, float) and v != v):
+        if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float) and v != v):
             return "None"
         if isinstance(v, float):
             return str(int(v)) if v == int(v) else f"{v:.6f}"
