@@ -87,20 +87,26 @@ def adaptive_scan(rows: np.ndarray, queries: np.ndarray, k: int) -> list[np.ndar
         return [np.arange(n)] * len(queries)
     at_row = np.arange(n)
     partial = np.zeros((len(queries), n), np.float32)
-    alive = np.ones_like(partial, bool)
+    alive, sure = np.ones_like(partial, bool), np.zeros_like(partial, bool)
     limit = None
     for at in range(0, d, BLOCK):
         x, q = rows[at_row, at : at + BLOCK], queries[:, at : at + BLOCK]
         partial += (x**2).sum(axis=1) + (q**2).sum(axis=1)[:, None] - 2 * (q @ x.T)
         done = min(d, at + BLOCK)
+        if done == d:  # distances are whole now: only what rounding cannot tell from the k-th best stays
+            kth = np.partition(np.where(alive, partial, np.inf), k - 1, axis=1)[:, k - 1 : k]
+            rounding = 1e-5 * ((rows**2).sum(axis=1).max() + (queries**2).sum(axis=1))[:, None]
+            alive &= partial <= kth + rounding
+            break
         if limit is None:  # the whole distance of the k most promising bounds the k-th best
             first = np.argpartition(partial, k - 1, axis=1)[:, :k]
             limit = np.array([((rows[f] - one) ** 2).sum(axis=1).max() for f, one in zip(first, queries, strict=True)])[:, None]
-        slack = 1 + 1e-5 if done == d else (1 + EPSILON / np.sqrt(done)) ** 2 * done / d
-        alive &= partial <= limit * slack + 1e-4
+            np.put_along_axis(sure, first, True, axis=1)  # they stay, so that every query keeps k rows
+        slack = (1 + EPSILON / np.sqrt(done)) ** 2 * done / d
+        alive &= sure | (partial <= limit * slack + 1e-4)
         keep = alive.any(axis=0)
         if keep.mean() < 0.8:
-            at_row, partial, alive = at_row[keep], partial[:, keep], alive[:, keep]
+            at_row, partial, alive, sure = at_row[keep], partial[:, keep], alive[:, keep], sure[:, keep]
     return [at_row[m] for m in alive]
 
 
