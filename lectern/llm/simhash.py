@@ -11,10 +11,12 @@ chunks which meet pair by pair, each pair of chunks in a group of its own.
 one of four 16-bit blocks, and then in one of four 12-bit parts of the other 48 bits, so 16
 keys of 28 bits bring every close pair together.
 
-`deduplicated` looks for texts whose word five-grams have a similarity of 0.8 or more. 64
-bits tell that apart too coarsely, so it takes `WIDE` x 64 bits, in which a similarity of
-0.8 differs by 39 bits of 256 on average (standard deviation 6), and a radius of
-`WIDE_RADIUS`. `BANDS` keys of 16 bits each bring 99 % of such pairs together.
+`deduplicated` links texts whose sets of distinct word five-grams have a Jaccard similarity
+of `SIMILAR` or more. Fingerprints tell that apart too coarsely, so they are not used there:
+keys of `BANDS` bands of `BAND_ROWS` MinHash values bring candidates together (a pair at 0.8
+is missed with probability (1 - 0.8 ** 6) ** 36 = 0.00002), the members of a key then meet
+with their sets, and only pairs whose counted similarity is enough are linked. Keys with
+more than `SET_CHUNK` sets are cut into chunks which meet pair by pair.
 
 Defined cases: null, empty and blank texts have fingerprint zero, linked like any other;
 one or two words are one shingle; equal rows share a component; null ids belong to a
@@ -36,8 +38,12 @@ from lectern.llm.common import map_rows, stored
 SHINGLE = 3
 SEED = 42
 RADIUS = 3
-#: The finer fingerprint of `deduplicated`: words of 64 bits, radius, keys, and words of a shingle.
-WIDE, WIDE_RADIUS, BANDS, BAND_BITS, WIDE_SHINGLE = 4, 48, 64, 16, 5
+#: `deduplicated`: words of a shingle, similarity, bands and MinHash values of a band, and sets of a key in a chunk.
+WIDE_SHINGLE, SIMILAR, BANDS, BAND_ROWS, SET_CHUNK = 5, 0.8, 36, 6, 512
+#: Nodes of a key that are few.
+FEW = 64
+#: Shingles (columns) that the sets of a group are compared by at once.
+COLUMNS = 4096
 #: Fingerprints of one key that are compared in one group.
 CHUNK = 16_384
 #: Rows of small groups gathered for one vectorised pass.
@@ -192,41 +198,21 @@ def _keys(fp: str = "fp") -> list:
     return out
 
 
-def band_keys(distinct: DataFrame, wide: int) -> DataFrame:
-    """node, fp0, ... and key: one row per band, a key of `BAND_BITS` bits drawn from all of the fingerprint (the same every time)."""
-    draw = np.random.default_rng(SEED)
-    places = np.concatenate([draw.permutation(64 * wide) for _ in range(-(-BANDS * BAND_BITS // (64 * wide)))])[: BANDS * BAND_BITS].reshape(BANDS, BAND_BITS)
-    columns = ["node", *names(wide)]
-    schema = pa.schema([(c, pa.int64()) for c in (*columns, "key")])
-    powers = 1 << np.arange(BAND_BITS, dtype=np.int64)
-
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 2048):
-                rows = np.column_stack([np.asarray(batch.column(batch.schema.get_field_index(c)))[at : at + 2048] for c in columns])
-                bits = np.unpackbits(np.ascontiguousarray(rows[:, 1:]).view(np.uint8), axis=1, bitorder="little")
-                keys = np.concatenate([bits[:, p].astype(np.int64) @ powers + (k << BAND_BITS) for k, p in enumerate(places)])
-                rows = np.tile(rows, (BANDS, 1))
-                yield pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(c)) for c in rows.T), pa.array(keys)], schema=schema)
-
-    return distinct.select(*columns).mapInArrow(spread, ", ".join(f"{c} long" for c in (*columns, "key")))
-
-
-def candidate_links(distinct: DataFrame, chunk: int = CHUNK, wide: int = 1, radius: int = RADIUS) -> DataFrame:
-    """Links (a, b) between nodes (column node, or fp itself) whose transitive closure joins all that keys bring within the radius."""
-    if wide == 1:
-        keyed = distinct.select(F.col("fp").alias("node"), "fp", F.expr(f"inline(array({', '.join(_keys())}))")).drop("part")
-    else:
-        keyed = band_keys(distinct, wide)
-    fps = names(wide)
-    counts = keyed.groupBy("key").count()
+def met(keyed: DataFrame, counts: DataFrame, chunk: int) -> DataFrame:
+    """keyed with lo, hi and side: the chunks of its key that a row meets; counts (key, count) holds the keys' rows."""
     hot = stored(counts.where(F.col("count") > chunk).select(F.col("key").alias("hot_key"), F.ceil(F.col("count") / chunk).cast("int").alias("chunks")), "hot-keys")
     rows = keyed.join(F.broadcast(hot) if hot.count() <= 10_000 else hot, F.col("key") == F.col("hot_key"), "left")
     mine = F.pmod(F.xxhash64("node"), F.coalesce(F.col("chunks"), F.lit(1))).cast("int")
     meets = F.transform(F.sequence(F.lit(0), F.coalesce(F.col("chunks"), F.lit(1)) - 1), lambda o: F.struct(
         F.least(mine, o).alias("lo"), F.greatest(mine, o).alias("hi"), F.when(mine == o, 0).when(mine < o, 1).otherwise(2).alias("side")))
-    rows = rows.select("node", *fps, "key", F.inline(meets))
-    rows = rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").select("key", "lo", "hi", "side", "node", *fps)
+    return rows.select(*keyed.columns, F.inline(meets))
+
+
+def candidate_links(distinct: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """Links (a, b) between nodes (column node, or fp itself) whose transitive closure joins all that keys bring within the radius."""
+    keyed = distinct.select(F.col("fp").alias("node"), "fp", F.expr(f"inline(array({', '.join(_keys())}))")).drop("part")
+    rows = met(keyed, keyed.groupBy("key").count(), chunk)
+    rows = rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").select("key", "lo", "hi", "side", "node", "fp")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,7 +224,7 @@ def candidate_links(distinct: DataFrame, chunk: int = CHUNK, wide: int = 1, radi
             group = np.repeat(np.arange(len(whole)), np.diff(np.r_[whole, len(rows)]))
             many = np.bincount(group)[group] > 1
             rows, group = rows[many], group[many]
-            label = links(group, np.ascontiguousarray(rows[:, 5:]).view(np.uint64), rows[:, 3], radius) if len(rows) else np.zeros(0, np.int64)
+            label = links(group, np.ascontiguousarray(rows[:, 5:]).view(np.uint64), rows[:, 3]) if len(rows) else np.zeros(0, np.int64)
             moved = np.flatnonzero(label != np.arange(len(rows)))
             return pa.RecordBatch.from_arrays([pa.array(rows[moved, 4]), pa.array(rows[label[moved], 4])], schema=schema)
 
@@ -280,30 +266,151 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
 
-def grouped(documents: DataFrame, id_col: str, text_col: str, size: int, wide: int, radius: int) -> DataFrame:
-    """doc_id, the fingerprint's columns and component_id: the smallest doc_id that links reach, itself included."""
-    fps = names(wide)
-    docs = stored(fingerprints(documents, id_col, text_col, size, wide), "fingerprints")
-    node = F.col("fp") if wide == 1 else F.xxhash64(*fps)
-    distinct = stored(docs.groupBy(*fps).agg(F.min("doc_id").alias("least_id")).withColumn("node", node), "distinct")
-    roots = components(candidate_links(distinct, wide=wide, radius=radius)).withColumnRenamed("node", "linked")
+def labelled(docs: DataFrame, distinct: DataFrame, edges: DataFrame) -> DataFrame:
+    """docs (doc_id, node) with component_id: the smallest doc_id that links reach, itself included; distinct has node and least_id."""
+    roots = components(edges).withColumnRenamed("node", "linked")
     named = distinct.join(roots, F.col("node") == F.col("linked"), "left").select("node", "least_id", F.coalesce("root", "node").alias("root"))
     lowest = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
     labels = named.join(lowest, "root").select(F.col("node").alias("of"), "component_id")
-    return docs.withColumn("node", node).join(labels, F.col("node") == F.col("of")).select("doc_id", *fps, "component_id")
+    return docs.join(labels, F.col("node") == F.col("of")).drop("of")
 
 
 def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id that links reach, itself included)."""
-    found = grouped(documents, id_col, text_col, size, 1, RADIUS)
+    docs = stored(fingerprints(documents, id_col, text_col, size), "fingerprints")
+    distinct = stored(docs.groupBy("fp").agg(F.min("doc_id").alias("least_id")).withColumn("node", F.col("fp")), "distinct")
+    found = labelled(docs.withColumn("node", F.col("fp")), distinct, candidate_links(distinct))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def shingles(text: str | None, size: int = WIDE_SHINGLE) -> np.ndarray:
+    """Hashes of the text's distinct word shingles in ascending order; none for a text without words."""
+    words = text.encode().translate(_LOWER).split() if text else []
+    if not words:
+        return np.zeros(0, np.uint64)
+    digest = xxhash.xxh64_intdigest
+    grams = {b" ".join(words)} if len(words) < size else {b" ".join(g) for g in zip(*(words[i:] for i in range(size)), strict=False)}
+    return np.unique(np.fromiter((digest(g, SEED) for g in grams), np.uint64, len(grams)))
+
+
+def band_keys(hashes: np.ndarray) -> np.ndarray:
+    """A key for each of `BANDS` bands of `BAND_ROWS` least values under random orders: sets of similarity s share
+    a band's key with probability s ** BAND_ROWS, however large they are."""
+    draw = np.random.default_rng(SEED).integers(0, 2**64, (2, BANDS * BAND_ROWS), dtype=np.uint64)
+    least = np.full(BANDS * BAND_ROWS, ALL)
+    for at in range(0, len(hashes), 4096):
+        least = np.minimum(least, ((hashes[at : at + 4096, None] ^ draw[0]) * (draw[1] | np.uint64(1))).min(axis=0))
+    return np.array([xxhash.xxh64_intdigest(row.tobytes(), k) for k, row in enumerate(least.reshape(BANDS, BAND_ROWS))], np.uint64)
+
+
+def _lists(parts: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, parts)])
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.concatenate([*parts, np.zeros(0, np.uint64)]).view(np.int64)))
+
+
+def shingle_sets(documents: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
+    """doc_id, text, place (of the row), node (a hash of its set of shingles) and keys (of the set's bands)."""
+    kind = documents.schema[id_col].dataType.simpleString()
+
+    def make() -> Callable:
+        def step(cols: dict) -> dict:
+            sets = [shingles(t, size) for t in cols["text"]]
+            nodes = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets], np.uint64)
+            keys = [band_keys(x) if len(x) else x for x in sets]
+            return {n: cols[n] for n in ("doc_id", "text", "place")} | {"node": pa.array(nodes.view(np.int64)), "keys": _lists(keys)}
+
+        return step
+
+    rows = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("place"))
+    return map_rows(rows, make, f"doc_id {kind}, text string, place long, node long, keys array<long>", rows=256)
+
+
+def set_links(sets: list[np.ndarray], side: np.ndarray, least: float = SIMILAR) -> np.ndarray:
+    """For each set the first place of its connected group: sets are linked if their Jaccard similarity is `least` or more. Sides as in `links`."""
+    n, sizes = len(sets), np.array([len(x) for x in sets], np.int64)
+    _, column, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row, shared = np.repeat(np.arange(n), sizes), often[column] > 1
+    row, column = row[shared], (np.cumsum(often > 1) - 1)[column[shared]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    both = np.zeros((n, n), np.float32)
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        a, z = np.searchsorted(column, (at, at + COLUMNS))
+        held = np.zeros((n, int(column[z - 1]) + 1 - at), np.float32)
+        held[row[a:z], column[a:z] - at] = 1
+        both += held @ held.T
+    linked = both >= least * (sizes[:, None] + sizes - both) - 1e-6
+    linked &= (side[:, None] == 0) | (side[:, None] != side)
+    a, b = np.nonzero(np.triu(linked, 1))
+    return _components(np.arange(n), a, b)
+
+
+def similar_links(docs: DataFrame, distinct: DataFrame, size: int = WIDE_SHINGLE, least: float = SIMILAR, chunk: int = SET_CHUNK) -> DataFrame:
+    """Links (a, b) whose transitive closure joins all nodes that keys bring together with similar sets.
+
+    distinct holds each node once with the place of a row of docs; sets travel only for keys of two nodes or more.
+    """
+    keyed = docs.select("place", "node", "keys").join(distinct.select("place"), "place", "left_semi").select("place", "node", F.explode("keys").alias("key"))
+    keyed = stored(keyed, "keyed")
+    counts = stored(keyed.groupBy("key").count().where("count > 1"), "key-counts")
+    few = F.col("count") <= FEW  # keys that bring the same few nodes together are one key
+    members = keyed.join(counts.where(few), "key").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("place", "node"))).alias("members"))
+    small = members.select(F.xxhash64("members").alias("key"), F.inline("members")).distinct().select("place", "node", "key")
+    large = keyed.join(counts.where(~few).select("key"), "key", "left_semi").select("place", "node", "key")
+    rows = met(small.unionByName(large), counts.where(~few), chunk)
+    asked = rows.groupBy("place").agg(F.collect_list(F.struct("key", "lo", "hi", "side")).alias("asked"))
+    texts = docs.select("place", "node", "text").join(asked, "place").select("node", "text", "asked")
+
+    def make() -> Callable:
+        return lambda cols: {"node": cols["node"], "asked": cols["asked"], "grams": _lists([shingles(t, size) for t in cols["text"]])}
+
+    rows = map_rows(texts, make, "node long, asked array<struct<key: long, lo: int, hi: int, side: int>>, grams array<long>", rows=256).select(F.inline("asked"), "node", "grams")
+    rows = rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").select("key", "lo", "hi", "side", "node", "grams")
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group: tuple | None = None
+        side: list[int] = []
+        node: list[int] = []
+        sets: list[np.ndarray] = []
+        a: list[int] = []
+        b: list[int] = []
+
+        def flush() -> None:
+            if len(sets) > 1:
+                label = set_links(sets, np.array(side), least)
+                moved = np.flatnonzero(label != np.arange(len(label)))
+                a.extend(node[i] for i in moved)
+                b.extend(node[i] for i in label[moved])
+            for held in (side, node, sets):
+                held.clear()
+
+        for batch in batches:
+            grams = batch.column(5)
+            ends, values = np.asarray(grams.offsets), np.asarray(grams.values)
+            for i, row in enumerate(zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True)):
+                if row[:3] != group:
+                    flush()
+                    group = row[:3]
+                side.append(row[3])
+                node.append(row[4])
+                sets.append(values[ends[i] : ends[i + 1]].copy())
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=schema)
+            a.clear()
+            b.clear()
+        flush()
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=schema)
+
+    return rows.mapInArrow(compare, "a long, b long").distinct()
+
+
 def deduplicated(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WIDE_SHINGLE) -> DataFrame:
-    """The documents, all columns, of which each group of near copies (similarity of word shingles about 0.8 or more,
-    and what such links join) keeps one row: that of its smallest id (of rows that share it, the one of the smallest
-    text). Rows without an id cannot be named, so of these each different text stays once."""
-    found = grouped(documents, id_col, text_col, size, WIDE, WIDE_RADIUS)
+    """The documents, all columns, of which each group of near copies (Jaccard similarity of the distinct word shingles
+    `SIMILAR` or more, and what such links join) keeps one row: that of its smallest id (of rows that share it, the one of
+    the smallest text). Rows without an id cannot be named, so of these each different text stays once."""
+    docs = stored(shingle_sets(documents, id_col, text_col, size), "shingle-sets", compression="zstd")
+    distinct = stored(docs.groupBy("node").agg(F.min("place").alias("place"), F.min("doc_id").alias("least_id")), "distinct")
+    found = labelled(docs.select("doc_id", "node"), distinct, similar_links(docs, distinct, size))
     keep = found.where(F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))).select(F.col("doc_id").alias("_keep_id")).distinct()
     rows = documents.join(keep, F.col(id_col).eqNullSafe(F.col("_keep_id")), "left_semi")
     order = W.partitionBy(F.col(id_col), F.when(F.col(id_col).isNull(), F.col(text_col))).orderBy(F.col(text_col).asc_nulls_last())

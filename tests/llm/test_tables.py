@@ -151,6 +151,45 @@ def test_near_copies_go(spark):
     assert set(range(originals)) <= kept and len(kept) <= originals + 2
 
 
+def test_only_similar_texts_go(spark):
+    """Links are pairs whose distinct five-grams have a Jaccard similarity of 0.8; repeats do not count."""
+    rng = np.random.default_rng(8)
+    word = lambda n: ["".join(w) for w in rng.choice(list("abcdefghij"), (n, 6))]
+    texts = []
+    for n in (12, 40, 150, 600):
+        for share in np.linspace(0.02, 0.3, 8):
+            one = word(n)
+            texts += [one, one[: round(n * (1 - share))] + word(round(n * share))]
+    loop = "same five words every time".split() * 60
+    texts += [loop + word(8), loop + word(8), word(3), word(3), *[texts[0][:10] + word(1) for _ in range(30)]]
+    texts = [" ".join(t) for t in texts]
+
+    def grams(text):
+        w = text.split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+    sets, root = [grams(t) for t in texts], list(range(len(texts)))
+    for _ in texts:
+        for a in range(len(texts)):
+            for b in range(a):
+                if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                    root[a] = root[b] = min(root[a], root[b])
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted(r["doc_id"] for r in simhash.deduplicated(df).collect())
+    assert got == [k for k, r in enumerate(root) if k == r] and len(got) < len(texts)
+
+
+@pytest.mark.parametrize("chunk", [512, 3])
+def test_set_links_in_chunks(spark, chunk):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([(k, " ".join(f"w{i}" for i in range(k, k + 60))) for k in range(40)], "doc_id long, text string")
+    docs = simhash.stored(simhash.shingle_sets(df, "doc_id", "text", 5), "sets")
+    distinct = docs.groupBy("node").agg(F.min("place").alias("place"), F.min("doc_id").alias("least_id"))
+    edges = simhash.similar_links(docs, distinct, chunk=chunk)
+    assert {r["component_id"] for r in simhash.labelled(docs.select("doc_id", "node"), distinct, edges).collect()} == {0}
+
+
 @pytest.mark.parametrize("wide, radius", [(1, 3), (4, 48), (2, 20)])
 def test_bit_sliced_comparison(wide, radius):
     rng = np.random.default_rng(4)
