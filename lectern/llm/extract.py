@@ -31,19 +31,36 @@ ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd"
 UNDER = {"nav": 8.0, "footer": 8.0, "aside": 7.0, "form": 7.0, "menu": 8.0, "dialog": 7.0, "button": 7.0, "select": 8.0, "header": 5.0, "article": -3.0, "main": -2.5}
 #: Words of a class, id or role that mark boilerplate, and content.
 MARKS = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments respond disqus cookie cookies consent footer header masthead menu nav navbar navigation navigationmenu notice alert popup modal promo promotion promoted related recommended share sharing sidebar side social sponsor sponsored subscribe newsletter signup login search toolbar widget widgets pagination pager copyright legal disclaimer complementary contentinfo".split())
+#: Marks that an id inside an article means, words that say nothing beside a mark, and first words that turn it around.
+SURE = frozenset("comment comments respond disqus sidebar share sharing related".split())
+BESIDE = frozenset("site page main top bottom left right inner outer box list area block section wrapper wrap container global primary secondary".split())
+TURNED = frozenset("no not non has with without hide is show".split())
+#: Costs of an element, and all below it, whose name is a mark, and of one whose name has a mark among other words.
+MARKED, HINTED = 5.0, 2.5
 GOOD = frozenset("article content entry post story main body text".split())
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|\"[^\"]*\Z|'[^']*\Z)*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|style|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 SPLIT = re.compile(r"[^a-z]+")
 
 
+def mark(value: str, sure: bool) -> float:
+    """Cost of the names in a class, id or role; only marks in SURE count fully unless sure."""
+    most = 0.0
+    for name in value.split():
+        words = [w for w in SPLIT.split(name) if w]
+        if words and words[0] not in TURNED and not MARKS.isdisjoint(words):
+            whole = all(w in MARKS or w in BESIDE for w in words) and (sure or not SURE.isdisjoint(words))
+            most = max(most, MARKED if whole else HINTED)
+    return most
+
+
 class Node:
-    __slots__ = ("tag", "parent", "cost", "skip", "depth")
+    __slots__ = ("tag", "parent", "cost", "marked", "skip", "depth")
 
     def __init__(self, tag: str, parent: Node | None, attributes: str):
         self.tag, self.parent, self.depth = tag, parent, parent.depth + 1 if parent else 0
         self.skip = bool(parent and parent.skip)
-        own = UNDER.get(tag, 0.0)
+        own, marked = UNDER.get(tag, 0.0), 0.0
         if tag == "header" and parent and parent.cost < 0:
             own = 0.0  # an article's own header holds its title
         if attributes:
@@ -52,11 +69,15 @@ class Node:
                 if name.lower() == "hidden" or name.lower() == "style" and "display:none" in value.replace(" ", "") or name.lower() == "aria-hidden" and value == "true":
                     self.skip = True
                 elif name.lower() in ("class", "id", "role"):
-                    words = set(SPLIT.split(value))
-                    if words & MARKS and tag not in ("body", "html", "article", "main"):
-                        own = max(own, 7.0)
-                    elif words & GOOD and own == 0:
+                    is_id = name.lower() == "id"
+                    if tag not in ("body", "html") and not (is_id and tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6")):
+                        marked = max(marked, mark(value, not is_id or not parent or parent.cost >= -2))
+                    if own == 0 and not GOOD.isdisjoint(SPLIT.split(value)):
                         own = -1.5
+        if tag in ("article", "main"):  # what it stands in does not make it boilerplate, unless it is marked too (a comment)
+            self.marked = parent.marked if marked and parent else 0.0
+        else:
+            self.marked = max(marked, parent.marked if parent else 0.0)
         before = parent.cost if parent else 0.0
         self.cost = max(before, own) if before > 3 or own > 3 else before + own
 
@@ -140,7 +161,9 @@ def cost(text: str, node: Node, links: int) -> float:
     words, size = text.count(" ") + 1, max(1, len(text))
     if node.cost > 3:
         return node.cost
-    z = 0.6 + node.cost
+    z = 0.6 + node.cost + node.marked
+    if node.marked:  # long prose outweighs a mark
+        z -= min(2.0, max(0, words - 30) / 50)
     z += 3.0 * min(1.0, links / size) - min(2.5, words / 12)
     z -= 0.8 if text[-1] in ".!?\"'”»" else 0.0
     z -= {"p": 0.8, "h1": 2.0, "h2": 1.0, "h3": 0.8, "blockquote": 0.8, "pre": 0.8}.get(node.tag, 0.0)
@@ -203,7 +226,7 @@ def label(found: list[tuple[str, Node, int]]) -> list[bool]:
     for i, (_, node, _) in enumerate(found):
         if i:
             before = found[i - 1][1]
-            apart = abs(before.cost - node.cost)
+            apart = abs(before.cost + before.marked - node.cost - node.marked)
             edges.append((i - 1, i, 1.2 if before.parent is node.parent else 0.6 if apart < 3 else 0.2))
         key = id(node.parent)
         if key in last and last[key] != i - 1:

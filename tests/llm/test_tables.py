@@ -274,6 +274,23 @@ def test_extraction(spark):
     assert got == sorted((k, PAGES[k][1], len(PAGES[k][1])) for k, _, _ in rows)
 
 
+PROSE = "A paragraph, long enough to be the main text of this page, as it is, with more words than a menu has."
+MARKED = [
+    (f"<div class='{name}'><article><h1>Title</h1><p>{PROSE}</article></div>", f"Title {PROSE}")
+    for name in ("content no-sidebar", "has-sidebar", "header-top layout", "with-comments", "sidebar")
+] + [
+    (f"<div class='content no-sidebar'><p>{PROSE}</div>", PROSE),
+    (f"<article><section id='search-algorithms'><p>{PROSE}</section><h2 id='Legal_issues'>Issues</h2><p id='notice'>{PROSE}<h2 id='related-work'>Work</h2><p>{PROSE}</article>", f"{PROSE} Issues {PROSE} Work {PROSE}"),
+    (f"<article><p>{PROSE}</article><div class='comments'><article class='comment-body'><p>Nice text, I liked it.</article></div><div class='site-header'><a href=/>Home</a></div>", PROSE),
+    (f"<main><p>{PROSE}</main><div class='widget'><p>Short words here.</div>", PROSE),
+]
+
+
+@pytest.mark.parametrize("html, text", MARKED)
+def test_marks_can_be_outweighed(html, text):
+    assert extract.main_text(html) == text
+
+
 def test_minimum_cut_is_least():
     rng = np.random.default_rng(3)
     for _ in range(60):
