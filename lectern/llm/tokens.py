@@ -7,7 +7,8 @@ columns; readers of tokens can skip row groups and pages by doc_id.
 
 Encoding is the tokenizer's own. Its pre-tokenizer cuts a text into pieces that are encoded
 independently, so the ids of a piece are kept for the next time it comes up. Texts with
-characters for which two libraries' Unicode tables could differ go to the tokenizer whole.
+characters for which two libraries' Unicode tables could differ, and texts that hold an added
+token of the tokenizer (such as `<|endoftext|>`), go to the tokenizer whole.
 
 Defined cases: null texts are empty; an empty text is the end id alone; repeated ids and
 rows are documents of their own, ordered by text hash; null ids come first; an empty table
@@ -65,13 +66,12 @@ def byte_characters() -> dict[int, str]:
 
 
 @functools.cache
-def stores(path: str) -> tuple[Callable[[str], bytes], Kept, Kept]:
-    """The tokenizer, and its kept pieces and words; one of each in a Python worker."""
+def stores(path: str) -> tuple[Callable[[str], bytes], Kept, Kept, Callable[[str], object]]:
+    """The tokenizer, and its kept pieces and words, and a search for its added tokens; one of each in a Python worker."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     model, stand_ins = tokenizer.model, byte_characters()
 
     def whole(text: str) -> bytes:
@@ -85,7 +85,8 @@ def stores(path: str) -> tuple[Callable[[str], bytes], Kept, Kept]:
     def spaced(word: str) -> bytes:
         return b"".join(map(pieces.__getitem__, PIECE.findall(" " + word)))
 
-    return whole, pieces, Kept(spaced, KEPT_WORDS)
+    added = [re.escape(t.content) for t in tokenizer.get_added_tokens_decoder().values() if t.content]
+    return whole, pieces, Kept(spaced, KEPT_WORDS), re.compile("|".join(added) or r"\Z(?!\Z)").search
 
 
 def encoder(path: str, end_id: int | None = END_ID) -> Callable[[str | None], bytes]:
@@ -94,14 +95,14 @@ def encoder(path: str, end_id: int | None = END_ID) -> Callable[[str | None], by
     A blank between two other characters that are no white space always starts a piece, so
     texts are cut there and the ids of each word with its blank are kept too.
     """
-    whole, pieces, words = stores(path)
+    whole, pieces, words, added = stores(path)
     end = b"" if end_id is None else np.uint32(end_id).astype("<u4").tobytes()
     piece, word = pieces.__getitem__, words.__getitem__
 
     def encode(text: str | None) -> bytes:
         if not text:
             return end
-        if UNUSUAL.search(text):
+        if UNUSUAL.search(text) or added(text):
             return whole(text) + end
         first, *rest = text.split(" ")
         if not first or "" in rest or "\n " in text or " \n" in text or OTHER_SPACE.search(text):

@@ -73,6 +73,14 @@ def test_encoder_equals_library(text):
     assert np.frombuffer(tokens.encoder(tokenizer_path(), None)(text), "<u4").tolist() == one.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("text", ["a<|endoftext|>b", "<|endoftext|>", "some words <|endoftext|> and more", "x <|endoftext| > y", "é <|endoftext|>\n z", "plain words"])
+def test_encoder_equals_unmodified_library(text):
+    from tokenizers import Tokenizer
+
+    want = Tokenizer.from_file(tokenizer_path()).encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(tokens.encoder(tokenizer_path(), None)(text), "<u4").tolist() == want
+
+
 def brute_fingerprint(text, size=3):
     w = (text or "").encode().lower().split()
     if not w:
