@@ -1,11 +1,13 @@
 """Secret scan in DataFrame functions: fixed formats, and windowed entropy over candidate strings.
 
 Candidates are unbroken strings of key characters. Each candidate gets a class (hex, or mixed
-letters and digits). A window of `WINDOW` characters slides over it; the sum of c * log2(c)
+letters and digits), and so does each of its parts between separators (letters of one case and
+digits, or letters alone, which also need fewer vowels than words have). A window of `WINDOW` characters slides over it; the sum of c * log2(c)
 over its character counts changes only by the counts of the character that enters and the
 one that leaves, which gives Shannon entropy step by step. A candidate whose best window
 reaches its class's threshold is a secret, unless it is on the allow-list: identifiers of
-published formats, runs in order, words, paths, and strings of few kinds of characters.
+published formats, words, paths, and strings of few kinds of characters. Samples and runs in order
+take only the part between separators that holds them from a candidate.
 
 Defined cases: null texts are empty and empty texts have no spans; repeated rows repeat;
 null ids are kept; extra columns are ignored; an empty table gives no rows.
@@ -25,7 +27,9 @@ HEX = r"[0-9a-f]{32,}"
 CANDIDATE = r"(?:\G|(?<![A-Za-z0-9+/_=-]))[A-Za-z0-9+/_=-]{20,}+"
 #: Characters in a window, and the entropy (bits a character) that its class must reach in one window.
 WINDOW = 20
-ENTROPY = {"hex": 3.0, "mixed": 3.7}
+ENTROPY = {"hex": 3.0, "mixed": 3.7, "lower": 3.5, "upper": 3.4, "letters": 3.75, "one case": 3.4}
+#: Vowels at most, as a share, of letters alone that are no words.
+VOWELS = {"letters": 0.3, "one case": 0.25}
 # Forms that look random but are not secret.
 ALLOWED = (
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",  # UUID
@@ -33,8 +37,9 @@ ALLOWED = (
     r"^[A-Za-z]+$",  # one word
     r"^[A-Za-z]*(?:[_/=+-]+[A-Za-z]*)*$",  # words joined by separators
     r"^(?:/[A-Za-z0-9_-]{1,19})+/?$",  # paths of short names
-    r"(?i:0123456789|abcdefghijklm|qwertyuiop|example|placeholder|changeme|xxxxxx)",  # runs in order, samples
 )
+#: The part of a candidate with a run in order or a sample.
+SAMPLE = r"[^/_=+-]*(?i:0123456789|abcdefghijklm|qwertyuiop|example|placeholder|changeme|xxxxxx)[^/_=+-]*"
 
 
 def _count(window: Column, c: Column) -> Column:
@@ -65,14 +70,25 @@ def best_entropy(value: Column, window: int = WINDOW) -> Column:
     return F.aggregate(F.split(value, ""), state, slide, lambda s: s["best"])
 
 
-def is_secret(value: Column) -> Column:
+def is_secret_part(part: Column) -> Column:
+    """Letters of one case with digits, or letters alone, that reach their class's entropy."""
+    vowels = F.length(F.regexp_replace(part, "[^aeiouyAEIOUY]", "")) / F.length(part)
+    least = F.when(part.rlike("^(?=.*[0-9].*[0-9])(?=.*[g-z])[a-z0-9]+$"), ENTROPY["lower"]).when(part.rlike("^(?=.*[0-9].*[0-9])(?=.*[G-Z])[A-Z0-9]+$"), ENTROPY["upper"])
+    least = least.when(part.rlike("^(?:[a-z]+|[A-Z]?[a-z]+|[A-Z]+)$") & (vowels <= VOWELS["one case"]), ENTROPY["one case"])
+    least = least.when(part.rlike("^(?=.*[a-z])(?=.*[A-Z].*[A-Z])[A-Za-z]+$") & (vowels <= VOWELS["letters"]), ENTROPY["letters"])
+    return F.coalesce((F.length(part) >= WINDOW) & least.isNotNull() & (best_entropy(part) >= least), F.lit(False))
+
+
+def is_secret(candidate: Column) -> Column:
+    value = F.regexp_replace(candidate, SAMPLE, "")
     hexadecimal = value.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$")
     allowed = value.rlike(ALLOWED[0])
     for form in ALLOWED[1:]:
         allowed = allowed | value.rlike(form)
     classes = value.rlike("[0-9]") & F.when(hexadecimal, value.rlike("[A-Fa-f]")).otherwise(value.rlike("[A-Z]") & value.rlike("[a-z]"))
     least = F.when(hexadecimal, F.lit(ENTROPY["hex"])).otherwise(F.lit(ENTROPY["mixed"]))
-    return classes & ~allowed & (best_entropy(value) >= least)
+    whole = classes & ~allowed & (best_entropy(value) >= least)
+    return whole | (~value.rlike(ALLOWED[0]) & F.exists(F.split(value, "[/_=+-]+"), is_secret_part))
 
 
 def found(text: Column) -> dict[str, Column]:

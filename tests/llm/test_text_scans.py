@@ -101,6 +101,14 @@ def test_entropy(spark, value):
     assert got == pytest.approx(want, abs=1e-9)
 
 
+def test_entropy_classes_and_samples(spark):
+    secret = ["k3v9x0qz7m2w8r5t1b6n4j", "MZ4X7QK2VB6TPL5RWG3CNH", "kqXvTzBnWrLmHsPdGjFcYt", "xqzkvbtrwplmhsdnjgfcyt", "example/path/key=q7Rt9LmZ2xWv8KpB4nYc6Hd", "key-k3v9x0qz7m2w8r5t1b6n4j"]
+    plain = ["internationalization_and_localization", "Versicherungsgesellschaften", "getElementsByTagNameNamespace", "some-example-path/with-many-words", "abcdefghijklmnopqrstuvwxyz0123", "123e4567-e89b-12d3-a456-426614174000", "placeholderk3v9x0qz7m2w8r5t1b"]
+    df = spark.createDataFrame(list(enumerate(secret + plain)), "doc_id long, text string")
+    got = sorted(r["doc_id"] for r in secrets.scan(df).where("size(entropy) > 0").collect())
+    assert got == list(range(len(secret)))
+
+
 def brute_pii(text):
     text = text or ""
 
