@@ -10,10 +10,10 @@ chance allows (a one-sided test). How many lists a query visits is measured on t
 double precision.
 
 Equal vectors are indexed once, with the smallest ids that can ever be in an answer (k + 1
-of them); equal queries are searched once.
+different ones, and how often each occurs); a query's own rows go before an answer is cut; equal queries are searched once.
 
 Defined cases: vectors that are null, empty, zero, hold null or non-finite components, or
-differ in length from the longest, take no part; ties go to the smaller id; repeated rows
+differ in length from most (of equally many the longest), take no part; ties go to the smaller id; repeated rows
 are candidates of their own (rows with the query's id are its own); null ids take no part;
 extra columns are ignored; an empty table gives no rows.
 """
@@ -124,6 +124,18 @@ def probes_needed(sample: np.ndarray, tails: np.ndarray, turn: np.ndarray, centr
     return int(np.quantile(np.concatenate(ranks), target, method="higher")) + 1 if ranks else 1
 
 
+def enough(entries: list[tuple[float, int, int]], k: int) -> list[tuple[float, int]]:
+    """(score, id) of sorted (score, id, count), so many that k are left without any one id."""
+    out: list[tuple[float, int]] = []
+    times: dict[int, int] = {}
+    for s, i, n in entries:
+        if len(out) - max(times.values(), default=0) >= k:
+            break
+        out += [(s, i)] * n
+        times[i] = times.get(i, 0) + n
+    return out
+
+
 def search(vectors: DataFrame, query_rows: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K,
            target: float = TARGET, least_probes: int = LEAST_PROBES) -> DataFrame:
     """query_id, rank, vec_id, score of the k best found for each row that query_rows selects."""
@@ -131,13 +143,16 @@ def search(vectors: DataFrame, query_rows: Column, id_col: str = "vec_id", vecto
     out = "query_id long, rank int, vec_id long, score double"
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"), query_rows.alias("asks"))
     rows = rows.where(F.col("vec_id").isNotNull() & usable(F.col("v")))
-    width = rows.agg(F.max(F.size("v"))).first()[0]
-    if width is None:
+    lengths = rows.groupBy(F.size("v").alias("width")).count().orderBy(F.desc("count"), F.desc("width")).first()
+    if lengths is None:
         return spark.createDataFrame([], out)
+    width = lengths["width"]
     rows = stored(rows.where(F.size("v") == width).withColumn("vkey", F.sha2(F.to_json("v"), 256)), "ann-rows")
     # equal vectors once, with the ids that answers can need; the rank limit is applied before the shuffle too
-    ranked = rows.select("vkey", "v", "vec_id").withColumn("nth", F.row_number().over(W.partitionBy("vkey").orderBy("vec_id"))).where(F.col("nth") <= k + 1)
-    index = stored(ranked.groupBy("vkey").agg(F.first("v").alias("v"), F.sort_array(F.collect_list("vec_id")).alias("ids")), "ann-index")
+    each = rows.groupBy("vkey", "vec_id").agg(F.first("v").alias("v"), F.least(F.count("*"), F.lit(k)).alias("n"))
+    ranked = each.withColumn("nth", F.row_number().over(W.partitionBy("vkey").orderBy("vec_id"))).where(F.col("nth") <= k + 1)
+    index = stored(ranked.groupBy("vkey").agg(F.first("v").alias("v"), F.sort_array(F.collect_list(F.struct(F.col("vec_id").alias("i"), "n"))).alias("ids")), "ann-index")
+    own = rows.where("asks").select("vec_id").distinct().join(rows.select("vec_id", "vkey").distinct(), "vec_id").groupBy("vec_id").count().agg(F.max("count")).first()[0] or 1  # vectors of one query's id
     n, longest = index.agg(F.count("*"), F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))).first()
     lists = int(min(MOST_LISTS, max(1, n // LIST_ROWS)))
     turn = rotation(width + 1)
@@ -178,16 +193,16 @@ def search(vectors: DataFrame, query_rows: Column, id_col: str = "vec_id", vecto
             turned_q = (np.c_[q, np.zeros(len(q))] @ turn_).astype("f4")
             ids = left["ids"].tolist()
             for at in range(0, len(q), TOGETHER):
-                left_over = adaptive_scan(turned, turned_q[at : at + TOGETHER], k + 1)
+                left_over = adaptive_scan(turned, turned_q[at : at + TOGETHER], k + own)
                 for key, one, some in zip(right["vkey"][at : at + TOGETHER], q[at : at + TOGETHER], left_over, strict=True):
                     scores = (x[some] * one).sum(axis=1)
-                    best = sorted(((-s, int(i)) for s, row in zip(scores.tolist(), some, strict=True) for i in ids[row]))[: k + 1]
+                    best = enough(sorted((-s, int(x["i"]), int(x["n"])) for s, row in zip(scores.tolist(), some, strict=True) for x in ids[row]), k)
                     keys.append(key)
                     found.append([{"s": s, "i": i} for s, i in best])
         return pd.DataFrame({"vkey": keys, "best": found})
 
     met = cand.groupBy("list", "shard").cogroup(asks.groupBy("list", "shard")).applyInPandas(visit, "vkey string, best array<struct<s:double,i:bigint>>")
-    top = met.groupBy("vkey").agg(F.slice(F.sort_array(F.flatten(F.collect_list("best"))), 1, k + 1).alias("best"))
+    top = met.groupBy("vkey").agg(F.sort_array(F.flatten(F.collect_list("best"))).alias("best"))
     ours = rows.where("asks").select(F.col("vec_id").alias("query_id"), F.col("vkey").alias("of_key")).join(top, F.col("of_key") == F.col("vkey"))
     mine = F.slice(F.filter("best", lambda b: b["i"] != F.col("query_id")), 1, k)
     return ours.select("query_id", F.posexplode(mine).alias("at", "b")).select(

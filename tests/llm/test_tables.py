@@ -247,6 +247,22 @@ def test_neighbours(spark):
     assert ann.search(df.where("vec_id < 0"), df["vec_id"] % 20 == 0).count() == 0
 
 
+def test_neighbours_of_repeated_ids(spark):
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((60, 8))
+    rows = [(k, v.tolist()) for k, v in enumerate(x)] + [(0, x[0].tolist())] * 30 + [(5, (x[0] * 0.99).tolist())] * 2 + [(0, (3 * x[0] + j / 100).tolist()) for j in range(4)] + [(99, [1.0] * 9)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(tuple(r) for r in ann.search(df.coalesce(1), df["vec_id"] == 0).select("vec_id", "score").collect())
+    per_vector = defaultdict(int)
+    for i, v in rows[:-1]:
+        per_vector[tuple(v)] += i == 0
+    want = []
+    for v, times in per_vector.items():
+        best = sorted((-float(np.dot(v, w)), i) for i, w in rows[:-1] if i != 0)[:20]
+        want += [(i, -s) for s, i in best] * times
+    assert [i for i, _ in got] == [i for i, _ in sorted(want)]
+
+
 def test_quality(spark, docs, no_docs):
     found = quality.score(table(spark, SF.replace("0.001", "0.01"), "documents"))
     both = found.join(table(spark, SF.replace("0.001", "0.01"), "labels"), "doc_id").groupBy("keep", "quality").count().collect()
