@@ -6,14 +6,18 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-MOST_DEPTH = 8
+
+def levels(entries: DataFrame, depth: str = "depth") -> int:
+    """Depths that can have rows below them: two at least, as greatest takes two columns."""
+    return max(2, entries.agg(F.max(depth)).first()[0] or 0)
 
 
 def parents(entries: DataFrame, key: str = "book", order: str = "ord", depth: str = "depth") -> DataFrame:
     """Rows in reading order with depths, plus parent: the order of the last earlier row of smaller depth (null at the top)."""
     before = W.partitionBy(key).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
-    last = [F.max(F.when(F.col(depth) == d, F.col(order))).over(before) for d in range(MOST_DEPTH)]
-    above = [F.when(F.col(depth) > d, last[d]) for d in range(MOST_DEPTH)]
+    most = levels(entries, depth)
+    last = [F.max(F.when(F.col(depth) == d, F.col(order))).over(before) for d in range(most)]
+    above = [F.when(F.col(depth) > d, last[d]) for d in range(most)]
     return entries.withColumn("parent", F.greatest(*above))
 
 
@@ -23,15 +27,15 @@ def ancestors(entries: DataFrame, key: str = "book") -> DataFrame:
     The ancestor at each depth is the last earlier row of that depth that is not closed by
     a shallower one, so one window per depth is enough and no recursion runs.
     """
-    df = parents(entries, key)
+    df, most = parents(entries, key), levels(entries)
     before = W.partitionBy(key).orderBy("ord").rowsBetween(W.unboundedPreceding, -1)
-    for d in range(MOST_DEPTH):
+    for d in range(most):
         df = df.withColumn(f"_a{d}", F.max(F.when(F.col("depth") == d, F.col("ord"))).over(before))
     out = []
-    for d in range(MOST_DEPTH):
+    for d in range(most):
         shallower = [F.coalesce(F.col(f"_a{s}"), F.lit(-1)) for s in range(d)] + [F.lit(-1), F.lit(-1)]
         out.append(F.when((F.col("depth") > d) & (F.col(f"_a{d}") > F.greatest(*shallower)), F.col(f"_a{d}")))
-    return df.withColumn("ancestors", F.array_compact(F.array(*out))).drop(*[f"_a{d}" for d in range(MOST_DEPTH)])
+    return df.withColumn("ancestors", F.array_compact(F.array(*out))).drop(*[f"_a{d}" for d in range(most)])
 
 
 def visible(rows: DataFrame, expanded: Column) -> DataFrame:

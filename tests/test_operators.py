@@ -147,3 +147,11 @@ def test_idempotent_arrival(spark, tmp_path):
     st.append_new(batch, path)
     st.append_new(batch.unionAll(spark.createDataFrame([("3", 3)], "id string, v int")), path)
     assert sorted(r["id"] for r in spark.read.parquet(path).collect()) == ["1", "2", "3"]
+
+
+def test_contents_deeper_than_eight(spark):
+    from lectern.operators import toc
+
+    df = spark.createDataFrame([("b", k, k) for k in range(12)], "book string, ord int, depth int")
+    got = {r["ord"]: (r["parent"], r["ancestors"]) for r in toc.ancestors(df).collect()}
+    assert got == {k: (k - 1 if k else None, list(range(k))) for k in range(12)}
