@@ -3,7 +3,9 @@
 A page is cut into text blocks. Each block has a cost for being called boilerplate and one
 for being called content (from the tags, classes, links, length and punctuation around it);
 neighbouring blocks and blocks under one parent pay for being called differently. The
-labelling of least total cost is a minimum cut, found by augmenting paths.
+labelling of least total cost is a minimum cut, found by blocking flows over level graphs.
+What an element's class, id or role says is evidence of bounded weight: long prose outweighs
+it, and an element that holds most of the page's prose is no boilerplate whatever its name.
 
 Defined cases: null, empty and blank html give an empty text; text without tags is one
 block; unclosed, stray and cut-off tags and comments are tolerated; pages are rows of
@@ -13,7 +15,7 @@ their own, so repeated rows repeat; null ids and urls are kept; extra columns ar
 from __future__ import annotations
 
 import re
-from collections import deque
+from collections import Counter
 from collections.abc import Callable
 from html import unescape
 
@@ -25,10 +27,13 @@ from lectern.llm.common import map_rows
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style template noscript iframe object svg math canvas textarea title".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead tr ul".split())
+#: Elements whose content is text of its own kind even if they are never closed; others without an end are passed over.
+SWALLOWS = frozenset("script style textarea title".split())
+OPENS = BLOCK - {"p"}
 CLOSES_P = BLOCK - {"option", "body", "html", "caption", "tbody", "td", "tfoot", "th", "thead", "tr", "legend", "summary"}
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "option": ({"option"}, {"select"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
 #: Costs (content is negative, boilerplate positive) of a block under such an element.
-UNDER = {"nav": 8.0, "footer": 8.0, "aside": 7.0, "form": 7.0, "menu": 8.0, "dialog": 7.0, "button": 7.0, "select": 8.0, "header": 5.0, "article": -3.0, "main": -2.5}
+UNDER = {"nav": 8.0, "footer": 8.0, "aside": 7.0, "menu": 8.0, "dialog": 7.0, "button": 7.0, "select": 8.0, "header": 5.0, "article": -3.0, "main": -2.5}
 #: Words of a class, id or role that mark boilerplate, and content.
 MARKS = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments respond disqus cookie cookies consent footer header masthead menu nav navbar navigation navigationmenu notice alert popup modal promo promotion promoted related recommended share sharing sidebar side social sponsor sponsored subscribe newsletter signup login search toolbar widget widgets pagination pager copyright legal disclaimer complementary contentinfo".split())
 #: Marks that an id inside an article means, words that say nothing beside a mark, and first words that turn it around.
@@ -38,8 +43,11 @@ TURNED = frozenset("no not non has with without hide is show".split())
 #: Costs of an element, and all below it, whose name is a mark, and of one whose name has a mark among other words.
 MARKED, HINTED = 5.0, 2.5
 GOOD = frozenset("article content entry post story main body text".split())
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|\"[^\"]*\Z|'[^']*\Z)*)(?:>|\Z)", re.S)
-ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|style|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]|=\s*\"[^\"]*\"|=\s*'[^']*'|=)*)(?:>|\Z)", re.S)
+#: Attributes in order: a name, and a value in either kind of quotes or bare.
+ATTRIBUTE = re.compile(r"([^\s/=\"'>][^\s/=>]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+#: Words from which a block counts as prose, and the share of the page's prose from which an element's name counts less.
+PROSE, MOSTLY = 15, 0.7
 SPLIT = re.compile(r"[^a-z]+")
 
 
@@ -55,53 +63,85 @@ def mark(value: str, sure: bool) -> float:
 
 
 class Node:
-    __slots__ = ("tag", "parent", "cost", "marked", "skip", "depth")
+    __slots__ = ("tag", "parent", "cost", "own", "marked", "skip", "prose")
 
     def __init__(self, tag: str, parent: Node | None, attributes: str):
-        self.tag, self.parent, self.depth = tag, parent, parent.depth + 1 if parent else 0
+        self.tag, self.parent, self.prose, self.marked = tag, parent, 0, 0.0
         self.skip = bool(parent and parent.skip)
-        own, marked = UNDER.get(tag, 0.0), 0.0
+        own, marked = UNDER.get(tag, 0.0), MARKED if tag == "form" else 0.0
         if tag == "header" and parent and parent.cost < 0:
             own = 0.0  # an article's own header holds its title
         if attributes:
             for name, *values in ATTRIBUTE.findall(attributes):
-                value = "".join(values).lower()
-                if name.lower() == "hidden" or name.lower() == "style" and "display:none" in value.replace(" ", "") or name.lower() == "aria-hidden" and value == "true":
+                name, value = name.lower(), "".join(values).lower()
+                if name == "hidden" or name == "style" and "display:none" in value.replace(" ", "") or name == "aria-hidden" and value == "true":
                     self.skip = True
-                elif name.lower() in ("class", "id", "role"):
-                    is_id = name.lower() == "id"
-                    if tag not in ("body", "html") and not (is_id and tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6")):
-                        marked = max(marked, mark(value, not is_id or not parent or parent.cost >= -2))
+                elif name in ("class", "id", "role"):
+                    if tag not in ("body", "html") and not (name == "id" and tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6")):
+                        marked = max(marked, mark(value, name != "id" or not parent or parent.cost >= -2))
                     if own == 0 and not GOOD.isdisjoint(SPLIT.split(value)):
                         own = -1.5
-        if tag in ("article", "main"):  # what it stands in does not make it boilerplate, unless it is marked too (a comment)
-            self.marked = parent.marked if marked and parent else 0.0
-        else:
-            self.marked = max(marked, parent.marked if parent else 0.0)
+        self.own = marked
         before = parent.cost if parent else 0.0
         self.cost = max(before, own) if before > 3 or own > 3 else before + own
 
 
+def weigh(nodes: list[Node]) -> None:
+    """Set `marked` of every element (parents come first): its own mark and those of what it stands in, each the less
+    the more of the page's prose is under it."""
+    for node in reversed(nodes[1:]):
+        node.parent.prose += node.prose
+    total = max(1, nodes[0].prose)
+    for node in nodes[1:]:
+        above, own = node.parent.marked, node.own * min(1.0, (1 - node.prose / total) / (1 - MOSTLY))
+        if node.tag in ("article", "main"):  # what it stands in does not make it boilerplate, unless it is marked too (a comment)
+            node.marked = above if node.own else 0.0
+        else:
+            node.marked = max(own, above)
+
+
+def end_of(html: str, tag: str, at: int) -> int:
+    """Where the element that opens before `at` is over, elements of its kind inside it included; -1 if it never ends."""
+    depth = 1
+    for m in re.compile(rf"<(/?){re.escape(tag)}(?=[\s/>])[^>]*>?", re.I).finditer(html, at):
+        depth += -1 if m[1] else 0 if m[0].endswith("/>") or tag in SWALLOWS else 1
+        if depth == 0:
+            return m.end()
+    return -1
+
+
 def blocks(html: str) -> list[tuple[str, Node, int]]:
     """Text blocks in page order: text, element, characters inside links."""
     node = Node("", None, "")
+    nodes, open_, endless = [node], Counter(), set()
     out: list[tuple[str, Node, int]] = []
     text: list[str] = []
-    state = {"links": 0, "in_link": 0}
+    links = in_link = 0
 
     def flush() -> None:
+        nonlocal links
         joined = " ".join("".join(text).split())
         if joined and not node.skip:
-            out.append((joined, node, state["links"]))
+            out.append((joined, node, links))
+            n = joined.count(" ") + 1
+            if n >= PROSE and 2 * links < len(joined):
+                node.prose += n
         text.clear()
-        state["links"] = 0
+        links = 0
 
     def add(raw: str) -> None:
+        nonlocal links
         if raw:
             plain = unescape(raw) if "&" in raw else raw
             text.append(plain)
-            if state["in_link"]:
-                state["links"] += len(plain.strip())
+            if in_link:
+                links += len(plain.strip())
+
+    def leave(to: Node) -> None:
+        nonlocal node
+        while node is not to:
+            open_[node.tag] -= 1
+            node = node.parent
 
     at, n = 0, len(html)
     while at < n:
@@ -115,44 +155,51 @@ def blocks(html: str) -> list[tuple[str, Node, int]]:
         tag = m[2].lower()
         if m[1]:
             if tag == "a":
-                state["in_link"] = max(0, state["in_link"] - 1)
-            if tag in BLOCK or tag == "button":
+                in_link = max(0, in_link - 1)
+            if open_[tag]:
                 up = node
-                while up and up.tag != tag:
+                while up.tag != tag:
                     up = up.parent
-                if up:
-                    flush()
-                    node = up.parent
+                flush()
+                leave(up.parent)
             continue
         if tag in RAW and not m[3].endswith("/"):
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
-            at = end.end() if end else n
+            end = -1 if tag in endless else end_of(html, tag, at)
+            if end >= 0:
+                at = end
+            elif tag in SWALLOWS:
+                at = n
+            else:
+                endless.add(tag)
             continue
         if tag == "br":
             text.append(" ")
         elif tag == "a":
-            state["in_link"] += 1
+            in_link += 1
         elif tag in BLOCK or tag == "button":
             flush()
-            if tag in CLOSES_P:
+            if tag in CLOSES_P and open_["p"]:
                 up = node
-                while up and up.tag not in BLOCK - {"p"} and up.tag != "p":
+                while up.tag not in OPENS and up.tag != "p" and up.parent:
                     up = up.parent
-                if up and up.tag == "p":
-                    node = up.parent
+                if up.tag == "p":
+                    leave(up.parent)
             if tag in ENDS:
                 closes, scope = ENDS[tag]
                 up = node
-                while up and up.tag not in closes and up.tag not in scope:
+                while up.parent and up.tag not in closes and up.tag not in scope:
                     up = up.parent
-                while up and up.tag in closes:
-                    node = up.parent
-                    up = node if node and node.tag in closes else None
+                while up.tag in closes:
+                    leave(up.parent)
+                    up = node
             if tag not in VOID:
                 node = Node(tag, node, m[3])
+                nodes.append(node)
+                open_[tag] += 1
     if at < n:
         add(html[at:])
     flush()
+    weigh(nodes)
     return out
 
 
@@ -171,52 +218,63 @@ def cost(text: str, node: Node, links: int) -> float:
 
 
 def minimum_cut(costs: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
-    """Content labels of least cost: boilerplate costs, and edges that cost their weight if their ends differ."""
-    near: list[dict[int, float]] = [{} for _ in costs]
+    """Content labels of least cost: boilerplate costs, and edges that cost their weight if their ends differ.
+
+    Blocking flows over level graphs, from all content blocks at once. As little flow fits
+    through an edge, it is absorbed near by, so levels stay few whatever the page's length.
+    """
+    n, unit = len(costs), 1 << 20
+    give, take = [max(0, round(-c * unit)) for c in costs], [max(0, round(c * unit)) for c in costs]
+    near: list[list[int]] = [[] for _ in costs]
+    to: list[int] = []
+    room: list[int] = []  # of an arc; its reverse is the arc with the last bit turned
     for a, b, w in edges:
-        near[a][b] = near[a].get(b, 0.0) + w
-        near[b][a] = near[b].get(a, 0.0) + w
-    supply = [-c for c in costs]  # > 0: from the content side, < 0: to the boilerplate side
-    pending = deque(i for i, s in enumerate(supply) if s > 1e-12)
-    while pending:
-        start = pending[0]
-        if supply[start] <= 1e-12:
-            pending.popleft()
-            continue
-        came, line, end = {start: start}, deque([start]), None
-        while line:
-            u = line.popleft()
-            if supply[u] < -1e-12:
-                end = u
-                break
-            for v, room in near[u].items():
-                if room > 1e-12 and v not in came:
-                    came[v] = u
-                    line.append(v)
-        if end is None:
-            pending.popleft()
-            continue
-        flow, v = min(supply[start], -supply[end]), end
-        while v != start:
-            flow, v = min(flow, near[came[v]][v]), came[v]
-        v = end
-        while v != start:
-            u = came[v]
-            near[u][v] -= flow
-            near[v][u] = near[v].get(u, 0.0) + flow
-            v = u
-        supply[start] -= flow
-        supply[end] += flow
-    # what the content side still reaches is content
-    seen = {i for i, s in enumerate(supply) if s > 1e-12}
-    line = deque(seen)
-    while line:
-        u = line.popleft()
-        for v, room in near[u].items():
-            if room > 1e-12 and v not in seen:
-                seen.add(v)
-                line.append(v)
-    return [i in seen for i in range(len(costs))]
+        near[a].append(len(to))
+        near[b].append(len(to) + 1)
+        to += (b, a)
+        room += (round(w * unit), round(w * unit))
+    while True:
+        sources = [i for i in range(n) if give[i]]
+        level, line, depth = [-1] * n, sources, 0
+        for i in line:
+            level[i] = 0
+        while line and not any(take[u] for u in line):
+            depth, ahead = depth + 1, []
+            for u in line:
+                for e in near[u]:
+                    if room[e] and level[to[e]] < 0:
+                        level[to[e]] = depth
+                        ahead.append(to[e])
+            line = ahead
+        if not line:
+            return [x >= 0 for x in level]  # what the content side still reaches is content
+        tried = [0] * n
+        for start in sources:
+            path: list[int] = []
+            u = start
+            while give[start]:
+                if take[u]:
+                    flow = min(give[start], take[u], *[room[e] for e in path])
+                    for e in path:
+                        room[e] -= flow
+                        room[e ^ 1] += flow
+                    give[start] -= flow
+                    take[u] -= flow
+                    path, u = [], start
+                    continue
+                while tried[u] < len(near[u]):
+                    e = near[u][tried[u]]
+                    if room[e] and level[to[e]] == level[u] + 1:
+                        break
+                    tried[u] += 1
+                else:
+                    if not path:
+                        break
+                    u = to[path.pop() ^ 1]
+                    tried[u] += 1
+                    continue
+                path.append(e)
+                u = to[e]
 
 
 def label(found: list[tuple[str, Node, int]]) -> list[bool]:

@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from lectern.llm import ann, extract, mixing, quality, simhash, tokens
 from lectern.llm.common import table
@@ -48,37 +49,90 @@ def test_mixed_documents(docs, no_docs):
     assert mixing.mixed(no_docs).count() == 0
 
 
-def test_tokens(docs, no_docs):
+def library(path=None):
     from tokenizers import Tokenizer
 
-    one = Tokenizer.from_file(tokenizer_path())
-    one.encode_special_tokens = True
-    got = sorted(tuple(r) for r in tokens.encode_and_digest(docs.where("doc_id is not null"), tokenizer_path()).collect())
-    rows = sorted((r["doc_id"], r["text"] or "") for r in docs.where("doc_id is not null").collect())
+    one = Tokenizer.from_file(path or tokenizer_path())
+    return lambda text: one.encode(text or "", add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("ranges", [1, 4, 50])
+def test_tokens(spark, docs, no_docs, ranges):
+    """Whole result against the library's plain call; null ids first, rows that share an id in the order of the input."""
+    more = docs.unionByName(spark.createDataFrame([(8, "a<|endoftext|>b"), (None, "x  y\t\u00a0z")] + [(20, "one word more")] * 40, "doc_id long, text string"), allowMissingColumns=True)
+    path = tokens.new_path(spark, "tokens")
+    tokens.write(more, path, tokenizer_path(), ranges=ranges)
+    got = sorted((tuple(r) for r in tokens.digests(spark, path).collect()), key=lambda r: r[1])
+    encode, rows = library(), [(r["doc_id"], r["text"]) for r in more.collect()]
     at, want = 0, []
-    for i, text in rows:
-        ids = [*one.encode(text, add_special_tokens=False).ids, 0]
+    for i, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
+        ids = [*encode(text), 0]
         want.append((i, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         at += len(ids)
     assert got == want
     assert tokens.encode_and_digest(no_docs, tokenizer_path()).count() == 0
+    back = tokens.read(spark, path).where("doc_id = 7").first()
+    assert back["ids"] == [*encode(docs.where("doc_id = 7").first()["text"]), 0]
 
 
-@pytest.mark.parametrize("text", ["it's '' 's we'll  two\n\n x\n y \tz", "été 1² ½ª", "中文 mix <|endoftext|>", " lead", "trail ", "a b \u0085c", "x\x1cy", "!!! ?a,b", "\n", "a \n b"])
+@pytest.mark.parametrize("text", ["it's '' 's we'll  two\n\n x\n y \tz", "été 1² ½ª", "中文 mix <|endoftext|>", " lead", "trail ", "a b \u0085c", "x\x1cy", "!!! ?a,b", "\n", "a \n b"])
 def test_encoder_equals_library(text):
-    from tokenizers import Tokenizer
-
-    one = Tokenizer.from_file(tokenizer_path())
-    one.encode_special_tokens = True
-    assert np.frombuffer(tokens.encoder(tokenizer_path(), None)(text), "<u4").tolist() == one.encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(tokens.encoder(tokenizer_path(), None)(text), "<u4").tolist() == library()(text)
 
 
 @pytest.mark.parametrize("text", ["a<|endoftext|>b", "<|endoftext|>", "some words <|endoftext|> and more", "x <|endoftext| > y", "é <|endoftext|>\n z", "plain words"])
 def test_encoder_equals_unmodified_library(text):
-    from tokenizers import Tokenizer
+    assert np.frombuffer(tokens.encoder(tokenizer_path(), None)(text), "<u4").tolist() == library()(text)
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_batches_equal_library(name, monkeypatch):
+    """Random texts in batches, with stores that are soon full; the second file normalises and cuts in another way."""
+    import random
 
-    want = Tokenizer.from_file(tokenizer_path()).encode(text, add_special_tokens=False).ids
-    assert np.frombuffer(tokens.encoder(tokenizer_path(), None)(text), "<u4").tolist() == want
+    r = random.Random(1)
+    monkeypatch.setattr(tokens, "KEPT_WORDS", 50)
+    monkeypatch.setattr(tokens, "KEPT_PIECES", 50)
+    letters = ["a", "b'", "'s", " ", " ", "\n", "é", "中", "1", "<|endoftext|>", "!", "\u0301", "\u3000", "\x1c", "ß ", "don't ", "X\n", "🙂", "\u200d", "  "]
+    texts = ["".join(r.choice(letters) for _ in range(r.randint(0, 12))) for _ in range(3000)] + [None]
+    one, encode = tokens.Encoder(tokenizer_path(name)), library(tokenizer_path(name))
+    for at in range(0, len(texts), 500):
+        part = texts[at : at + 500]
+        ids, edges = one.batch(tokens.pa.array(part, tokens.pa.string()))
+        assert [ids[a:z].tolist() for a, z in zip(edges[:-1], edges[1:], strict=True)] == [[*encode(t), 0] for t in part]
+
+
+def test_token_files(spark, monkeypatch, tmp_path):
+    """The files: ids in delta or dictionary pages, bounded row groups, page indexes, and reads that skip."""
+    import glob
+
+    import pyarrow.parquet as pq
+
+    rng = np.random.default_rng(3)
+    texts = [(k, " ".join(map(str, rng.integers(0, 1 << 40, 300)))) for k in range(4000)]
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(4)
+    monkeypatch.setattr(tokens, "ROW_GROUP_BYTES", 1 << 20)
+    path = f"{tmp_path}/tokens"
+    tokens.write(df, path, tokenizer_path(), ranges=3)
+    files = sorted(glob.glob(f"{path}/*.parquet"))
+    assert len(files) == 3
+    before = -1
+    for f in files:
+        meta = pq.ParquetFile(f).metadata
+        assert meta.num_row_groups > 1
+        for g in range(meta.num_row_groups):
+            group = meta.row_group(g)
+            assert group.total_byte_size <= 4 << 20
+            cols = {group.column(c).path_in_schema: group.column(c) for c in range(group.num_columns)}
+            assert set(cols["ids.list.element"].encodings) & {"DELTA_BINARY_PACKED", "RLE_DICTIONARY", "PLAIN_DICTIONARY"}
+            assert all(c.has_offset_index for c in cols.values()) and cols["doc_id"].has_column_index
+            least, most = cols["doc_id"].statistics.min, cols["doc_id"].statistics.max
+            assert before < least <= most
+            before = most
+    counts = spark.read.parquet(path).select("doc_id", "n_tokens")
+    plan = counts._jdf.queryExecution().executedPlan().toString()
+    assert "ids" not in plan.split("ReadSchema")[1]
+    assert "PushedFilters: [IsNotNull(doc_id), EqualTo(doc_id,77)]" in spark.read.parquet(path).where("doc_id = 77")._jdf.queryExecution().executedPlan().toString()
 
 
 def brute_fingerprint(text, size=3):
@@ -115,7 +169,7 @@ def test_simhash_documents(docs, no_docs):
         least[root[f]] = min(i, least.get(root[f], i))
     got = sorted(map(tuple, simhash.near_duplicates(docs.where("doc_id is not null")).collect()))
     assert got == sorted((i, f"{f:016x}", least[root[f]]) for i, f in fp)
-    assert [simhash.fingerprint(r["text"])[0] for r in rows] == [f for _, f in fp]
+    assert [simhash.fingerprint(r["text"]) for r in rows] == [f for _, f in fp]
     assert simhash.near_duplicates(no_docs).count() == 0
     kept = simhash.deduplicated(docs)
     assert simhash.deduplicated(no_docs).count() == 0
@@ -136,7 +190,7 @@ def test_simhash_links(spark, chunk):
     values |= {0, 1, 2**64 - 1, 2**63, 7, 15}
     signed = [(v - 2**64 if v >= 2**63 else v,) for v in values]
     df = spark.createDataFrame(signed, "fp long")
-    found = {r["node"] % 2**64: r["root"] % 2**64 for r in simhash.components(simhash.candidate_links(df, chunk)).collect()}
+    found = {r["node"] % 2**64: r["root"] % 2**64 for r in simhash.components(simhash.candidate_links(simhash.close_keys(df), chunk=chunk)).collect()}
     want = roots(values)
     groups = lambda of: sorted(sorted(v for v in values if of.get(v, v) == r) for r in {of.get(v, v) for v in values})
     assert groups(found) == groups(want)
@@ -189,15 +243,49 @@ def test_only_similar_texts_go(spark):
 
 @pytest.mark.parametrize("chunk", [512, 3])
 def test_set_links_in_chunks(spark, chunk):
-    from pyspark.sql import functions as F
-
     df = spark.createDataFrame([(k, " ".join(f"w{i}" for i in range(k, k + 60))) for k in range(40)], "doc_id long, text string")
     docs = simhash.stored(simhash.shingle_sets(df, "doc_id", "text", 5), "sets")
-    distinct = docs.groupBy("node").agg(F.min("place").alias("place"), F.min("doc_id").alias("least_id"))
-    edges = simhash.similar_links(docs, distinct, chunk=chunk)
+    distinct = docs.groupBy("node").agg(F.min("place").alias("place"), F.min("doc_id").alias("least_id"), F.count("*").alias("n"))
+    candidates = simhash.components(simhash.close_links(docs, distinct, chunk=4 * chunk))
+    edges = simhash.similar_links(docs, distinct, candidates, chunk=chunk)
     assert {r["component_id"] for r in simhash.labelled(docs.select("doc_id", "node"), distinct, edges).collect()} == {0}
 
 
+def test_hubs_are_joined_apart(spark, monkeypatch):
+    """Keys of very many rows: the same components and labels, whichever way they are joined."""
+    rows = [(a, 0) for a in range(1, 300)] + [(a + 1000, a) for a in range(1, 300, 7)] + [(5000 + k, 5001 + k) for k in range(40)]
+    edges = spark.createDataFrame([(max(p), min(p)) for p in rows], "a long, b long")
+    want = sorted(map(tuple, simhash.components(edges).collect()))
+    monkeypatch.setattr(simhash, "HUB_ROWS", 3)
+    monkeypatch.setattr(simhash, "HUBS", 1000)
+    assert sorted(map(tuple, simhash.components(edges).collect())) == want and len(want) == 299 + 43 + 40
+    assert {r for _, r in want} == {0, 5000}
+
+
+def test_recall_and_work_of_near_copies(spark):
+    """Planted near copies at similarities of 0.8 to 1: at least 0.99 are caught; keys and links grow with rows, not faster."""
+    rng = np.random.default_rng(12)
+    rows, pairs, links = [], [], {}
+    for k in range(1200):
+        words = ["".join(w) for w in rng.choice(list("abcdefghijklmnop"), (int(rng.integers(12, 300)), 6))]
+        other = list(words)
+        cut = len(words) - int(len(words) * rng.uniform(0, 0.1))
+        other[cut:] = ["".join(w) for w in rng.choice(list("abcdefghijklmnop"), (len(words) - cut, 6))]
+        grams = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in (words, other)]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(other))]
+        if len(grams[0] & grams[1]) >= 0.8 * len(grams[0] | grams[1]):
+            pairs.append(2 * k + 1)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r["doc_id"] for r in simhash.deduplicated(df).select("doc_id").collect()}
+    assert len(pairs) > 700 and sum(p not in kept for p in pairs) >= 0.99 * len(pairs)
+    assert {r[0] for r in rows} - kept <= set(pairs)
+    for part in (600, 2400):
+        docs = simhash.stored(simhash.shingle_sets(df.where(f"doc_id < {part}"), "doc_id", "text", 5), "sets")
+        distinct = docs.groupBy("node").agg(F.min("place").alias("place"))
+        links[part] = simhash.close_links(docs, distinct).count()
+    assert links[2400] <= 4.4 * links[600]
+
+
 @pytest.mark.parametrize("wide, radius", [(1, 3), (4, 48), (2, 20)])
 def test_bit_sliced_comparison(wide, radius):
     rng = np.random.default_rng(4)
@@ -315,6 +403,56 @@ def test_marks_can_be_outweighed(html, text):
     assert extract.main_text(html) == text
 
 
+NAMED = ['<div id="main" class="with-sidebar">', '<div class="content comments-open">', '<div class="side-by-side">', '<section class="topic-social">', '<div id="legal-news-article">',
+         '<div data-state="hidden">', "<form id=aspnetForm>", "<svg><path></svg><object><noscript><iframe src=x>", '<div title="5" tall">']
+
+
+@pytest.mark.parametrize("opening", NAMED)
+@pytest.mark.parametrize("before", ["", "<nav><a href=/>Home</a></nav>"])
+def test_names_do_not_empty_a_page(opening, before):
+    assert extract.main_text(before + opening + f"<p>{PROSE}</p>" * 3) == " ".join([PROSE] * 3)
+
+
+def test_hidden_and_named_elements_go():
+    kept = f"<p>{PROSE}</p>" * 3
+    for other in ('<div hidden>', "<div style='display: none'>", '<div aria-hidden="true">', "<template>", "<svg><svg></svg>"):
+        close = "</svg>" if "svg" in other else f"</{other[1:].split()[0].strip('>')}>"
+        assert extract.main_text(f"{kept}{other}<p>{PROSE}</p>{close}{kept}") == " ".join([PROSE] * 6)
+    assert extract.main_text(f"<div class=content>{kept}</div><div class=comments><p>{PROSE}</p></div>") == " ".join([PROSE] * 3)
+
+
+def test_very_long_pages():
+    """Alternating blocks, deep and unclosed nesting, stray ends: time grows in proportion."""
+    import time
+
+    html = "".join(f"<p>{PROSE}</p><div><a href=x>Link {i}</a></div>" for i in range(4000))
+    began = time.process_time()
+    assert extract.main_text(html) == " ".join([PROSE] * 4000)
+    assert time.process_time() - began < 4  # 0.1 s; the first version of this search took 61 s
+    deep = "<div>" * 20_000 + f"<p>{PROSE}" + "</span></b>" * 20_000 + "<iframe>" * 20_000
+    began = time.process_time()
+    assert extract.main_text(deep) == PROSE and time.process_time() - began < 8
+
+
+def test_extraction_of_tables(spark):
+    """Every page's article, as a plain regular expression finds it; empty tables; columns whose names clash."""
+    import re
+    from html import unescape
+
+    rows = table(spark, SF.replace("0.001", "0.01"), "pages").collect()
+    want = {}
+    for r in rows:
+        inner = re.search("<article>(.*?)</article>", r["html"], re.S)[1]
+        inner = re.sub("</?(?:p|h1|br|li|ul|div)[^>]*>", " ", re.sub("<(script|style).*?</\\1>", "", inner, flags=re.S))
+        want[r["page_id"]] = " ".join(unescape(re.sub("<[^>]*>", "", inner)).split())
+    pages = table(spark, SF.replace("0.001", "0.01"), "pages")
+    got = {r["page_id"]: (r["text"], r["n_chars"], r["url"]) for r in extract.extract(pages).collect()}
+    assert got == {r["page_id"]: (want[r["page_id"]], len(want[r["page_id"]]), r["url"]) for r in rows}
+    assert extract.extract(pages.where("false")).count() == 0
+    clash = pages.selectExpr("page_id", "url", "html", "1 AS text", "2 AS n_chars").limit(3)
+    assert extract.extract(clash).columns == ["page_id", "url", "text", "n_chars"] and extract.extract(clash).count() == 3
+
+
 def test_minimum_cut_is_least():
     rng = np.random.default_rng(3)
     for _ in range(60):
