@@ -49,6 +49,25 @@ def stored(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables written in the shared folder of which only the last is needed on: the others can be deleted."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def stored(self, df: DataFrame, name: str) -> DataFrame:
+        path = new_path(self.spark, name)
+        df.write.parquet(path)
+        self.paths.append(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def keep_last(self) -> None:
+        for path in self.paths[:-1]:
+            place = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(place, True)
+        del self.paths[:-1]
+
+
 def map_rows(df: DataFrame, make: Callable[[], Callable[[dict[str, list]], dict[str, object]]], schema: str | T.StructType, rows: int = 512) -> DataFrame:
     """mapInArrow in slices of at most `rows` rows: make() builds, once per task, a function from columns (Python lists) to columns."""
     kind = schema if isinstance(schema, T.StructType) else T._parse_datatype_string(schema)

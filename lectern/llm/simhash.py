@@ -12,11 +12,14 @@ one of four 16-bit blocks, and then in one of four 12-bit parts of the other 48
 keys of 28 bits bring every close pair together.
 
 `deduplicated` links texts whose sets of distinct word five-grams have a Jaccard similarity
-of `SIMILAR` or more. Fingerprints tell that apart too coarsely, so they are not used there:
-keys of `BANDS` bands of `BAND_ROWS` MinHash values bring candidates together (a pair at 0.8
-is missed with probability (1 - 0.8 ** 6) ** 36 = 0.00002), the members of a key then meet
-with their sets, and only pairs whose counted similarity is enough are linked. Keys with
-more than `SET_CHUNK` sets are cut into chunks which meet pair by pair.
+of `SIMILAR` or more. Each set has a fingerprint of 128 bits. Keys of `BANDS` bands of
+`BAND_ROWS` MinHash values bring sets together (a pair at 0.8 is missed with probability
+(1 - 0.8 ** 6) ** 36 = 0.00002; keys of a fingerprint's own bits would hold ever more rows as
+a table grows). The bit-sliced comparison links the members of a key within `WIDE_RADIUS`:
+at 0.8 a bit differs with probability 0.15, at most 0.19 for sets of a few shingles, so the
+radius is 4.6 standard deviations beyond. What such links join is a group of candidates; each
+set then meets the others of its group once, and pairs whose counted similarity is enough
+are linked. Groups of more than `SET_CHUNK` sets are cut into chunks which meet pair by pair.
 
 Defined cases: null, empty and blank texts have fingerprint zero, linked like any other;
 one or two words are one shingle; equal rows share a component; null ids belong to a
@@ -31,17 +34,19 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from lectern.llm.common import map_rows, stored
+from lectern.llm.common import Scratch, map_rows, stored
 
 SHINGLE = 3
 SEED = 42
 RADIUS = 3
-#: `deduplicated`: words of a shingle, similarity, bands and MinHash values of a band, and sets of a key in a chunk.
+#: `deduplicated`: words of a shingle, similarity, bands and MinHash values of a band, and sets of a group in a chunk.
 WIDE_SHINGLE, SIMILAR, BANDS, BAND_ROWS, SET_CHUNK = 5, 0.8, 36, 6, 512
-#: Nodes of a key that are few.
-FEW = 64
+#: 64-bit words of its fingerprints, and bits by which linked ones differ at most.
+WIDE, WIDE_RADIUS = 2, 44
+#: A key with more rows than this, and than one of HUBS parts of all, is joined by broadcast: there are at most HUBS of them.
+HUB_ROWS, HUBS = 2000, 50_000
 #: Shingles (columns) that the sets of a group are compared by at once.
 COLUMNS = 4096
 #: Fingerprints of one key that are compared in one group.
@@ -52,16 +57,11 @@ _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
-def fingerprint(text: str | None, size: int = SHINGLE, wide: int = 1) -> list[int]:
-    """SimHash of the text's word shingles, repeats counted, as 64-bit words. The first is that of the hash itself."""
-    words = text.encode().translate(_LOWER).split() if text else []
-    if not words:
-        return [0] * wide
-    grams = [b" ".join(words)] if len(words) < size else [b" ".join(g) for g in zip(*(words[i:] for i in range(size)), strict=False)]
-    ones, n = np.zeros((wide, 64), np.int64), len(grams)
-    digest = xxhash.xxh64_intdigest
-    for at in range(0, n, 8192):
-        h = np.array([digest(g, SEED) for g in grams[at : at + 8192]], "<u8")
+def majority(hashes: Iterator[np.ndarray], wide: int = 1) -> list[int]:
+    """64-bit words in which a bit is 1 if over half the hashes have it; further words are of hashes mixed again."""
+    ones, n = np.zeros((wide, 64), np.int64), 0
+    for h in hashes:
+        n += len(h)
         for w in range(wide):
             ones[w] += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
             if w + 1 < wide:
@@ -70,22 +70,24 @@ def fingerprint(text: str | None, size: int = SHINGLE, wide: int = 1) -> list[in
     return np.packbits(2 * ones > n, axis=1, bitorder="little").view("<u8")[:, 0].tolist()
 
 
-def names(wide: int) -> list[str]:
-    return ["fp"] if wide == 1 else [f"fp{k}" for k in range(wide)]
+def fingerprint(text: str | None, size: int = SHINGLE) -> int:
+    """SimHash of the text's word shingles, repeats counted."""
+    words = text.encode().translate(_LOWER).split() if text else []
+    if not words:
+        return 0
+    grams = [b" ".join(words)] if len(words) < size else [b" ".join(g) for g in zip(*(words[i:] for i in range(size)), strict=False)]
+    digest = xxhash.xxh64_intdigest
+    return majority(np.array([digest(g, SEED) for g in grams[at : at + 8192]], "<u8") for at in range(0, len(grams), 8192))[0]
 
 
-def fingerprints(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, wide: int = 1) -> DataFrame:
-    """doc_id and fp (or fp0, fp1, ...): the fingerprint in signed longs."""
+def fingerprints(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE) -> DataFrame:
+    """doc_id and fp: the fingerprint as a signed long."""
     kind = documents.schema[id_col].dataType.simpleString()
 
     def make() -> Callable:
-        def step(cols: dict) -> dict:
-            fp = np.array([fingerprint(t, size, wide) for t in cols["text"]], np.uint64).reshape(-1, wide).view(np.int64)
-            return {"doc_id": cols["doc_id"]} | {n: pa.array(np.ascontiguousarray(fp[:, k])) for k, n in enumerate(names(wide))}
-
-        return step
+        return lambda cols: {"doc_id": cols["doc_id"], "fp": pa.array(np.array([fingerprint(t, size) for t in cols["text"]], np.uint64).view(np.int64))}
 
-    return map_rows(documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), make, f"doc_id {kind}, " + ", ".join(f"{n} long" for n in names(wide)))
+    return map_rows(documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), make, f"doc_id {kind}, fp long")
 
 
 def _planes(fp: np.ndarray) -> np.ndarray:
@@ -194,7 +196,7 @@ def _keys(fp: str = "fp") -> list:
         low = f"({fp} & {(1 << 16 * block) - 1}L)"
         high = "0L" if block == 3 else f"shiftrightunsigned({fp}, {16 * block + 16})"
         rest = f"({low} | shiftleft({high}, {16 * block}))"
-        out += [f"named_struct('key', shiftleft({head}, 16) | {4 * block + part}L | shiftleft(shiftrightunsigned({rest}, {12 * part}) & 4095L, 4) , 'part', cast(0 as long))" for part in range(4)]
+        out += [f"named_struct('key', shiftleft({head}, 16) | {4 * block + part}L | shiftleft(shiftrightunsigned({rest}, {12 * part}) & 4095L, 4))" for part in range(4)]
     return out
 
 
@@ -208,11 +210,19 @@ def met(keyed: DataFrame, counts: DataFrame, chunk: int) -> DataFrame:
     return rows.select(*keyed.columns, F.inline(meets))
 
 
-def candidate_links(distinct: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """Links (a, b) between nodes (column node, or fp itself) whose transitive closure joins all that keys bring within the radius."""
-    keyed = distinct.select(F.col("fp").alias("node"), "fp", F.expr(f"inline(array({', '.join(_keys())}))")).drop("part")
+def close_keys(distinct: DataFrame) -> DataFrame:
+    """key, node and fp for each of the 16 keys of 28 bits, of which two fingerprints within `RADIUS` share one."""
+    return distinct.select(F.expr(f"inline(array({', '.join(_keys())}))"), F.col("fp").alias("node"), "fp")
+
+
+def candidate_links(keyed: DataFrame, radius: int = RADIUS, chunk: int = CHUNK) -> DataFrame:
+    """Links (a, b) between nodes whose transitive closure joins all that a key brings within the radius.
+
+    keyed: key, node and the words of the fingerprint, a row for each key of a node.
+    """
+    words = keyed.columns[2:]
     rows = met(keyed, keyed.groupBy("key").count(), chunk)
-    rows = rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").select("key", "lo", "hi", "side", "node", "fp")
+    rows = rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", low("node")).select("key", "lo", "hi", "side", "node", *words)
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,7 +234,7 @@ def candidate_links(distinct: DataFrame, chunk: int = CHUNK) -> DataFrame:
             group = np.repeat(np.arange(len(whole)), np.diff(np.r_[whole, len(rows)]))
             many = np.bincount(group)[group] > 1
             rows, group = rows[many], group[many]
-            label = links(group, np.ascontiguousarray(rows[:, 5:]).view(np.uint64), rows[:, 3]) if len(rows) else np.zeros(0, np.int64)
+            label = links(group, np.ascontiguousarray(rows[:, 5:]).view(np.uint64), rows[:, 3], radius) if len(rows) else np.zeros(0, np.int64)
             moved = np.flatnonzero(label != np.arange(len(rows)))
             return pa.RecordBatch.from_arrays([pa.array(rows[moved, 4]), pa.array(rows[label[moved], 4])], schema=schema)
 
@@ -243,43 +253,61 @@ def candidate_links(distinct: DataFrame, chunk: int = CHUNK) -> DataFrame:
     return rows.mapInArrow(compare, "a long, b long").distinct()
 
 
+def hub_join(rows: DataFrame, least: DataFrame, key: str) -> DataFrame:
+    """rows joined with the one row that least (with column n, rows of the key) has for each key. Keys of very many rows
+    do not meet in one task: there are few of them, so they are broadcast and their rows stay where they are."""
+    total, most = least.agg(F.sum("n"), F.max("n")).first()
+    limit = max(HUB_ROWS, (total or 0) // HUBS)
+    if (most or 0) <= limit:
+        return rows.join(least.drop("n"), key)
+    hubs = least.where(F.col("n") > limit).drop("n")
+    rest = rows.join(F.broadcast(hubs.select(key)), key, "left_anti").join(least.where(F.col("n") <= limit).drop("n"), key)
+    return rest.unionByName(rows.join(F.broadcast(hubs), key))
+
+
+def low(c: str) -> Column:
+    """Unsigned order as signed order."""
+    return F.col(c).bitwiseXOR(F.lit(-(1 << 63)))
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for every node of the edges (a, b): root is the smallest unsigned node reachable.
+    """(node, root) for every node of the edges (a, b) but the roots: root is the smallest unsigned node reachable.
 
-    Alternates large-star and small-star steps; each step is written, so none is recomputed.
+    Alternates large-star and small-star steps; each step is written, so none is recomputed, and what it follows is deleted.
     """
-    flip = -(1 << 63)
-    low = lambda c: F.col(c).bitwiseXOR(F.lit(flip))  # unsigned order as signed order
-    links_ = stored(edges.select(low("a").alias("a"), low("b").alias("b")).where("a <> b").distinct(), "links")
-    before = None
+    scratch = Scratch(edges.sparkSession)
+    links_ = scratch.stored(edges.select(low("a").alias("a"), low("b").alias("b")).where("a <> b").distinct(), "links")
+    told = lambda: tuple(links_.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+    before = told()
     while True:
         both = links_.unionByName(links_.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        least = down.groupBy("a").agg(F.min("b").alias("m"))
-        small = down.join(least, "a").select(F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("m").alias("y")), F.struct(F.col("b").alias("x"), F.col("m").alias("y")))).alias("e"))
-        links_ = stored(small.select(F.col("e.x").alias("a"), F.col("e.y").alias("b")).where("a <> b").distinct(), "links")
-        now = tuple(links_.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+        least = scratch.stored(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n")), "least")
+        large = hub_join(both, least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        down = scratch.stored(large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), "down")
+        least = scratch.stored(down.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")), "least")
+        small = hub_join(down, least, "a").select(F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("m").alias("y")), F.struct(F.col("b").alias("x"), F.col("m").alias("y")))).alias("e"))
+        links_ = scratch.stored(small.select(F.col("e.x").alias("a"), F.col("e.y").alias("b")).where("a <> b").distinct(), "links")
+        now = told()
+        scratch.keep_last()
         if now == before:
             return links_.select(low("a").alias("node"), low("b").alias("root"))
         before = now
 
 
 def labelled(docs: DataFrame, distinct: DataFrame, edges: DataFrame) -> DataFrame:
-    """docs (doc_id, node) with component_id: the smallest doc_id that links reach, itself included; distinct has node and least_id."""
+    """docs (doc_id, node) with component_id: the smallest doc_id that links reach, itself included; distinct has node, least_id and n (rows)."""
     roots = components(edges).withColumnRenamed("node", "linked")
-    named = distinct.join(roots, F.col("node") == F.col("linked"), "left").select("node", "least_id", F.coalesce("root", "node").alias("root"))
-    lowest = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    labels = named.join(lowest, "root").select(F.col("node").alias("of"), "component_id")
-    return docs.join(labels, F.col("node") == F.col("of")).drop("of")
+    named = stored(distinct.join(roots, F.col("node") == F.col("linked"), "left").select("node", "least_id", F.coalesce("root", "node").alias("root"), F.col("n").alias("of_node")), "named")
+    lowest = stored(named.groupBy("root").agg(F.min("least_id").alias("component_id"), F.count("*").alias("n")), "lowest")
+    labels = stored(hub_join(named.select("node", "of_node", "root"), lowest, "root").select("node", "component_id", F.col("of_node").alias("n")), "labels")
+    return hub_join(docs, labels, "node")
 
 
 def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id that links reach, itself included)."""
     docs = stored(fingerprints(documents, id_col, text_col, size), "fingerprints")
-    distinct = stored(docs.groupBy("fp").agg(F.min("doc_id").alias("least_id")).withColumn("node", F.col("fp")), "distinct")
-    found = labelled(docs.withColumn("node", F.col("fp")), distinct, candidate_links(distinct))
+    distinct = stored(docs.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("n")).withColumn("node", F.col("fp")), "distinct")
+    found = labelled(docs.withColumn("node", F.col("fp")), distinct, candidate_links(close_keys(distinct)))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -296,10 +324,11 @@ def shingles(text: str | None, size: int = WIDE_SHINGLE) -> np.ndarray:
 def band_keys(hashes: np.ndarray) -> np.ndarray:
     """A key for each of `BANDS` bands of `BAND_ROWS` least values under random orders: sets of similarity s share
     a band's key with probability s ** BAND_ROWS, however large they are."""
-    draw = np.random.default_rng(SEED).integers(0, 2**64, (2, BANDS * BAND_ROWS), dtype=np.uint64)
-    least = np.full(BANDS * BAND_ROWS, ALL)
-    for at in range(0, len(hashes), 4096):
-        least = np.minimum(least, ((hashes[at : at + 4096, None] ^ draw[0]) * (draw[1] | np.uint64(1))).min(axis=0))
+    draw = np.random.default_rng(SEED).integers(0, 2**32, (2, BANDS * BAND_ROWS), dtype=np.uint32)
+    least = np.full(BANDS * BAND_ROWS, 0xFFFFFFFF, np.uint32)
+    short = (hashes >> np.uint64(32)).astype(np.uint32)[:, None]
+    for at in range(0, len(hashes), 256):  # small enough for the processor's cache
+        least = np.minimum(least, ((short[at : at + 256] ^ draw[0]) * (draw[1] | np.uint32(1))).min(axis=0))
     return np.array([xxhash.xxh64_intdigest(row.tobytes(), k) for k, row in enumerate(least.reshape(BANDS, BAND_ROWS))], np.uint64)
 
 
@@ -309,7 +338,7 @@ def _lists(parts: list[np.ndarray]) -> pa.Array:
 
 
 def shingle_sets(documents: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """doc_id, text, place (of the row), node (a hash of its set of shingles) and keys (of the set's bands)."""
+    """doc_id, text, place (of the row), node (a hash of its set of shingles), fp0, fp1 (its fingerprint) and keys (of the set's bands)."""
     kind = documents.schema[id_col].dataType.simpleString()
 
     def make() -> Callable:
@@ -317,12 +346,14 @@ def shingle_sets(documents: DataFrame, id_col: str, text_col: str, size: int) ->
             sets = [shingles(t, size) for t in cols["text"]]
             nodes = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets], np.uint64)
             keys = [band_keys(x) if len(x) else x for x in sets]
-            return {n: cols[n] for n in ("doc_id", "text", "place")} | {"node": pa.array(nodes.view(np.int64)), "keys": _lists(keys)}
+            fp = np.array([majority((x[at : at + 8192] for at in range(0, len(x), 8192)), WIDE) for x in sets], np.uint64).reshape(-1, WIDE).view(np.int64)
+            words = {f"fp{k}": pa.array(np.ascontiguousarray(fp[:, k])) for k in range(WIDE)}
+            return {n: cols[n] for n in ("doc_id", "text", "place")} | {"node": pa.array(nodes.view(np.int64)), "keys": _lists(keys)} | words
 
         return step
 
     rows = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("place"))
-    return map_rows(rows, make, f"doc_id {kind}, text string, place long, node long, keys array<long>", rows=256)
+    return map_rows(rows, make, f"doc_id {kind}, text string, place long, node long, {', '.join(f'fp{k} long' for k in range(WIDE))}, keys array<long>", rows=256)
 
 
 def set_links(sets: list[np.ndarray], side: np.ndarray, least: float = SIMILAR) -> np.ndarray:
@@ -345,19 +376,21 @@ def set_links(sets: list[np.ndarray], side: np.ndarray, least: float = SIMILAR)
     return _components(np.arange(n), a, b)
 
 
-def similar_links(docs: DataFrame, distinct: DataFrame, size: int = WIDE_SHINGLE, least: float = SIMILAR, chunk: int = SET_CHUNK) -> DataFrame:
-    """Links (a, b) whose transitive closure joins all nodes that keys bring together with similar sets.
+def close_links(docs: DataFrame, distinct: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """Links (a, b) that join all sets which share a band's key and have close fingerprints: candidates."""
+    one = docs.select("place", "node", *[f"fp{k}" for k in range(WIDE)], "keys").join(distinct.select("place"), "place", "left_semi")
+    keyed = stored(one.select(F.explode("keys").alias("key"), "node", *[f"fp{k}" for k in range(WIDE)]), "keyed")
+    return candidate_links(keyed, WIDE_RADIUS, chunk)
+
+
+def similar_links(docs: DataFrame, distinct: DataFrame, candidates: DataFrame, size: int = WIDE_SHINGLE, least: float = SIMILAR, chunk: int = SET_CHUNK) -> DataFrame:
+    """Links (a, b) whose transitive closure joins all nodes of a group of candidates (node, root) with similar sets.
 
-    distinct holds each node once with the place of a row of docs; sets travel only for keys of two nodes or more.
+    distinct holds each node once with the place of a row of docs; only texts of groups of two nodes or more travel.
     """
-    keyed = docs.select("place", "node", "keys").join(distinct.select("place"), "place", "left_semi").select("place", "node", F.explode("keys").alias("key"))
-    keyed = stored(keyed, "keyed")
-    counts = stored(keyed.groupBy("key").count().where("count > 1"), "key-counts")
-    few = F.col("count") <= FEW  # keys that bring the same few nodes together are one key
-    members = keyed.join(counts.where(few), "key").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("place", "node"))).alias("members"))
-    small = members.select(F.xxhash64("members").alias("key"), F.inline("members")).distinct().select("place", "node", "key")
-    large = keyed.join(counts.where(~few).select("key"), "key", "left_semi").select("place", "node", "key")
-    rows = met(small.unionByName(large), counts.where(~few), chunk)
+    members = candidates.unionByName(candidates.select(F.col("root").alias("node"), "root").distinct()).select("node", F.col("root").alias("key"))
+    members = stored(members.join(distinct.select("node", "place"), "node"), "members")
+    rows = met(members, members.groupBy("key").count(), chunk)
     asked = rows.groupBy("place").agg(F.collect_list(F.struct("key", "lo", "hi", "side")).alias("asked"))
     texts = docs.select("place", "node", "text").join(asked, "place").select("node", "text", "asked")
 
@@ -365,7 +398,7 @@ def similar_links(docs: DataFrame, distinct: DataFrame, size: int = WIDE_SHINGLE
         return lambda cols: {"node": cols["node"], "asked": cols["asked"], "grams": _lists([shingles(t, size) for t in cols["text"]])}
 
     rows = map_rows(texts, make, "node long, asked array<struct<key: long, lo: int, hi: int, side: int>>, grams array<long>", rows=256).select(F.inline("asked"), "node", "grams")
-    rows = rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").select("key", "lo", "hi", "side", "node", "grams")
+    rows = rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", low("node")).select("key", "lo", "hi", "side", "node", "grams")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -409,8 +442,9 @@ def deduplicated(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
     `SIMILAR` or more, and what such links join) keeps one row: that of its smallest id (of rows that share it, the one of
     the smallest text). Rows without an id cannot be named, so of these each different text stays once."""
     docs = stored(shingle_sets(documents, id_col, text_col, size), "shingle-sets", compression="zstd")
-    distinct = stored(docs.groupBy("node").agg(F.min("place").alias("place"), F.min("doc_id").alias("least_id")), "distinct")
-    found = labelled(docs.select("doc_id", "node"), distinct, similar_links(docs, distinct, size))
+    distinct = stored(docs.groupBy("node").agg(F.min("place").alias("place"), F.min("doc_id").alias("least_id"), F.count("*").alias("n")), "distinct")
+    candidates = components(close_links(docs, distinct))
+    found = labelled(docs.select("doc_id", "node"), distinct, similar_links(docs, distinct, candidates, size))
     keep = found.where(F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))).select(F.col("doc_id").alias("_keep_id")).distinct()
     rows = documents.join(keep, F.col(id_col).eqNullSafe(F.col("_keep_id")), "left_semi")
     order = W.partitionBy(F.col(id_col), F.when(F.col(id_col).isNull(), F.col(text_col))).orderBy(F.col(text_col).asc_nulls_last())
