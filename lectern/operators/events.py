@@ -60,9 +60,9 @@ def new_only(arriving: DataFrame, known: DataFrame) -> DataFrame:
 
 def visible(events: DataFrame) -> DataFrame:
     """Without clears and what they hide: per book, metadata stays, the rest only after the latest clear by (at, id)."""
-    clear = F.max(F.when(F.col("kind") == "Clear", F.struct("at", "id"))).over(W.partitionBy("book"))
+    clears = events.where("kind = 'Clear'").groupBy("book").agg(F.max(F.struct("at", "id")).alias("_clear")).withColumnRenamed("book", "_book")
     shown = (F.col("kind") == "Metadata") | F.coalesce(F.struct("at", "id") > F.col("_clear"), F.lit(True))
-    return events.withColumn("_clear", clear).where((F.col("kind") != "Clear") & shown).drop("_clear")
+    return events.where("kind <> 'Clear'").join(clears, F.col("book") == F.col("_book"), "left").where(shown).drop("_clear", "_book")
 
 
 def readings(shown: DataFrame) -> DataFrame:

@@ -16,8 +16,7 @@ SKIPPED = ("script", "style", "head", "nav", "title", "template", "noscript")
 BLOCKS = tuple("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 # Named characters that occur in books.
 NAMED = {"nbsp": "\xa0", "copy": "©", "middot": "·", "mdash": "—", "ndash": "–", "hellip": "…", "lsquo": "‘", "rsquo": "’", "ldquo": "“", "rdquo": "”", "shy": "\xad", "apos": "'", "quot": '"', "lt": "<", "gt": ">"}
-TOKEN = r"(?s)<!--.*?-->|<[!?/A-Za-z][^>]*>|[^<]+|<"
-MOST_CHARS = 2 * 1024 * 1024
+TOKEN = r"""(?s)<!--.*?-->|<[!?/A-Za-z](?:=\s*"[^"]*"|=\s*'[^']*'|[^>])*+>|[^<]+|<"""
 
 
 def decoded_entities(text: Column) -> Column:
@@ -41,13 +40,16 @@ def _characters(text: Column) -> Column:
     return F.aggregate(refs, text, put)
 
 
-def tokens(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """id, ord, token, tag (lower case, null for text), closing, attrs. Skipped elements and comments are left out."""
+def tokens(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", most_chars: int | None = None) -> DataFrame:
+    """id, ord, token, tag (lower case, null for text), closing. Skipped elements and comments are left out.
+
+    most_chars: pages of more characters give no rows (2 * 1024 * 1024 is a usual limit of readers); none by default.
+    """
     html = F.col(html_col)
     bare = html
     for name in SKIPPED:
         bare = F.regexp_replace(bare, rf"(?is)<{name}\b[^>]*>.*?</{name}\s*>", " ")
-    kept = F.when(F.length(html) <= MOST_CHARS, bare)
+    kept = bare if most_chars is None else F.when(F.length(html) <= most_chars, bare)
     df = pages.select(F.col(id_col).alias("id"), F.posexplode(F.regexp_extract_all(kept, F.lit(TOKEN), F.lit(0))).alias("ord", "token"))
     name = F.lower(F.regexp_extract("token", r"^</?([A-Za-z][A-Za-z0-9]*)", 1))
     is_tag = F.col("token").rlike(r"(?s)^<[!?/A-Za-z].*>$")

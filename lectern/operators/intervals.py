@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-DAY_MS = 86_400_000
+DAY_MS, HOUR_MS = 86_400_000, 3_600_000
 
 
 def union(intervals: DataFrame, *keys: str) -> DataFrame:
@@ -41,6 +41,20 @@ def by_local_day(parts: DataFrame) -> DataFrame:
         "day": F.date_from_unix_date(F.col("_d").cast("int"))}).drop("_d")
 
 
+def union_in_buckets(intervals: DataFrame, *keys: str, bucket_ms: int = HOUR_MS) -> DataFrame:
+    """The parts that `union` gives, cut at multiples of bucket_ms: no group is ordered as a whole.
+
+    Inside a bucket the intervals keep the order of their own start, end and offset, so each
+    moment belongs to the same interval, and has the same offset, as without the cut.
+    """
+    bucket = F.explode(F.sequence(F.floor(F.col("start") / bucket_ms), F.floor((F.col("end") - 1) / bucket_ms)))
+    cut = intervals.where("end > start").withColumns({"_start": F.col("start"), "_end": F.col("end")}).withColumn("_bucket", bucket)
+    cut = cut.withColumns({"start": F.greatest("start", F.col("_bucket") * bucket_ms), "end": F.least("end", (F.col("_bucket") + 1) * bucket_ms)})
+    line = W.partitionBy(*keys, "_bucket").orderBy("_start", "_end", "offset").rowsBetween(W.unboundedPreceding, -1)
+    begin = F.greatest("start", F.coalesce(F.max("end").over(line), F.lit(0)))
+    return cut.withColumn("_begin", begin).where("end > _begin").withColumn("start", F.col("_begin")).drop("_begin", "_bucket", "_start", "_end")
+
+
 def daily(intervals: DataFrame, *keys: str) -> DataFrame:
     """Milliseconds per group and local day of the union: keys, day, ms."""
-    return by_local_day(union(intervals, *keys)).groupBy(*keys, "day").agg(F.sum(F.col("end") - F.col("start")).alias("ms"))
+    return by_local_day(union_in_buckets(intervals, *keys)).groupBy(*keys, "day").agg(F.sum(F.col("end") - F.col("start")).alias("ms"))

@@ -72,31 +72,43 @@ def offsets(nodes: DataFrame) -> DataFrame:
 
 
 def unique_quotes(quotes: DataFrame, documents: DataFrame) -> DataFrame:
-    """Where each quote (quote_id, quote) occurs in exactly one document: quote_id, doc_id.
-
-    Quotes are cut to their first three words for an equality join with all such word runs
-    of the documents; the whole quote is checked afterwards, so no pairs are compared blindly.
-    """
-    runs = quote_pairs(quotes, documents)
-    one = runs.groupBy("quote_id").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id")).where("n = 1")
+    """Where each quote (quote_id, quote) occurs in exactly one document: quote_id, doc_id."""
+    one = quote_pairs(quotes, documents).groupBy("quote_id").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id")).where("n = 1")
     return one.select("quote_id", "doc_id")
 
 
-def quote_pairs(quotes: DataFrame, documents: DataFrame) -> DataFrame:
-    """Pairs (quote_id, doc_id) where the document holds the quote word for word.
+#: Characters of a quote that key its search, and of the pieces that texts of documents are cut into.
+KEY_CHARS = 12
+
+
+def quote_pairs(quotes: DataFrame, documents: DataFrame, key_chars: int = KEY_CHARS) -> DataFrame:
+    """Pairs (quote_id, doc_id) where the document holds the quote, character for character.
 
-    The first five blanks-separated words of a quote key an equality join against the same
-    runs of the documents (the first one may be the end of a longer string, so it is left
-    out of the key). Quotes of fewer words are few enough to be compared one by one.
+    Every document is cut into pieces of key_chars characters, one after the other, and only
+    their hashes travel. A quote of twice that length or more holds at least one whole piece of
+    any text it occurs in, so its own hashes at the first key_chars offsets meet that piece. A
+    shorter quote is looked up by its hash at its own length: there each place of a document
+    counts, once for each such length that quotes have. What meets is checked on the texts of
+    those documents alone.
     """
-    words = F.split("quote", " ")
-    key = F.array_join(F.slice(words, 2, 4), " ")
-    long = quotes.where(F.size(words) >= 6).withColumn("key", key)
-    w = F.split("text", " ")
-    grams = documents.withColumn("w", w).where(F.size("w") >= 5).select(
-        "doc_id", "text", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - 3), lambda i: F.array_join(F.slice("w", i, 4), " ")))).alias("key"))
-    wanted = long.select("key").distinct()
-    found = grams.join(wanted, "key", "left_semi").join(long, "key").where(F.col("text").contains(F.col("quote")))
-    short = quotes.where(F.size(words) < 6)
-    some = documents.join(short, F.col("text").contains(F.col("quote")))
-    return found.select("quote_id", "doc_id").unionByName(some.select("quote_id", "doc_id")).distinct()
+    known = quotes.where("quote is not null").select("quote_id", "quote", F.length("quote").alias("n"))
+    if known.where("n = 0").limit(1).count():
+        empty = known.where("n = 0").select("quote_id")
+        every = documents.where("text is not null").select("doc_id").withColumn("_one", F.lit(1)).join(F.broadcast(empty.withColumn("_one", F.lit(1))), "_one").select("quote_id", "doc_id")
+    else:
+        every = None
+    cut = lambda c, at, n: F.xxhash64(F.substring(c, at + 1, n))
+    long = known.where(f"n >= {2 * key_chars}").select("quote_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(key_chars - 1)), lambda i: cut(F.col("quote"), i, F.lit(key_chars))))).alias("key"))
+    words = documents.where("text is not null").select("doc_id", F.explode(F.array_distinct(F.transform(
+        F.regexp_extract_all("text", F.lit(f"(?s).{{{key_chars}}}"), F.lit(0)), lambda x: F.xxhash64(x)))).alias("key"))
+    met = words.join(long, "key").select("quote_id", "doc_id")
+    short = known.where(f"n > 0 and n < {2 * key_chars}")
+    for (n,) in short.select("n").distinct().collect():  # at most 2 * key_chars lengths
+        own = short.where(F.col("n") == n).select("quote_id", F.xxhash64("quote").alias("key"))
+        # every place: the pieces of length n that begin at offset 0, 1, ... n - 1
+        pieces = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.regexp_extract_all(F.substring(F.col("text"), i + 1, F.length("text")), F.lit(f"(?s).{{{n}}}"), F.lit(0))))
+        places = documents.where(F.length("text") >= n).select("doc_id", F.explode(F.array_distinct(F.transform(pieces, lambda x: F.xxhash64(x)))).alias("key"))
+        met = met.unionByName(places.join(own, "key").select("quote_id", "doc_id"))
+    checked = met.distinct().join(known.select("quote_id", "quote"), "quote_id").join(documents.select("doc_id", "text"), "doc_id").where(F.col("text").contains(F.col("quote")))
+    out = checked.select("quote_id", "doc_id").distinct()
+    return out if every is None else out.unionByName(every)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lectern.operators import events as ev, intervals as iv, periods as pr
 from lectern.plans.registry import query
-from lectern.sources.tables import READING_SQL, event_keys, table, wire_events
+from lectern.sources.tables import READING_SQL, event_keys, table, typed_events, wire_events
 
 TODAY = dt.date(2024, 1, 30)
 WITH = f"WITH {READING_SQL.strip()}"
@@ -19,11 +19,12 @@ dy AS (SELECT *, DATE '1970-01-01' + CAST(d AS INTEGER) AS day, least(en, (d + 1
 
 
 def decoded(spark: SparkSession, folder: str) -> DataFrame:
+    """Wire records decoded: what the queries that test decoding read."""
     return ev.decode(wire_events(table(spark, folder, "events")))
 
 
 def shown(spark: SparkSession, folder: str) -> DataFrame:
-    return ev.visible(decoded(spark, folder).where("valid"))
+    return ev.visible(typed_events(table(spark, folder, "events")).where("valid"))
 
 
 def read(spark: SparkSession, folder: str) -> DataFrame:
@@ -38,7 +39,7 @@ def event_validation_counts(spark, folder):
 
 @query(f"{WITH} SELECT id, book, kind FROM vis")
 def clear_visible_events(spark, folder):
-    return shown(spark, folder).select("id", "book", "kind")
+    return ev.visible(decoded(spark, folder).where("valid")).select("id", "book", "kind")
 
 
 @query("""WITH e AS (SELECT event_id // 3 AS g, event_id FROM events)
@@ -180,28 +181,17 @@ z AS (WITH {UNION.format(g='book', src='rd')}, {DAYS} SELECT count(DISTINCT book
 w AS (SELECT count(*) AS finished FROM (SELECT book, max({{'a': tm, 'i': id, 'd': CAST(ts AS DATE)}}) AS s FROM vis WHERE kind = 'Status' GROUP BY 1) WHERE s.d BETWEEN DATE '2024-01-01' AND DATE '2024-01-31')
 SELECT CAST(ms AS BIGINT) AS ms, days, books, finished FROM x, y, z, w""")
 def period_overview(spark, folder):
-    """Time and days over all books together, books read, books finished in the month.
-
-    The union across books is cut by day and offset afterwards; it is ordered within hours of
-    the clock, not as a whole (see `_all_days`).
-    """
+    """Time and days over all books together, books read, books finished in the month: one pass over the days of
+    readings, and one over the fold."""
     first, last = pr.bounds("month", F.lit(TODAY).cast("date"))
     inside = pr.within(F.col("day"), first, last)
-    rd = read(spark, folder)
-    ms = _all_days(rd).where(inside).agg(F.coalesce(F.sum("ms"), F.lit(0)).alias("ms"))
-    days = _all_days(rd.where("qualified")).where(inside).agg(F.countDistinct("day").alias("days"))
-    books = iv.by_local_day(rd).where(inside).agg(F.countDistinct("book").alias("books"))
+    rd = read(spark, folder).select("book", "start", "end", "offset", "qualified")
+    every = iv.by_local_day(rd).where(inside).select("book", F.when(F.col("qualified"), F.col("day")).alias("day"))
+    counted = every.agg(F.countDistinct("book").alias("books"), F.countDistinct("day").alias("days"))
+    ms = iv.daily(rd).where(inside).agg(F.coalesce(F.sum("ms"), F.lit(0)).alias("ms"))
     finished = ev.fold(shown(spark, folder)).where(pr.within(F.col("finished").cast("date"), first, last) & (F.col("status") == "Finished"))
     finished = finished.agg(F.count("*").alias("finished"))
-    return ms.crossJoin(days).crossJoin(books).crossJoin(finished)
-
-
-def _all_days(rd: DataFrame) -> DataFrame:
-    """Daily time of everything together: cut at hours first, so no task orders all intervals."""
-    hour = 3_600_000
-    cut = rd.where("end > start").withColumn("_h", F.explode(F.sequence(F.floor(F.col("start") / hour), F.floor((F.col("end") - 1) / hour)))).withColumns({
-        "start": F.greatest("start", F.col("_h") * hour), "end": F.least("end", (F.col("_h") + 1) * hour)})
-    return iv.by_local_day(iv.union(cut, "_h")).groupBy("day").agg(F.sum(F.col("end") - F.col("start")).alias("ms"))
+    return ms.crossJoin(counted).crossJoin(finished).select("ms", "days", "books", "finished")
 
 
 @query(f"{ALL_DAYS} SELECT CAST(coalesce(sum(ms) FILTER (day = DATE '{TODAY}'), 0) AS BIGINT) AS today, CAST(coalesce(sum(ms) FILTER (day BETWEEN DATE '2024-01-29' AND DATE '{TODAY}'), 0) AS BIGINT) AS week, count(DISTINCT day) FILTER (day BETWEEN DATE '2024-01-29' AND DATE '{TODAY}') AS days FROM t")

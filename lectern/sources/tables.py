@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from lectern.operators.events import is_valid
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -34,6 +36,23 @@ def wire_events(events: DataFrame) -> DataFrame:
     return e.withColumn("head", head).select(F.concat(F.expr("substring(head, 1, length(head) - 1)"), F.lit(',"kind":'), kind, F.lit("}")).alias("json"))
 
 
+def typed_events(events: DataFrame) -> DataFrame:
+    """events as the columns that decoding the wire records gives (id, device, book, at, kind, reading, status, metadata, valid), without JSON."""
+    e = event_keys(events)
+    hour = F.hour(F.col("ts").cast("timestamp"))
+    kind = (F.when(F.col("event_type").isin("view", "click"), "Reading").when(F.col("event_type") == "purchase", "Status")
+            .when(F.col("event_type") == "signup", "Metadata").when(F.col("k") % 10 == 0, "Clear"))
+    reading = F.struct(
+        F.col("ms").alias("start"), (F.col("ms") + F.round(F.col("value") * 100).cast("long")).alias("end"), ((F.col("user_id") % 25 - 12) * 3600).cast("int").alias("offset"),
+        F.concat("device", F.lit("-"), hour.cast("string")).alias("session"), F.lit(0.0).alias("from"), F.least(F.lit(1.0), F.col("value") / 500).alias("to"))
+    status = F.struct(F.lit("Finished").alias("status"), F.date_format("ts", "yyyy-MM-dd").alias("finished"))
+    metadata = F.struct(F.concat(F.lit("Title "), "book").alias("title"), F.col("device").alias("authors"), F.col("ms").alias("added"))
+    df = e.select(F.col("event_id").cast("string").alias("id"), "device", "book", F.col("ms").alias("at"), kind.alias("kind"), reading.alias("r"), status.alias("s"), metadata.alias("m"))
+    mine = lambda name, c: F.when(F.col("kind") == name, F.col(c))
+    df = df.select("id", "device", "book", "at", "kind", mine("Reading", "r").alias("reading"), mine("Status", "s").alias("status"), mine("Metadata", "m").alias("metadata"))
+    return df.withColumn("valid", F.coalesce(is_valid(), F.lit(False)))
+
+
 #: The same records in DuckDB, as columns: name of a common table expression and its text.
 READING_SQL = r"""
 base AS (SELECT CAST(event_id AS VARCHAR) AS id, 'u' || user_id AS device, CAST(regexp_extract(props, '([0-9]+)', 1) AS INTEGER) AS k,
