@@ -59,12 +59,16 @@ def url_parts(spark, folder):
     return table(spark, folder, "pages").select("page_id", part("PROTOCOL").alias("scheme"), part("HOST").alias("host"), part("PATH").alias("path"), part("REF").alias("fragment"), tx.is_web_url(F.col("url")).alias("web"))
 
 
-@query("""SELECT * FROM (VALUES ('OEBPS/text/a.xhtml', '../img/x%20y.png', 'OEBPS/img/x y.png', NULL), ('OEBPS/text/a.xhtml', '#n1', 'OEBPS/text/a.xhtml', 'n1'), ('OEBPS/text/a.xhtml', 'b.xhtml?q=1#f+g', 'OEBPS/text/b.xhtml', 'f+g'),
-('a.html', '/root/./c.html', 'root/c.html', NULL), ('a/b.html', 'bad%zz', 'a/bad%zz', NULL)) t(base, href, path, fragment)""")
+@query("""WITH r AS (SELECT p_partkey AS k, 'd' || (p_size % 5) AS d, 'f' || p_partkey AS f FROM part)
+SELECT k, CASE k % 5 WHEN 0 THEN 'O/img/' || f || ' y.png' WHEN 1 THEN 'O/' || d || '/a.xhtml' WHEN 2 THEN 'O/' || d || '/' || f || '.xhtml' WHEN 3 THEN 'root/' || f || '.html' ELSE 'O/' || d || '/bad%zz' || f END AS path,
+CASE k % 5 WHEN 1 THEN f WHEN 2 THEN 'f+' || f END AS fragment FROM r""")
 def href_resolve(spark, folder):
-    rows = [("OEBPS/text/a.xhtml", "../img/x%20y.png"), ("OEBPS/text/a.xhtml", "#n1"), ("OEBPS/text/a.xhtml", "b.xhtml?q=1#f+g"), ("a.html", "/root/./c.html"), ("a/b.html", "bad%zz")]
-    df = spark.createDataFrame(rows, "base string, href string").withColumn("r", tx.resolved_href(F.col("base"), F.col("href")))
-    return df.select("base", "href", "r.path", F.nullif(F.col("r.fragment"), F.lit("")).alias("fragment"))
+    k, f = F.col("p_partkey"), F.concat(F.lit("f"), F.col("p_partkey").cast("string"))
+    base = F.concat(F.lit("O/d"), (F.col("p_size") % 5).cast("string"), F.lit("/a.xhtml"))
+    href = (F.when(k % 5 == 0, F.concat(F.lit("../img/"), f, F.lit("%20y.png"))).when(k % 5 == 1, F.concat(F.lit("#"), f)).when(k % 5 == 2, F.concat(f, F.lit(".xhtml?q=1#f+"), f))
+            .when(k % 5 == 3, F.concat(F.lit("/root/./x/../"), f, F.lit(".html"))).otherwise(F.concat(F.lit("bad%zz"), f)))
+    df = table(spark, folder, "part").select(k.alias("k"), tx.resolved_href(base, href).alias("r"))
+    return df.select("k", "r.path", F.nullif(F.col("r.fragment"), F.lit("")).alias("fragment"))
 
 
 def toc_rows(spark, folder):

@@ -29,10 +29,12 @@ def grid_lines(spark, folder):
     return pg.merged_lines(e, "user_id", "a", "z", 0.5)
 
 
-@query("""SELECT * FROM (VALUES (1, '{"a": [1, 2], "b": ",}"}'), (2, '{"x": 1}'), (3, NULL), (4, '{"q": "\\",]", "r": {}}')) t(id, json)""")
+@query("""SELECT event_id, CASE event_id % 3 WHEN 0 THEN '{"p": ' || props || ', "q": "\\",]"}' WHEN 1 THEN '{"a": [1, ' || event_id || '], "b": ",}"}' END AS json FROM events""")
 def tolerant_json(spark, folder):
-    rows = [(1, 'Here: ```{"a": [1, 2,], "b": ",}",}```'), (2, '{"x": 1}'), (3, "no object"), (4, '{"q": "\\",]", "r": {},}')]
-    return spark.createDataFrame(rows, "id int, text string").select("id", pg.tolerant_json(F.col("text")).alias("json"))
+    """Objects of events wrapped in prose, with commas too many."""
+    k, n = F.col("event_id") % 3, F.col("event_id").cast("string")
+    text = F.when(k == 0, F.concat(F.lit('{"p": '), "props", F.lit(', "q": "\\",]",}'))).when(k == 1, F.concat(F.lit('Here: ```{"a": [1, '), n, F.lit(',], "b": ",}",}``` end'))).otherwise(F.concat(F.lit("no object "), n))
+    return table(spark, folder, "events").select("event_id", pg.tolerant_json(text).alias("json"))
 
 
 @query("""WITH t AS (SELECT conv_id, turn, regexp_replace(lower(text), '[\\s\\x{A0}]+', '', 'g') AS t, regexp_replace(lower(substr(text, 1, 3)), '[\\s\\x{A0}]+', '', 'g') AS q FROM conversations),

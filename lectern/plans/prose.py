@@ -40,33 +40,49 @@ def list_markers(spark, folder):
     return df.select("doc_id", "ord", "m.family", "m.value")
 
 
-@query("""SELECT * FROM (VALUES (1, 'figure', '1'), (1, 'figure', '2'), (1, 'figure', '3'), (2, 'table', '2-1'), (3, 'figure', '12'), (4, 'table', '5'), (4, 'chart', '7')) t(id, kind, number)""")
+@query("""WITH m AS (SELECT p_partkey AS id, p_size AS n, p_partkey % 7 AS k FROM part)
+SELECT id, 'figure' AS kind, unnest([CAST(n AS VARCHAR), CAST(n + 1 AS VARCHAR), CAST(n + 2 AS VARCHAR)]) AS number FROM m WHERE k = 0
+UNION ALL SELECT id, 'table', n || '-1' FROM m WHERE k = 1 UNION ALL SELECT id, 'figure', '12' FROM m WHERE k = 2 UNION ALL SELECT id, unnest(['table', 'figure']), unnest([CAST(n AS VARCHAR), 'a.' || n || 'b']) FROM m WHERE k = 3
+UNION ALL SELECT id, 'figure', unnest(['35', '36']) FROM m WHERE k = 4 UNION ALL SELECT id, 'table', n || 'c' FROM m WHERE k = 5""")
 def media_mentions(spark, folder):
-    rows = [(1, "see Figs 1, 2 and 3 above"), (2, "表2-1 显示"), (3, "图１２"), (4, "Table 5 and Chart 7."), (5, "nothing of it")]
-    return lg.media_references(spark.createDataFrame(rows, "id int, text string")).select("id", "kind", "number")
+    """Figures and tables that made sentences mention: chains, full-width digits, letters before and after, Chinese numerals."""
+    n, k = F.col("p_size"), F.col("p_partkey") % 7
+    put = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x.cast("string") for x in parts])
+    text = (F.when(k == 0, put("see Figs ", n, ", ", n + 1, " and ", n + 2, " above")).when(k == 1, put("表", n, "–１ 显示")).when(k == 2, put("as in Fig. １２ or misfigure ", n))
+            .when(k == 3, put("Tab. ", n, "; FIGURE A.", n, "B")).when(k == 4, put("插图三十五及三十六")).when(k == 5, put("tables ", n, "(c)")).otherwise(put("Plate ", n, ", chart ", n, " and prefigure ", n)))
+    return lg.media_references(table(spark, folder, "part").select(F.col("p_partkey").alias("id"), text.alias("text"))).select("id", "kind", "number")
 
 
-@query("""SELECT * FROM (VALUES (1, 'Smith, 2010', true), (1, 'as shown', false), (2, '1, 3-5', true), (3, 'see Ng and Lee, 1999; Wu et al., 2001a', true)) t(id, inside, cites)""")
+@query("""WITH c AS (SELECT c_custkey AS id, replace(c_name, 'Customer#', 'N') AS who, 1900 + c_custkey % 120 AS y, c_custkey % 4 AS k FROM customer)
+SELECT id, 'Smith, ' || y AS inside, true AS cites FROM c WHERE k = 0 UNION ALL SELECT id, 'as ' || who, false FROM c WHERE k = 0 UNION ALL SELECT id, '1, ' || (y % 50) || '-99', true FROM c WHERE k = 1
+UNION ALL SELECT id, 'see Ng and Lee, ' || y || '; Wu et al., ' || y || 'a', true FROM c WHERE k = 2""")
 def citation_candidates(spark, folder):
-    rows = [(1, "Words (Smith, 2010) and (as shown) here."), (2, "Numbers [1, 3-5]."), (3, "Many (see Ng and Lee, 1999; Wu et al., 2001a)."), (4, "none")]
-    return lg.citations(spark.createDataFrame(rows, "id int, text string"), "id").select("id", "inside", "cites")
+    k, y, who = F.col("c_custkey") % 4, (1900 + F.col("c_custkey") % 120).cast("string"), F.replace("c_name", F.lit("Customer#"), F.lit("N"))
+    text = (F.when(k == 0, F.concat(F.lit("Words (Smith, "), y, F.lit(") and (as "), who, F.lit(") here."))).when(k == 1, F.concat(F.lit("Numbers [1, "), ((1900 + F.col("c_custkey") % 120) % 50).cast("string"), F.lit("-99].")))
+            .when(k == 2, F.concat(F.lit("Many（see Ng and Lee, "), y, F.lit("; Wu et al., "), y, F.lit("a）."))).otherwise("none"))
+    return lg.citations(table(spark, folder, "customer").select(F.col("c_custkey").alias("id"), text.alias("text")), "id").select("id", "inside", "cites")
 
 
-@query("""SELECT * FROM (VALUES (1, 'https://a.org/b_(c)'), (2, 'http://x.net/y'), (2, 'www.z.com')) t(id, link)""")
+@query("""WITH p AS (SELECT page_id AS id, url, page_id % 3 AS k FROM pages) SELECT id, url AS link FROM p WHERE k = 0 UNION ALL SELECT id, url || '_(c)' FROM p WHERE k = 1 UNION ALL SELECT id, 'www.z' || id || '.com' FROM p WHERE k = 1""")
 def prose_links(spark, folder):
-    rows = [(1, "see https://a.org/b_(c), now"), (2, "(http://x.net/y) or www.z.com."), (3, "no")]
-    return spark.createDataFrame(rows, "id int, text string").select("id", F.explode(tx.web_links(F.col("text"))).alias("link"))
+    k = F.col("page_id") % 3
+    text = F.when(k == 0, F.concat(F.lit("look (at "), "url", F.lit("), now"))).when(k == 1, F.concat(F.lit("see "), "url", F.lit("_(c), or <www.z"), F.col("page_id").cast("string"), F.lit(".com>.”"))).otherwise("no address, http or www")
+    return table(spark, folder, "pages").select(F.col("page_id").alias("id"), F.explode(tx.web_links(text)).alias("link"))
 
 
-@query("""SELECT * FROM (VALUES ('Chapter IV', 'iv'), ('12.', '12'), ('Twenty-One', 'twentyone'), ('Part the first', NULL), ('', NULL)) t(heading, key)""")
+@query("""SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN CAST(p_size AS VARCHAR) WHEN 1 THEN ['xiv', 'mmc', 'ii'][p_size % 3 + 1] WHEN 2 THEN ['twentyone', 'seven', 'onehundred'][p_size % 3 + 1] END AS key FROM part""")
 def heading_ordinals(spark, folder):
-    rows = [("Chapter IV",), ("12.",), ("Twenty-One",), ("Part the first",), ("",)]
-    return spark.createDataFrame(rows, "heading string").select("heading", tx.ordinal(F.col("heading")).alias("key"))
+    pick = lambda *words: F.element_at(F.array(*[F.lit(w) for w in words]), (F.col("p_size") % 3 + 1).cast("int"))
+    k = F.col("p_partkey") % 5
+    heading = (F.when(k == 0, F.concat(F.lit("Chapter "), F.col("p_size").cast("string"), F.lit("."))).when(k == 1, pick("Part XIV", "mmc —", "Book: II")).when(k == 2, pick("Twenty-One", "seven:", "One hundred"))
+               .when(k == 3, F.concat(F.lit("Part the "), F.col("p_size").cast("string"))).otherwise(" "))
+    return table(spark, folder, "part").select("p_partkey", tx.ordinal(heading).alias("key"))
 
 
-@query("""SELECT * FROM (VALUES ('a.EPUB', 'epub'), ('b.fb2.zip', 'fbz'), ('c.zip', NULL), ('d.azw3', 'azw3')) t(path, format)""")
+@query("""SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'epub' WHEN 1 THEN 'fbz' WHEN 3 THEN 'azw3' WHEN 4 THEN 'pdf' WHEN 5 THEN 'mobi' END AS format FROM part""")
 def format_dispatch(spark, folder):
-    return spark.createDataFrame([("a.EPUB",), ("b.fb2.zip",), ("c.zip",), ("d.azw3",)], "path string").select("path", tx.book_format(F.col("path")).alias("format"))
+    ending = F.element_at(F.array(*[F.lit(e) for e in (".EPUB", ".fb2.zip", ".zip", ".azw3", ".Pdf", ".azw")]), (F.col("p_partkey") % 6 + 1).cast("int"))
+    return table(spark, folder, "part").select("p_partkey", tx.book_format(F.concat("p_name", ending)).alias("format"))
 
 
 @query("""SELECT p_partkey, regexp_matches(' ' || lower(p_type) || ' ', '[^a-z0-9]brushed[^a-z0-9]') AS held FROM part""")

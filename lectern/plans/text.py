@@ -68,9 +68,11 @@ def unique_quotes(spark, folder):
 
 @query(r"""WITH c AS (SELECT doc_id, lang, len(regexp_extract_all(text, '[\x{1100}-\x{11FF}\x{2E80}-\x{2FFF}\x{3040}-\x{30FF}\x{3130}-\x{318F}\x{31A0}-\x{31FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{AC00}-\x{D7AF}\x{F900}-\x{FAFF}\x{20000}-\x{2FA1F}]')) AS cjk,
 len(regexp_extract_all(text, '[A-Za-z\x{C0}-\x{24F}\x{1E00}-\x{1EFF}\x{FF21}-\x{FF3A}\x{FF41}-\x{FF5A}]')) AS latin FROM documents)
-SELECT doc_id, CASE WHEN cjk + latin < 2 THEN 'unknown' WHEN cjk * 100 >= (cjk + latin) * 60 THEN 'cjk' WHEN latin * 100 >= (cjk + latin) * 60 THEN 'latin' ELSE 'unknown' END AS by_text, 'latin' AS by_tag FROM c""")
+SELECT doc_id, CASE WHEN cjk + latin < 2 THEN 'unknown' WHEN cjk * 100 >= (cjk + latin) * 60 THEN 'cjk' WHEN latin * 100 >= (cjk + latin) * 60 THEN 'latin' ELSE 'unknown' END AS by_text, CASE doc_id % 6 WHEN 0 THEN 'latin' WHEN 1 THEN 'cjk' WHEN 2 THEN 'other' WHEN 3 THEN 'latin' WHEN 4 THEN NULL ELSE CASE WHEN lang IN ('en', 'de', 'fr', 'es') THEN 'latin' WHEN lang IN ('zh', 'ja') THEN 'cjk' END END AS by_tag FROM c""")
 def writing_system(spark, folder):
-    return table(spark, folder, "documents").select("doc_id", tx.writing_system_of_title(F.col("text")).alias("by_text"), tx.writing_system_of_tag(F.col("lang")).alias("by_tag"))
+    k = F.col("doc_id") % 6
+    tag = F.when(k == 0, F.concat(F.upper("lang"), F.lit("_AT"))).when(k == 1, F.concat("lang", F.lit("-Hant"))).when(k == 2, "sr").when(k == 3, "sr-Latn").when(k == 4, "und").otherwise(F.col("lang"))
+    return table(spark, folder, "documents").select("doc_id", tx.writing_system_of_title(F.col("text")).alias("by_text"), tx.writing_system_of_tag(tag).alias("by_tag"))
 
 
 @query(r"""WITH c AS (SELECT doc_id, len(regexp_extract_all(text, '[A-Za-z]')) AS latin, len(regexp_extract_all(text, '[\x{370}-\x{52F}\x{590}-\x{8FF}\x{3040}-\x{30FF}\x{3400}-\x{9FFF}\x{AC00}-\x{D7AF}]')) AS rivals FROM documents)
@@ -102,10 +104,16 @@ def escape_round_trip(spark, folder):
     return table(spark, folder, "documents").select("doc_id", e.alias("escaped"), tx.unescaped(e).alias("back"))
 
 
-@query("""SELECT * FROM (VALUES ('十二', 12, NULL), ('一百三', 103, NULL), ('二十', 20, NULL), ('XIV', 0, 14), ('mcmxc', 0, 1990), ('iiii', 0, 4), ('x1', 0, NULL)) t(word, chinese, roman)""")
+@query("""WITH n AS (SELECT p_partkey, CAST(p_partkey % 399 + 1 AS INTEGER) AS n FROM part) SELECT p_partkey, n AS chinese, n AS roman, CAST(NULL AS INTEGER) AS neither FROM n""")
 def numeral_values(spark, folder):
-    words = spark.createDataFrame([(w,) for w in ("十二", "一百三", "二十", "XIV", "mcmxc", "iiii", "x1")], "word string")
-    return words.select("word", tx.chinese_number(F.col("word")).alias("chinese"), tx.roman_number(F.col("word")).alias("roman"))
+    """Numerals written out for each part's number and read again."""
+    n = (F.col("p_partkey") % 399 + 1).cast("int")
+    digit = lambda d, words: F.element_at(F.array(*[F.lit(w) for w in words]), (d + 1).cast("int"))
+    ones, tens, hundreds = n % 10, F.floor(n / 10) % 10, F.floor(n / 100)
+    han = ("", *"一二三四五六七八九")
+    chinese = F.concat(F.when(hundreds > 0, F.concat(digit(hundreds, han), F.lit("百"))).otherwise(""), F.when(tens > 0, F.concat(digit(tens, han), F.lit("十"))).otherwise(""), digit(ones, han))
+    roman = F.concat(F.repeat(F.lit("C"), hundreds.cast("int")), digit(tens, ("", "X", "XX", "XXX", "XL", "L", "LX", "LXX", "LXXX", "XC")), digit(ones, ("", "i", "ii", "iii", "iv", "v", "vi", "vii", "viii", "ix")))
+    return table(spark, folder, "part").select("p_partkey", tx.chinese_number(chinese).alias("chinese"), tx.roman_number(roman).alias("roman"), tx.roman_number(F.concat(roman, F.lit("1"))).alias("neither"))
 
 
 @query("""WITH c AS (SELECT *, row_number() OVER w AS n, sum(length(text)) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS s FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn DESC))
