@@ -2,9 +2,9 @@
 
 Candidates are unbroken strings of key characters. Each candidate gets a class (hex, or mixed
 letters and digits), and so does each of its parts between separators (letters of one case and
-digits, or letters alone, which also need fewer vowels than words have). A window of `WINDOW` characters slides over it; the sum of c * log2(c)
-over its character counts changes only by the counts of the character that enters and the
-one that leaves, which gives Shannon entropy step by step. A candidate whose best window
+digits, or letters alone, which also need fewer vowels than words have). A window of `WINDOW`
+characters slides over it; the sum of n * log2(n) over its character counts changes only by the
+counts of the character that enters and the one that leaves, which gives Shannon entropy step by step. A candidate whose best window
 reaches its class's threshold is a secret, unless it is on the allow-list: identifiers of
 published formats, words, paths, and strings of few kinds of characters. Samples and runs in order
 take only the part between separators that holds them from a candidate.
@@ -17,12 +17,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lectern.llm.native_spans import SPAN, listed, sha256, spans
+from lectern.llm.native_spans import SPAN, apart_from, let, listed, sha256, spans
 
 # The base formats. (?i:...) is ASCII in Java's regular expressions.
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{12,}"
 HEX = r"[0-9a-f]{32,}"
+#: Key characters.
+ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 #: Candidates for entropy: strings of key characters, at least this long.
 CANDIDATE = r"(?:\G|(?<![A-Za-z0-9+/_=-]))[A-Za-z0-9+/_=-]{20,}+"
 #: Characters in a window, and the entropy (bits a character) that its class must reach in one window.
@@ -42,32 +44,41 @@ ALLOWED = (
 SAMPLE = r"[^/_=+-]*(?i:0123456789|abcdefghijklm|qwertyuiop|example|placeholder|changeme|xxxxxx)[^/_=+-]*"
 
 
-def _count(window: Column, c: Column) -> Column:
-    return F.length(window) - F.length(F.replace(window, c, F.lit("")))
-
-
 def _term(n: Column) -> Column:
     return F.when(n > 1, n * F.log2(n.cast("double"))).otherwise(F.lit(0.0))
 
 
 def best_entropy(value: Column, window: int = WINDOW) -> Column:
-    """Highest Shannon entropy of `window` consecutive characters of value, by incremental counts."""
-    state = F.struct(F.lit("").alias("window"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("best"))
+    """Highest Shannon entropy of `window` consecutive key characters of value.
+
+    The state holds a count for each character of ALPHABET. A step takes one from the character
+    that leaves, adds one to that which enters, and mends the sum of n * log2(n) by those two.
+    """
+    size = len(ALPHABET)
+
+    def changed(counts: Column, at: Column, by: int) -> Column:
+        new = F.array(F.element_at(counts, at) + by)
+        return F.concat(F.slice(counts, F.lit(1), at - 1), new, F.slice(counts, at + 1, size - at))
+
+    def slide(places: Column) -> Column:
+        state = F.struct(F.lit(0).alias("at"), F.array_repeat(F.lit(0), size).alias("counts"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("best"))
+
+        def leave(s: Column) -> Column:
+            gone = F.element_at(places, s["at"] - window + 1)
+            n = F.element_at(s["counts"], gone)
+            out = F.struct(s["at"].alias("at"), changed(s["counts"], gone, -1).alias("counts"), (s["sum"] - _term(n) + _term(n - 1)).alias("sum"), s["best"].alias("best"))
+            return F.when(s["at"] >= window, out).otherwise(s)
+
+        def enter(s: Column, place: Column) -> Column:
+            n = F.element_at(s["counts"], place)
+            total = s["sum"] - _term(n) + _term(n + 1)
+            entropy = F.log2(F.lit(float(window))) - total / window
+            return F.struct((s["at"] + 1).alias("at"), changed(s["counts"], place, 1).alias("counts"), total.alias("sum"),
+                            F.when(s["at"] + 1 >= window, F.greatest(s["best"], entropy)).otherwise(s["best"]).alias("best"))
 
-    def slide(s: Column, c: Column) -> Column:
-        full = F.length(s["window"]) >= window
-        first = F.when(full, F.substring(s["window"], 1, 1)).otherwise(F.lit(""))
-        gone = _count(s["window"], first)
-        total = F.when(full, s["sum"] - _term(gone) + _term(gone - 1)).otherwise(s["sum"])
-        kept = F.when(full, F.expr("1")).otherwise(F.lit(0))
-        rest = F.substring(s["window"], kept + 1, F.lit(window))
-        n = _count(rest, c)
-        total = total - _term(n) + _term(n + 1)
-        held = F.length(rest) + 1
-        entropy = F.log2(held.cast("double")) - total / held
-        return F.struct(F.concat(rest, c).alias("window"), total.alias("sum"), F.when(held == window, F.greatest(s["best"], entropy)).otherwise(s["best"]).alias("best"))
+        return F.aggregate(places, state, lambda s, place: let(leave(s), lambda t: enter(t, place)), lambda s: s["best"])
 
-    return F.aggregate(F.split(value, ""), state, slide, lambda s: s["best"])
+    return let(F.transform(F.split(value, ""), lambda c: F.greatest(F.instr(F.lit(ALPHABET), c), F.lit(1))), slide)
 
 
 def is_secret_part(part: Column) -> Column:
@@ -109,9 +120,7 @@ def scan(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     """
     rows = documents.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.select("doc_id", *[c.alias(k) for k, c in found(F.col("text")).items()])
-    base = F.concat("assign", "access", "hex")
-    fresh = F.filter("entropy", lambda e: ~F.exists(base, lambda b: (b["start"] < e["end"]) & (e["start"] < b["end"])))
-    return rows.withColumn("entropy", fresh.cast(SPAN))
+    return rows.withColumn("entropy", apart_from(F.col("entropy"), F.concat("assign", "access", "hex"), SPAN))
 
 
 def digest(scanned: DataFrame) -> DataFrame:
