@@ -21,7 +21,7 @@ from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from lectern.llm.native_spans import SPAN, listed, sha256, spans
+from lectern.llm.native_spans import SPAN, apart_from, let, listed, running, sha256, spans
 
 # The base formats, with possessive loops and anchors that find the same matches in one pass.
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -41,6 +41,10 @@ AGAINST = r"(?i)\b(?:version|ver|isbn|issn|order|invoice|page|pages|pp|vol|no|nr
 # Common top-level domains.
 DOMAIN = r"(?i)(?:\b|[\])])(?:com|org|net|edu|gov|info|io|co|de|fr|es|it|nl|uk|eu|us|ch|at)$"
 FEATURES = ("kind", "digits", "letters", "length", "groups", "blanks", "hyphens", "dots", "slashes", "parens", "first", "distinct", "year", "for_near", "against_near", "for_far", "domain", "last")
+#: Characters before a candidate that are its context, and its near context.
+CONTEXT, NEAR = 60, 18
+PROPOSED = "struct<start:int,end:int,value:string,kind:int,before:string>"
+JUDGED = "struct<start:int,end:int,value:string,kind:int,p:double>"
 #: Made-up examples of each form, and the precision that thresholds aim at.
 EXAMPLES_EACH = 60
 PRECISION = 0.95
@@ -73,19 +77,21 @@ def base(text: Column) -> dict[str, Column]:
 
 
 def candidates(text: Column) -> Column:
-    """All proposals: array of start, end, value, kind (its number among the generators)."""
+    """All proposals: array of start, end, value, kind (its number among the generators), before (the text since the
+    generator's last proposal, its last CONTEXT characters)."""
     tests = (text.rlike(r"[0-9][)]?[ ./-][0-9]"), text.rlike(r"[0-9]{3}-[0-9]{2}-"), text.rlike("[A-Z]{2}[0-9]{2}"), text.rlike(r"[\[(] ?at ?[\])]"))
 
     def proposed(k: int, pattern: str, test: Column) -> Column:
-        return F.transform(spans(text, pattern, test), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value"), F.lit(k).alias("kind")))
+        return F.transform(spans(text, pattern, test, CONTEXT), lambda x: F.struct(
+            x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value"), F.lit(k).alias("kind"), x["before"].alias("before")))
 
     return F.concat(*[proposed(k, p, test) for k, (p, test) in enumerate(zip(GENERATORS.values(), tests, strict=True))])
 
 
-def features(text: Column, x: Column) -> dict[str, Column]:
+def features(x: Column) -> dict[str, Column]:
     """Format of a candidate and context before it, as numbers."""
-    v, far = x["value"], F.substring(text, F.greatest(x["start"] - 59, F.lit(1)), F.least(x["start"], F.lit(60)))
-    near = F.substring(text, F.greatest(x["start"] - 17, F.lit(1)), F.least(x["start"], F.lit(18)))
+    v, far = x["value"], x["before"]
+    near = F.right(far, F.lit(NEAR))
     some = lambda p: F.length(F.regexp_replace(v, p, ""))
     flag = lambda c: c.cast("int")
     out = {
@@ -128,7 +134,7 @@ def _model(application: str) -> tuple[list, list[float], list[float]]:
     spark = SparkSession.active()
     rows = spark.createDataFrame([(i, *e) for i, e in enumerate(examples())], "i int, text string, label double").repartition(1)
     rows = rows.withColumn("x", F.explode(candidates(F.col("text"))))
-    rows = rows.select("i", "label", *[c.alias(k) for k, c in features(F.col("text"), F.col("x")).items()])
+    rows = rows.select("i", "label", *[c.alias(k) for k, c in features(F.col("x")).items()])
     made = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rows).cache()
     model = GBTClassifier(maxIter=12, maxDepth=3, stepSize=0.3, seed=1).fit(made.where("i % 2 = 0"))
 
@@ -164,26 +170,40 @@ def score(x: dict[str, Column], trees: list, weights: list[float]) -> Column:
     return 1 / (1 + F.exp(-2 * margin))
 
 
+def winners(accepted: Column) -> Column:
+    """Of spans that overlap, the best: in order of start, each meets the last that stands, and the better of two stays."""
+    kind = f"struct<cur:{JUDGED},out:{JUDGED}>"
+    nothing = F.lit(None).cast(JUDGED)
+
+    def meet(last: Column, x: Column) -> Column:
+        cur = last["cur"]
+        better = (x["p"] > cur["p"]) | ((x["p"] == cur["p"]) & (x["kind"] > cur["kind"]))
+        over = cur.isNotNull() & (x["start"] < cur["end"])
+        return F.struct(F.when(over & ~better, cur).otherwise(x).alias("cur"), F.when(over, nothing).otherwise(cur).alias("out"))
+
+    def stood(states: Column) -> Column:
+        out = F.transform(states, lambda s: s["out"])
+        return F.filter(F.concat(out, F.array(F.try_element_at(states, F.lit(-1))["cur"])), lambda x: x.isNotNull())
+
+    start = F.struct(nothing.alias("cur"), nothing.alias("out"))
+    return let(F.sort_array(accepted), lambda every: let(running(every, start, meet, kind), stood))
+
+
 def scan(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: doc_id, arrays of spans (start, end, value) named email, ip, card, phone and as the generators."""
     trees, weights, limits = _model(documents.sparkSession.sparkContext.applicationId)
     rows = documents.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     kinds = base(F.col("text"))
     rows = rows.select("doc_id", "text", *[c.alias(k) for k, c in kinds.items()], candidates(F.col("text")).alias("proposed"))
-    fixed = F.concat(*kinds)
-    apart = lambda x, y: (x["end"] <= y["start"]) | (y["end"] <= x["start"])
-    free = F.filter("proposed", lambda x: F.forall(fixed, lambda b: apart(x, b)))
+    free = apart_from(F.col("proposed"), F.concat(*kinds), f"array<{PROPOSED}>")
 
     def judged(x: Column) -> Column:
-        named = F.struct(*[c.alias(k) for k, c in features(F.col("text"), x).items()])
-        p = F.transform(F.array(named), lambda f: score({k: f[k] for k in FEATURES}, trees, weights))[0]
-        return F.struct(x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value"), x["kind"].alias("kind"), p.alias("p"))
+        return let(F.struct(*[c.alias(k) for k, c in features(x).items()]), lambda f: F.struct(
+            x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value"), x["kind"].alias("kind"), score({k: f[k] for k in FEATURES}, trees, weights).alias("p")))
 
     limit = F.array(*[F.lit(v) for v in limits])
     rows = rows.withColumn("judged", F.transform(free, judged))
-    rows = rows.withColumn("accepted", F.filter("judged", lambda x: x["p"] >= F.element_at(limit, x["kind"] + 1)))
-    better = lambda y, x: (y["p"] > x["p"]) | ((y["p"] == x["p"]) & ((y["kind"] > x["kind"]) | ((y["kind"] == x["kind"]) & (y["start"] < x["start"]))))
-    rows = rows.withColumn("best", F.filter("accepted", lambda x: ~F.exists("accepted", lambda y: ~apart(x, y) & better(y, x))))
+    rows = rows.withColumn("best", winners(F.filter("judged", lambda x: x["p"] >= F.element_at(limit, x["kind"] + 1))))
 
     def own(k: int) -> Column:
         return F.transform(F.filter("best", lambda x: x["kind"] == k), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value"))).cast(SPAN)
