@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F
 
-from lectern.llm.common import alnum_words, map_rows
+from lectern.llm.common import alnum_words, map_rows, stored
 
 #: Words of a window.
 WINDOW = 10
@@ -80,13 +80,26 @@ def spans(text: str, mask: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", chars: int = BLOCK_CHARS) -> list[list[tuple]]:
-    """The benchmark in blocks of a checked size, dealt by a hash of the text."""
-    items = benchmark.select(F.col(id_col).alias("item"), F.col(text_col).alias("text")).where("length(text) > 0")
+def blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", chars: int = BLOCK_CHARS) -> tuple[int, Iterator[list[tuple]]]:
+    """How many blocks of about `chars` characters the benchmark has, and these, each collected when it is asked for."""
+    items = benchmark.select(F.col(id_col).alias("item"), F.col(text_col).alias("text")).where("length(text) > 0").distinct()
     total = items.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0
     n = -(-total // chars)
-    dealt = items.withColumn("block", F.pmod(F.xxhash64("text"), F.lit(max(1, n))))
-    return [[(r["item"], r["text"]) for r in dealt.where(F.col("block") == k).collect()] for k in range(n)]
+    dealt = items.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(max(1, n))))
+    return n, ([(r["item"], r["text"]) for r in dealt.where(F.col("block") == k).collect()] for k in range(n))
+
+
+def block_by_block(df: DataFrame, benchmark: DataFrame, item_col: str, text_col: str, step: Callable[[DataFrame, Broadcast], DataFrame]) -> DataFrame:
+    """step for each block in turn. Of several blocks only one is in the driver and broadcast at a time: what it gives is written before the next."""
+    n, each = blocks(benchmark, item_col, text_col)
+    context = df.sparkSession.sparkContext
+    if n <= 1:
+        return step(df, context.broadcast(next(each, [])))
+    for block in each:
+        sent = context.broadcast(block)
+        df = stored(step(df, sent), "decontaminated")
+        sent.destroy()
+    return df
 
 
 def decontaminate(
@@ -95,66 +108,58 @@ def decontaminate(
 ) -> DataFrame:
     """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items (sorted ids as strings)
     and spans (hit ranges of the original text, code points, end exclusive)."""
-    spark = documents.sparkSession
     kind = documents.schema[id_col].dataType.simpleString()
-    state = "items array<string>, hits array<int>"
     df = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).withColumns({
-        "items": F.array().cast("array<string>"), "hits": F.array().cast("array<int>")})
-    for block in blocks(benchmark, item_col, item_text_col) or [[]]:
-        sent = spark.sparkContext.broadcast(block)
+        "n_words": F.lit(0).cast("long"), "items": F.array().cast("array<string>"), "hits": F.array().cast("array<int>")})
 
-        def make(sent=sent) -> Callable:
+    def step(rows: DataFrame, sent: Broadcast) -> DataFrame:
+        def make() -> Callable:
             scan, items = scanner(sent.value, size), sent.value
 
-            def step(cols: dict) -> dict:
+            def one(cols: dict) -> dict:
                 for k, text in enumerate(cols["text"]):
-                    _, mask, found = scan(text)
+                    cols["n_words"][k], mask, found = scan(text)
                     if found:
                         cols["hits"][k] = sorted({*cols["hits"][k], *np.flatnonzero(mask).tolist()})
                         cols["items"][k] = sorted({*cols["items"][k], *(str(items[i][0]) for i in found if items[i][0] is not None)})
                 return cols
 
-            return step
+            return one
+
+        return map_rows(rows, make, f"doc_id {kind}, text string, n_words long, items array<string>, hits array<int>")
 
-        df = map_rows(df, make, f"doc_id {kind}, text string, {state}")
+    df = block_by_block(df, benchmark, item_col, item_text_col, step)
 
     def finish() -> Callable:
-        def step(cols: dict) -> dict:
-            n = [len(alnum_words(t)) for t in cols["text"]]
+        def one(cols: dict) -> dict:
             ranges = []
-            for t, size_, hit in zip(cols["text"], n, cols["hits"], strict=True):
-                mask = np.zeros(size_, bool)
+            for text, n, hit in zip(cols["text"], cols["n_words"], cols["hits"], strict=True):
+                mask = np.zeros(n, bool)
                 mask[hit] = True
-                ranges.append([{"start": a, "end": b} for a, b in spans(t, mask)] if hit else [])
+                ranges.append([{"start": a, "end": b} for a, b in spans(text, mask)] if hit else [])
             return cols | {
-                "n_words": n, "n_hit": [len(h) for h in cols["hits"]], "n_items": [len(i) for i in cols["items"]],
+                "n_hit": [len(h) for h in cols["hits"]], "n_items": [len(i) for i in cols["items"]],
                 "items_sha256": [hashlib.sha256(",".join(i).encode()).hexdigest() for i in cols["items"]],
                 "contaminated": [bool(h) for h in cols["hits"]], "spans": ranges,
             }
 
-        return step
+        return one
 
     return map_rows(df, finish, f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>, spans array<struct<start: int, end: int>>")
 
 
-def _occurs(sent: Broadcast, size: int):
-    """A pandas UDF from text to whether any window of the broadcast items occurs."""
-    def occurs(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        scan = scanner(sent.value, size)
-        for texts in batches:
-            yield pd.Series([bool(scan(t)[2]) for t in texts], dtype=bool)
-
-    return F.pandas_udf(occurs, "boolean")
-
-
 def clean(documents: DataFrame, benchmark: DataFrame, text_col: str = "text", item_text_col: str = "text", size: int = WINDOW) -> DataFrame:
     """The documents, with all their columns, in which no window of the benchmark occurs."""
-    spark, df = documents.sparkSession, documents
-    for block in blocks(benchmark.withColumn("_id", F.lit(0)), "_id", item_text_col):
-        sent = spark.sparkContext.broadcast(block)
+    def step(rows: DataFrame, sent: Broadcast) -> DataFrame:
+        @F.pandas_udf("boolean")
+        def occurs(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            scan = scanner(sent.value, size)
+            for texts in batches:
+                yield pd.Series([bool(scan(t)[2]) for t in texts], dtype=bool)
 
-        df = df.where(~_occurs(sent, size)(F.col(text_col)))
-    return df
+        return rows.where(~occurs(F.col(text_col)))
+
+    return block_by_block(documents, benchmark.select(F.lit(0).alias("item_id"), F.col(item_text_col).alias("text")), "item_id", "text", step)
 
 
 #: DuckDB: the grams of each length that some window has, joined by their text.
