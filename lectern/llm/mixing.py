@@ -1,15 +1,16 @@
 """Mixing sources to target weights with distributed prefix sums.
 
-Every document gets a hash-random key. Within each source documents are dealt, in key
-order, to range buckets of bounded size; sums of the buckets, added up in order, give each
-bucket its offset and a running sum inside the bucket gives each document its place. The
-source's budget is cut exactly: whole epochs first, then documents in key order, the one
+Every document gets a hash-random key of its id and text; rows with both alike are one entry
+that stands for all of them, so no key holds many entries. Within each source entries are
+dealt, in key order, to range buckets of bounded size; sums of the buckets, added up in order,
+give each bucket its offset and a running sum inside the bucket gives each entry its place.
+The source's budget is cut exactly: whole epochs first, then documents in key order, the one
 at the edge in part.
 
 Defined cases: null texts have size 0 and are never taken; a null source is a source of its
-own, last in order; ties of the key (equal ids) are ordered by size, so equal rows differ
-in nothing else; a source of size 0 has target 0; an empty table gives no rows; extra
-columns are ignored by `mix` and kept by `mixed`.
+own, last in order; equal rows are taken one after the other and differ in nothing else; a
+source of size 0 has target 0; an empty table gives no rows; extra columns are ignored by
+`mix` and kept by `mixed`.
 """
 
 from __future__ import annotations
@@ -24,8 +25,8 @@ WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 #: A source gives at most this many times its own words.
 MOST = 2.0
-#: Documents that share a range of keys, on average.
-BUCKET_ROWS = 20_000
+#: Entries that share a range of keys, on average.
+BUCKET_ROWS = 2_000
 
 
 def words(text: Column) -> Column:
@@ -54,44 +55,58 @@ def targets(sources: DataFrame) -> DataFrame:
     return df.withColumn("target", F.when(F.col("shared").isNull() | (F.col("ratio") < F.col("shared")), F.col("limit")).otherwise(F.col("shared") * F.col("weight")))
 
 
-def mix(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """Per document: doc_id, size, source_size, target (of its source), taken (words, repeats counted), source."""
-    docs = documents.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), words(F.col(text_col)).alias("size"))
-    docs = stored(docs.withColumn("key", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))), "mix-sizes")
-    sources = targets(docs.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")))
-    sources = stored(sources.select("source", "source_size", "target", "n"), "mix-sources")
+def entry_key(id_: Column, text: Column) -> Column:
+    """Hash-random key of a document."""
+    return F.md5(F.concat(F.coalesce(id_.cast("string"), F.lit("")), F.lit(":"), F.coalesce(text, F.lit(""))).cast("binary"))
+
+
+def shares(documents: DataFrame, id_col: str, text_col: str, source_col: str, bucket_rows: int) -> DataFrame:
+    """Entries: doc_id, source, size, key, n (rows), source_size, target, epochs (whole ones), cut (words of the budget left when they begin)."""
+    docs = documents.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), words(F.col(text_col)).alias("size"), entry_key(F.col(id_col), F.col(text_col)).alias("key"))
+    docs = stored(docs.groupBy("source", "doc_id", "key", "size").agg(F.count("*").alias("n")), "mix-sizes")
+    whole = F.col("size") * F.col("n")
+    sources = targets(docs.groupBy("source").agg(F.sum(whole).alias("source_size"), F.count("*").alias("entries")))
+    sources = stored(sources.select("source", "source_size", "target", "entries"), "mix-sources")
     same = docs["source"].eqNullSafe(sources["source"])
     place = F.conv(F.substring("key", 1, 8), 16, 10).cast("double") / F.lit(2.0**32)
     rows = docs.join(F.broadcast(sources) if sources.count() <= 100_000 else sources, same).select(
-        docs["*"], "source_size", "target", F.floor(place * F.ceil(F.col("n") / bucket_rows)).alias("bucket"))
-    sums = rows.groupBy("source", "bucket").agg(F.sum("size").alias("sum"))
+        docs["*"], "source_size", "target", F.floor(place * F.ceil(F.col("entries") / bucket_rows)).alias("bucket"))
+    sums = rows.groupBy("source", "bucket").agg(F.sum(whole).alias("sum"))
     offsets = sums.select(F.col("source").alias("s"), F.col("bucket").alias("b"), (F.sum("sum").over(W.partitionBy("source").orderBy("bucket")) - F.col("sum")).alias("offset"))
-    inside = W.partitionBy("source", "bucket").orderBy("key", "size").rowsBetween(W.unboundedPreceding, W.currentRow)
-    rows = rows.withColumn("before", F.sum("size").over(inside) - F.col("size"))
+    inside = W.partitionBy("source", "bucket").orderBy("key", "size", "doc_id").rowsBetween(W.unboundedPreceding, W.currentRow)
+    rows = rows.withColumn("before", F.sum(whole).over(inside) - whole)
     rows = rows.join(offsets, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
     budget = F.floor(F.col("target") + 0.5).cast("long")
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0).cast("long")
     cut = budget - epochs * F.col("source_size") - F.col("offset") - F.col("before")
-    taken = epochs * F.col("size") + F.least(F.greatest(cut, F.lit(0).cast("long")), F.col("size"))
-    return rows.select("doc_id", "size", "source_size", "target", taken.alias("taken"), "source")
+    return rows.select("doc_id", "source", "size", "key", "n", "source_size", "target", epochs.alias("epochs"), cut.alias("cut"))
 
 
-def mixed(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The mix as documents: each row as often as its words are taken, to the nearest whole copy (a document at the
-    edge of the budget stays whole if at least half of it is taken). Documents without words go."""
-    part = mix(documents, id_col, text_col, source_col).select(
-        F.col("doc_id").alias("_mix_id"), F.col("source").alias("_mix_source"), F.col("size").alias("_mix_size"),
-        F.floor(F.try_divide("taken", "size") + 0.5).cast("int").alias("_mix_n")).where("_mix_n > 0")
-    # equal rows (same id, source, size) share their copies: the sum of what they take goes to each in turn
-    part = part.groupBy("_mix_id", "_mix_source", "_mix_size").agg(F.max("_mix_n").alias("_mix_n"))
-    keys = documents.withColumn("_mix_words", words(F.col(text_col)))
-    on = keys[id_col].eqNullSafe(part["_mix_id"]) & keys[source_col].eqNullSafe(part["_mix_source"]) & (keys["_mix_words"] == part["_mix_size"])
-    return keys.join(part, on).withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_n")))).select(*[F.col(f"`{c}`") for c in documents.columns])
+def mix(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """Per document: doc_id, size, source_size, target (of its source), taken (words, repeats counted), source."""
+    rows = shares(documents, id_col, text_col, source_col, bucket_rows).withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
+    mine = F.least(F.greatest(F.col("cut") - (F.col("nth") - 1) * F.col("size"), F.lit(0).cast("long")), F.col("size"))
+    return rows.select("doc_id", "size", "source_size", "target", (F.col("epochs") * F.col("size") + mine).alias("taken"), "source")
+
+
+def mixed(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """The mix as documents: each row as often as its words are taken, to the nearest whole copy (what lies at the edge
+    of the budget stays whole if at least half of it is taken). Rows with id, text and source alike share their copies
+    in turn. Documents without words go."""
+    whole = F.col("size") * F.col("n")
+    taken = F.col("epochs") * whole + F.least(F.greatest(F.col("cut"), F.lit(0).cast("long")), whole)
+    part = shares(documents, id_col, text_col, source_col, bucket_rows).select(
+        F.col("key").alias("_mix_key"), F.col("source").alias("_mix_source"), F.col("n").alias("_mix_rows"), F.floor(F.try_divide(taken, F.col("size")) + 0.5).alias("_mix_n")).where("_mix_n > 0")
+    keys = documents.withColumns({"_mix_of": entry_key(F.col(id_col), F.col(text_col)), "_mix_from": F.col(source_col)})
+    met = keys.join(part, (F.col("_mix_of") == F.col("_mix_key")) & F.col("_mix_from").eqNullSafe(F.col("_mix_source")))
+    nth = F.row_number().over(W.partitionBy("_mix_key", "_mix_source").orderBy("_mix_rows"))
+    times = met.withColumn("_mix_times", F.floor((F.col("_mix_n") + F.col("_mix_rows") - nth) / F.col("_mix_rows"))).where("_mix_times > 0")
+    return times.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_mix_times")))).select(*[F.col(f"`{c}`") for c in documents.columns])
 
 
 ORACLE = r"""
 WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-                  md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS key FROM documents),
+                  md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')) AS key FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 w AS (SELECT *, CAST([3, 1, 2][(row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 + 1] AS DOUBLE) AS weight FROM s),
 r AS (SELECT *, source_size * 2.0 AS cap, source_size * 2.0 / weight AS ratio FROM w),
