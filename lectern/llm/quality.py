@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from operator import eq
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -24,8 +25,11 @@ from lectern.llm.common import map_rows
 
 #: Rows that train the scorer, at most.
 SAMPLE_ROWS = 4000
-#: Hashed features.
-DIMENSIONS = 1024
+#: Hashed features: of byte classes and events, and of words and pairs of words.
+SHAPES, WORDS = 1024, 1024
+DIMENSIONS = SHAPES + WORDS
+#: Weight of the words' features beside the others.
+WORD_WEIGHT = 0.5
 #: Score from which a document is kept.
 THRESHOLD = 0.5
 GOOD, BAD, NONE = 0, 1, 2
@@ -54,14 +58,26 @@ def signals(text: str | None) -> tuple[np.ndarray, np.ndarray]:
         len(set(words)) / max(1, n), repeated, len(raw) / max(1, n), share[2] / solid,
         min(1.0, (_EDGE[kinds[:-1]] & ((kinds[1:] == 3) | (kinds[1:] == 4))).sum() / max(1, n)) if len(kinds) > 1 else 0.0,
     ])
-    shapes = np.zeros(DIMENSIONS)
+    shapes = np.zeros(SHAPES)
     if len(kinds) > 2:
         k = kinds.astype(np.int64)
-        shapes = np.bincount(_SPREAD[k[:-2] * 256 + k[1:-1] * 16 + k[2:]], minlength=DIMENSIONS) / (len(kinds) - 2)
-    events = np.zeros(DIMENSIONS)  # hashed by name: word repetitions by rate, line repetitions, length, distinct words
+        shapes = np.bincount(_SPREAD[k[:-2] * 256 + k[1:-1] * 16 + k[2:]], minlength=SHAPES) / (len(kinds) - 2)
+    events = np.zeros(SHAPES)  # hashed by name: word repetitions by rate, line repetitions, length, distinct words
     for name, value in ((1, measures[2]), (2, measures[6]), (3, min(1.0, 8 / max(1, n))), (4, measures[5] if n >= 50 else 0.5)):
         events[_SPREAD[name * 331 % 4096]] += value
-    return measures, np.sqrt(shapes) + events
+    return measures, np.r_[np.sqrt(shapes) + events, word_features(raw.lower().split())]
+
+
+def word_features(words: list[bytes]) -> np.ndarray:
+    """Hashed words and pairs of words, each once, of a length that does not depend on their number."""
+    out = np.zeros(WORDS)
+    if words:
+        alone = np.fromiter(map(crc32, words), np.uint32, len(words)).astype(np.uint64)
+        pairs = alone[:-1] * np.uint64(0x9E3779B97F4A7C15) + alone[1:] * np.uint64(0xC2B2AE3D27D4EB4F)
+        every = np.unique(np.r_[alone, pairs]) * np.uint64(0xD6E8FEB86659FD93)
+        out[(every >> np.uint64(64 - 10)).astype(np.int64)] = 1.0
+        out *= WORD_WEIGHT / np.sqrt(out.sum())
+    return out
 
 
 def votes(measures: np.ndarray) -> list[int]:
@@ -114,23 +130,29 @@ def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: i
     return post, table, float(prior)
 
 
-def train(features: np.ndarray, target: np.ndarray, rounds: int = 400, ridge: float = 1e-4) -> tuple[np.ndarray, float]:
+def train(features: np.ndarray, target: np.ndarray, rounds: int = 300, ridge: float = 1e-4) -> tuple[np.ndarray, float]:
     """Logistic regression on soft targets by accelerated gradient steps."""
     if not len(features):
         return np.zeros(DIMENSIONS), 10.0
-    x = np.c_[features, np.ones(len(features))]
+    x = np.c_[features, np.ones(len(features))].astype(np.float32)
     balance = np.where(target >= 0.5, 0.5 / max(1e-9, (target >= 0.5).mean()), 0.5 / max(1e-9, (target < 0.5).mean()))
-    top = 0.25 * np.linalg.norm(x * np.sqrt(balance)[:, None], 2) ** 2 / len(x) + ridge
-    w, ahead, t = np.zeros(x.shape[1]), np.zeros(x.shape[1]), 1.0
+    target, balance = target.astype(np.float32), balance.astype(np.float32)
+    steep = np.ones(x.shape[1], np.float32)
+    for _ in range(30):  # the steepest direction by powers
+        steep = x.T @ (balance * (x @ steep))
+        size = np.linalg.norm(steep)
+        steep /= size
+    top = np.float32(0.26 * size / len(x) + ridge)
+    w, ahead, t = np.zeros(x.shape[1], np.float32), np.zeros(x.shape[1], np.float32), np.float32(1.0)
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ ahead, -40, 40)))
         new = ahead - (x.T @ ((p - target) * balance) / len(x) + ridge * ahead) / top
-        t, before = (1 + np.sqrt(1 + 4 * t * t)) / 2, t
+        t, before = np.float32((1 + np.sqrt(1 + 4 * t * t)) / 2), t
         ahead, w = new + (before - 1) / t * (new - w), new
-    return w[:-1], float(w[-1])
+    return w[:-1].astype(float), float(w[-1])
 
 
-def fit(documents: DataFrame, text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> tuple[np.ndarray, float]:
+def fit(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> tuple[np.ndarray, float]:
     """Weights and bias of the scorer: votes of every document, posteriors, then a bounded sample."""
     docs = documents.select(F.col(text_col).alias("text"))
 
@@ -142,7 +164,7 @@ def fit(documents: DataFrame, text_col: str = "text", sample_rows: int = SAMPLE_
     post, _, _ = expectation_maximisation(patterns, counts) if len(found) else (np.zeros(0), None, 0.9)
     of = dict(zip(patterns.tolist(), post.tolist(), strict=True))
     share = min(1.0, 1.2 * sample_rows / max(1.0, counts.sum()))
-    draw = docs.select("text", F.xxhash64(F.col("text"), F.monotonically_increasing_id()).alias("draw"))
+    draw = documents.select(F.col(text_col).alias("text"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("draw"))  # the same rows in whatever files
     draw = draw.where(F.pmod("draw", F.lit(1_000_003)) <= int(share * 1_000_003))
 
     def features() -> Callable:
@@ -152,7 +174,7 @@ def fit(documents: DataFrame, text_col: str = "text", sample_rows: int = SAMPLE_
 
         return step
 
-    rows = map_rows(draw, features, "draw long, pattern int, x binary").orderBy("draw").limit(sample_rows).collect()
+    rows = map_rows(draw, features, "draw long, pattern int, x binary").orderBy("draw", "pattern", "x").limit(sample_rows).collect()
     x = np.array([np.frombuffer(r["x"], "<f4") for r in rows], float).reshape(-1, DIMENSIONS)
     return train(x, np.array([of[r["pattern"]] for r in rows]))
 
@@ -171,11 +193,11 @@ def scorer(model: tuple[np.ndarray, float]):
 
 def score(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """Per document: doc_id, score, keep."""
-    one = scorer(fit(documents, text_col))
+    one = scorer(fit(documents, id_col, text_col))
     found = documents.select(F.col(id_col).alias("doc_id"), one(F.col(text_col)).alias("score"))
     return found.select("doc_id", "score", (F.col("score") >= threshold).alias("keep"))
 
 
-def kept(documents: DataFrame, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+def kept(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The documents, all columns, that the scorer keeps."""
-    return documents.where(scorer(fit(documents, text_col))(F.col(text_col)) >= threshold)
+    return documents.where(scorer(fit(documents, id_col, text_col))(F.col(text_col)) >= threshold)
