@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lectern.functions import text as tx
-from lectern.operators import html_blocks as hb, toc as tc
+from lectern.operators import html_blocks as hb, html_parts as hp, toc as tc
 from lectern.plans.registry import query
 from lectern.sources.tables import table
 
@@ -189,3 +189,53 @@ def lone_proposals(spark, folder):
 @query("WITH t AS (SELECT *, count(*) OVER (PARTITION BY p_brand, p_size) AS n FROM part) SELECT p_partkey FROM t WHERE n = 1")
 def unique_owner(spark, folder):
     return tc.unique_only(table(spark, folder, "part"), "p_brand", "p_size").select("p_partkey")
+
+
+def made_tables(spark, folder):
+    """A table for each order: three rows that its lines fall into, cells that reach over others."""
+    i = table(spark, folder, "lineitem").where("l_orderkey % 4 = 0")
+    n = lambda c: c.cast("string")
+    tag = F.when(F.col("l_linenumber") % 5 == 0, "th").otherwise("td")
+    cell = F.concat(F.lit("<"), tag, F.lit(" rowspan="), n(1 + F.col("l_suppkey") % 3), F.lit(" colspan='"), n(1 + F.col("l_partkey") % 3), F.lit("'>q "), n(F.col("l_quantity").cast("int")), F.lit("<br>x &amp; y</"), tag, F.lit(">"))
+    rows = i.groupBy("l_orderkey", (F.col("l_linenumber") % 3).alias("r")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", cell.alias("c")))), lambda x: x["c"]), "").alias("cells"))
+    body = rows.groupBy("l_orderkey").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("r", "cells"))), lambda x: F.concat(F.lit("<tr>"), x["cells"], F.lit("</tr>"))), "\n").alias("rows"))
+    return body.select(F.col("l_orderkey").alias("page_id"), F.concat(F.lit("<p>before</p><table><caption>Table "), n(F.col("l_orderkey")), F.lit("</caption>"), "rows", F.lit("</table><p>after</p>")).alias("html"))
+
+
+@query("""WITH RECURSIVE i AS (SELECT *, l_linenumber % 3 AS g, 1 + l_suppkey % 3 AS rs, 1 + l_partkey % 3 AS cs FROM lineitem WHERE l_orderkey % 4 = 0),
+r AS (SELECT *, CAST(dense_rank() OVER (PARTITION BY l_orderkey ORDER BY g) - 1 AS INTEGER) AS r, row_number() OVER (PARTITION BY l_orderkey ORDER BY g, l_linenumber, l_partkey) AS n FROM i),
+k AS (SELECT *, max(r) OVER (PARTITION BY l_orderkey) + 1 AS rows FROM r),
+p AS (SELECT l_orderkey, n, r, CAST(0 AS BIGINT) AS c, least(rs, rows - r) AS tall, cs, list_transform(range(0, 90), lambda x: CASE WHEN x < cs THEN r + least(rs, rows - r) ELSE 0 END) AS busy FROM k WHERE n = 1
+UNION ALL SELECT k.l_orderkey, k.n, k.r, f.c, least(k.rs, k.rows - k.r), k.cs, list_transform(range(0, 90), lambda x: CASE WHEN x >= f.c AND x < f.c + k.cs THEN k.r + least(k.rs, k.rows - k.r) ELSE p.busy[x + 1] END)
+ FROM p JOIN k ON k.l_orderkey = p.l_orderkey AND k.n = p.n + 1, LATERAL (SELECT list_min(list_filter(range(CASE WHEN k.r = p.r THEN p.c + p.cs ELSE 0 END, 90), lambda x: p.busy[x + 1] <= k.r)) AS c) f)
+SELECT p.l_orderkey AS id, p.r AS row, CAST(p.c AS INTEGER) AS "column", CAST(p.tall AS INTEGER) AS row_span, CAST(p.cs AS INTEGER) AS column_span, k.l_linenumber % 5 = 0 AS header, 'q ' || CAST(l_quantity AS INTEGER) || ' x & y' AS text, 'Table ' || p.l_orderkey AS caption FROM p JOIN k USING (l_orderkey, n)""")
+def html_tables(spark, folder):
+    return hp.tables(made_tables(spark, folder)).select("id", "row", "column", "row_span", "column_span", "header", "text", "caption")
+
+
+def made_parts(spark, folder):
+    """Pages with definition lists, pictures with and without captions, and notes."""
+    p = table(spark, folder, "part")
+    k, name = F.col("p_partkey"), F.col("p_name")
+    n = k.cast("string")
+    lists = F.concat(F.lit("<dl><dt>"), name, F.lit("<dd>first <b>"), n, F.lit("</b></dd><dd>second</dl>"))
+    picture = (F.when(k % 3 == 0, F.concat(F.lit("<figure><img src='i"), n, F.lit(".png'><figcaption>Figure "), n, F.lit(". It &amp; more</figcaption></figure><p>text</p>")))
+               .when(k % 3 == 1, F.concat(F.lit("<p><img alt=x src=\"i"), n, F.lit(".png\"/></p><p> Fig. "), n, F.lit(" below it</p>"))).otherwise(F.concat(F.lit("<div><img src=i"), n, F.lit(".png></div><p>no caption</p>"))))
+    note = F.when(k % 2 == 0, F.concat(F.lit("<aside id='n"), n, F.lit("' epub:type=\"footnote\"><p>Note "), n, F.lit("</p> ends</aside><p>out</p>"))).otherwise(F.concat(F.lit("<p role='doc-endnote x' id=e"), n, F.lit(">End "), n, F.lit("</p><p id=o>out</p>")))
+    return p.select(k.alias("page_id"), F.concat(lists, picture, note).alias("html"))
+
+
+@query("SELECT p_partkey AS id, p_name AS term, unnest(['first ' || p_partkey, 'second']) AS definition FROM part")
+def html_definitions(spark, folder):
+    return hp.definition_lists(made_parts(spark, folder)).select("id", "term", "definition")
+
+
+@query("""SELECT p_partkey AS id, 'i' || p_partkey || '.png' AS href, CASE p_partkey % 3 WHEN 0 THEN 'Figure ' || p_partkey || '. It & more' WHEN 1 THEN 'Fig. ' || p_partkey || ' below it' END AS caption,
+CASE WHEN p_partkey % 3 < 2 THEN 'figure/' || p_partkey END AS key FROM part""")
+def html_figures(spark, folder):
+    return hp.figures(made_parts(spark, folder)).select("id", "href", "caption", "key")
+
+
+@query("SELECT p_partkey AS id, CASE WHEN p_partkey % 2 = 0 THEN 'n' ELSE 'e' END || p_partkey AS fragment, CASE WHEN p_partkey % 2 = 0 THEN 'Note ' || p_partkey || ' ends' ELSE 'End ' || p_partkey END AS text FROM part")
+def html_notes(spark, folder):
+    return hp.note_definitions(made_parts(spark, folder))
