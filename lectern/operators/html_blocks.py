@@ -67,9 +67,9 @@ def blocks(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") ->
     upto = line.rowsBetween(W.unboundedPreceding, 0)
     bounds = F.col("tag").isin(*BLOCKS)
     change = lambda names: F.when(F.col("tag").isin(*names), F.when(F.col("closing"), -1).otherwise(1)).otherwise(0)
-    df = tokens(pages, id_col, html_col).withColumns({
-        "block": F.sum(bounds.cast("int")).over(upto), "in_link": F.sum(change(("a",))).over(upto) > 0, "in_bold": F.sum(change(("b", "strong"))).over(upto) > 0,
-        "opens": F.when(bounds & ~F.col("closing"), F.col("tag"))})
+    df = tokens(pages, id_col, html_col).withColumns({"block": F.sum(bounds.cast("int")).over(upto), "opens": F.when(bounds & ~F.col("closing"), F.col("tag"))})
+    # a mark that is never closed ends with its block
+    df = df.withColumn("in_bold", F.sum(change(("b", "strong"))).over(W.partitionBy("id", "block").orderBy("ord").rowsBetween(W.unboundedPreceding, 0)) > 0)
     raw = F.when(F.col("tag").isNull(), F.regexp_replace(decoded_entities(F.col("token")), "[\t\n\f\r ]+", " ")).when(F.col("tag") == "br", "\n").otherwise("")
     df = df.withColumns({"piece": raw, "chars": F.length(raw)})
     part = F.struct("ord", "piece")

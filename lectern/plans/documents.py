@@ -31,7 +31,23 @@ def html_block_counts(spark, folder):
     return hb.blocks(pages(spark, folder)).groupBy("id").agg(F.count("*").alias("blocks"))
 
 
-@query()
+BOUND = "</?(?:address|article|aside|blockquote|body|caption|center|dd|details|dialog|div|dl|dt|fieldset|figcaption|figure|footer|form|h1|h2|h3|h4|h5|h6|header|hr|html|legend|li|main|menu|nav|ol|p|pre|section|summary|table|tbody|td|tfoot|th|thead|tr|ul)\\b[^>]*>"
+COLLAPSE = "regexp_replace(replace(replace(replace(replace({}, '&copy;', '©'), '&middot;', '·'), '&quot;', chr(34)), '&amp;', '&'), '[\\t\\n\\f\\r ]+', ' ', 'g')"
+#: Characters of a piece of markup as its tokens count: text between tags, each with white space collapsed, and one for each line break.
+CHARS = "list_sum(list_transform(string_split_regex({0}, '(?s)<!--.*?-->|<[^>]*>'), lambda x: length(" + COLLAPSE.format("x") + "))) + len(regexp_extract_all({0}, '<br\\b[^>]*>'))"
+
+
+@query(rf"""WITH {BODY_SQL}, c AS (SELECT id, list_concat([''], regexp_extract_all(lower(h), '{BOUND}')) AS tags, string_split_regex(h, '(?i){BOUND}') AS parts FROM b),
+u AS (SELECT id, unnest(range(len(parts))) AS k, unnest(tags) AS tag, unnest(parts) AS part FROM c),
+t AS (SELECT id, k, CASE WHEN tag LIKE '</%' THEN '' ELSE regexp_extract(tag, '^<([a-z0-9]+)', 1) END AS tag, part,
+ regexp_replace(regexp_replace(regexp_replace(array_to_string(list_transform(string_split_regex(regexp_replace(part, '<br\b[^>]*>', chr(1) || '<br>', 'g'), '(?s)<!--.*?-->|<[^>]*>'), lambda x: {COLLAPSE.format('x')}), ''), chr(1), chr(10), 'g'), ' +', ' ', 'g'), ' ?
+ ?', chr(10), 'g') AS raw FROM u),
+x AS (SELECT *, regexp_replace(raw, '^[ 
+]+|[ 
+]+$', '', 'g') AS text FROM t), n AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY k) AS n FROM x WHERE text <> '' OR tag = 'hr')
+SELECT id, CAST(n - 1 AS INTEGER) AS ord, CASE WHEN regexp_matches(tag, '^h[1-6]$') THEN 'heading' WHEN tag = 'hr' THEN 'separator' WHEN tag IN ('li', 'dt', 'dd') THEN 'item' WHEN tag IN ('td', 'th', 'caption') THEN 'cell' WHEN tag = 'pre' THEN 'pre' WHEN tag = 'blockquote' THEN 'quote' ELSE 'paragraph' END AS kind,
+CASE WHEN regexp_matches(tag, '^h[1-6]$') THEN CAST(tag[2:2] AS INTEGER) END AS level, text, length(text) AS length, CAST(len(regexp_extract_all(part, '(?i)<a\b')) AS BIGINT) AS links,
+round(coalesce(list_sum(list_transform(regexp_extract_all(part, '(?is)<(?:b|strong)\b[^>]*>(.*?)(?:</(?:b|strong)\s*>|\z)', 1), lambda y: {CHARS.format('y')})), 0) / greatest({CHARS.format('part')}, 1), 6) AS bold, 'n' || n AS node FROM n""")
 def html_blocks(spark, folder):
     return hb.blocks(pages(spark, folder))
 
@@ -46,7 +62,7 @@ def page_title_sniff(spark, folder):
     return hb.metadata(pages(spark, folder)).select("id", "title")
 
 
-@query()
+@query(rf"WITH {BODY_SQL}, p AS (SELECT id, h, strpos(h, '<p>') AS k FROM b WHERE contains(h, '<p>')) SELECT id, 'top' AS fragment, CAST(len(regexp_extract_all(substr(h, 1, k - 1), '(?i){BOUND}')) + 1 AS BIGINT) AS block FROM p")
 def fragment_anchors(spark, folder):
     made = pages(spark, folder).withColumn("html", F.regexp_replace("html", "<p>", "<p id='top'>"))
     return hb.anchors(made)
@@ -197,13 +213,13 @@ def made_tables(spark, folder):
     n = lambda c: c.cast("string")
     tag = F.when(F.col("l_linenumber") % 5 == 0, "th").otherwise("td")
     cell = F.concat(F.lit("<"), tag, F.lit(" rowspan="), n(1 + F.col("l_suppkey") % 3), F.lit(" colspan='"), n(1 + F.col("l_partkey") % 3), F.lit("'>q "), n(F.col("l_quantity").cast("int")), F.lit("<br>x &amp; y</"), tag, F.lit(">"))
-    rows = i.groupBy("l_orderkey", (F.col("l_linenumber") % 3).alias("r")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", cell.alias("c")))), lambda x: x["c"]), "").alias("cells"))
+    rows = i.groupBy("l_orderkey", (F.col("l_linenumber") % 3).alias("r")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_quantity", "l_suppkey", cell.alias("c")))), lambda x: x["c"]), "").alias("cells"))
     body = rows.groupBy("l_orderkey").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("r", "cells"))), lambda x: F.concat(F.lit("<tr>"), x["cells"], F.lit("</tr>"))), "\n").alias("rows"))
     return body.select(F.col("l_orderkey").alias("page_id"), F.concat(F.lit("<p>before</p><table><caption>Table "), n(F.col("l_orderkey")), F.lit("</caption>"), "rows", F.lit("</table><p>after</p>")).alias("html"))
 
 
 @query("""WITH RECURSIVE i AS (SELECT *, l_linenumber % 3 AS g, 1 + l_suppkey % 3 AS rs, 1 + l_partkey % 3 AS cs FROM lineitem WHERE l_orderkey % 4 = 0),
-r AS (SELECT *, CAST(dense_rank() OVER (PARTITION BY l_orderkey ORDER BY g) - 1 AS INTEGER) AS r, row_number() OVER (PARTITION BY l_orderkey ORDER BY g, l_linenumber, l_partkey) AS n FROM i),
+r AS (SELECT *, CAST(dense_rank() OVER (PARTITION BY l_orderkey ORDER BY g) - 1 AS INTEGER) AS r, row_number() OVER (PARTITION BY l_orderkey ORDER BY g, l_linenumber, l_partkey, l_quantity, l_suppkey) AS n FROM i),
 k AS (SELECT *, max(r) OVER (PARTITION BY l_orderkey) + 1 AS rows FROM r),
 p AS (SELECT l_orderkey, n, r, CAST(0 AS BIGINT) AS c, least(rs, rows - r) AS tall, cs, list_transform(range(0, 90), lambda x: CASE WHEN x < cs THEN r + least(rs, rows - r) ELSE 0 END) AS busy FROM k WHERE n = 1
 UNION ALL SELECT k.l_orderkey, k.n, k.r, f.c, least(k.rs, k.rows - k.r), k.cs, list_transform(range(0, 90), lambda x: CASE WHEN x >= f.c AND x < f.c + k.cs THEN k.r + least(k.rs, k.rows - k.r) ELSE p.busy[x + 1] END)

@@ -137,7 +137,11 @@ def translation_batches(spark, folder):
     return bt.greedy(_lengths(spark, folder), "doc_id", "ord", "size", bt.TRANSLATION_BUDGET).select("doc_id", "ord", "batch")
 
 
-@query()
+@query(f"""WITH RECURSIVE {NODES_SQL}, m AS (SELECT doc_id, ord, length(text) AS size, regexp_matches(text, '^.{{1,24}}$') AS short, row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS n FROM nodes),
+i AS (SELECT *, CAST(sum(CASE WHEN short AND n > 1 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY ord) AS BIGINT) AS section FROM m),
+g AS (SELECT doc_id, ord, n, section, size AS s, 0 AS batch FROM i WHERE n = 1 UNION ALL
+SELECT i.doc_id, i.ord, i.n, i.section, CASE WHEN i.section <> g.section OR s + size > 5000 THEN size ELSE s + size END, CASE WHEN i.section <> g.section OR s + size > 5000 THEN batch + 1 ELSE batch END FROM g JOIN i ON i.doc_id = g.doc_id AND i.n = g.n + 1)
+SELECT doc_id, ord, section, batch FROM g""")
 def greedy_batches(spark, folder):
     """Batches of at most 5,000 characters within sections, which short lines begin."""
     rows = bt.sections(_lengths(spark, folder), "doc_id", "ord", F.col("short"))
