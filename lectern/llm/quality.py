@@ -43,8 +43,8 @@ _EDGE = np.isin(np.arange(16), (6, 10, 11, 12, 13, 14))
 _SPREAD = (np.arange(4096, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - 10)).astype(np.int64)
 
 
-def signals(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Measures of the whole text for the labellers, and its hashed features."""
+def measured(text: str | None) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Measures of the whole text for the labellers, the classes of its bytes, and its words."""
     raw = (text or "").encode()
     kinds = _CLASS[np.frombuffer(raw, np.uint8)]
     share = np.bincount(kinds, minlength=16).astype(float)
@@ -53,29 +53,34 @@ def signals(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     again = sum(map(eq, words, words[1:]))
     lines = [x for x in raw.split(b"\n") if x.strip()]
     repeated = 1 - len(set(lines)) / len(lines) if lines else 0.0
-    measures = np.array([
+    return np.array([
         n, share[10:16].sum() / solid, again / max(1, n - 1), share[1] / max(1.0, share[0] + share[1]), share[6] / max(1, n),
         len(set(words)) / max(1, n), repeated, len(raw) / max(1, n), share[2] / solid,
         min(1.0, (_EDGE[kinds[:-1]] & ((kinds[1:] == 3) | (kinds[1:] == 4))).sum() / max(1, n)) if len(kinds) > 1 else 0.0,
-    ])
-    shapes = np.zeros(SHAPES)
+    ]), kinds, words
+
+
+def signals(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """Measures of the whole text, and its hashed features."""
+    measures, kinds, words = measured(text)
+    n, shapes = len(words), np.zeros(SHAPES)
     if len(kinds) > 2:
         k = kinds.astype(np.int64)
         shapes = np.bincount(_SPREAD[k[:-2] * 256 + k[1:-1] * 16 + k[2:]], minlength=SHAPES) / (len(kinds) - 2)
     events = np.zeros(SHAPES)  # hashed by name: word repetitions by rate, line repetitions, length, distinct words
     for name, value in ((1, measures[2]), (2, measures[6]), (3, min(1.0, 8 / max(1, n))), (4, measures[5] if n >= 50 else 0.5)):
         events[_SPREAD[name * 331 % 4096]] += value
-    return measures, np.r_[np.sqrt(shapes) + events, word_features(raw.lower().split())]
+    return measures, np.r_[np.sqrt(shapes) + events, word_features(words)]
 
 
 def word_features(words: list[bytes]) -> np.ndarray:
-    """Hashed words and pairs of words, each once, of a length that does not depend on their number."""
+    """Hashed words and pairs of words, of a length that does not depend on their number."""
     out = np.zeros(WORDS)
     if words:
         alone = np.fromiter(map(crc32, words), np.uint32, len(words)).astype(np.uint64)
         pairs = alone[:-1] * np.uint64(0x9E3779B97F4A7C15) + alone[1:] * np.uint64(0xC2B2AE3D27D4EB4F)
-        every = np.unique(np.r_[alone, pairs]) * np.uint64(0xD6E8FEB86659FD93)
-        out[(every >> np.uint64(64 - 10)).astype(np.int64)] = 1.0
+        for some in (alone, pairs):
+            out[(some * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(64 - 10)).astype(np.int64)] = 1.0
         out *= WORD_WEIGHT / np.sqrt(out.sum())
     return out
 
@@ -157,7 +162,7 @@ def fit(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", sa
     docs = documents.select(F.col(text_col).alias("text"))
 
     def vote() -> Callable:
-        return lambda cols: {"pattern": [pattern(votes(signals(t)[0])) for t in cols["text"]]}
+        return lambda cols: {"pattern": [pattern(votes(measured(t)[0])) for t in cols["text"]]}
 
     found = map_rows(docs, vote, "pattern int").groupBy("pattern").count().collect()
     patterns, counts = np.array([r[0] for r in found], np.int64), np.array([r[1] for r in found], float)
