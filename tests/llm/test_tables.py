@@ -42,6 +42,22 @@ def test_mixing(docs, no_docs):
     assert mixing.mix(no_docs).count() == 0
 
 
+def test_mixed_copies_of_equal_rows(spark):
+    """Rows with id, text and source alike share their copies; keys with one id or none do not fill one bucket."""
+    rows = [(1, "a b c", "x", k) for k in range(3)] + [(k, "one two three four", "y") + (0,) for k in range(10, 14)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, extra int")
+    took = {r["source"]: r["target"] for r in mixing.mix(df).collect()}
+    out = mixing.mixed(df).collect()
+    words = Counter()
+    for r in out:
+        words[r["source"]] += len(r["text"].split())
+    assert abs(words["x"] - took["x"]) <= 1.5 and abs(words["y"] - took["y"]) <= 2
+    assert max(Counter(r["extra"] for r in out if r["source"] == "x").values()) <= 2
+    many = spark.range(5000).selectExpr("CAST(NULL AS LONG) AS doc_id", "concat('w ', id) AS text", "'s' AS source")
+    keys = mixing.shares(many, "doc_id", "text", "source", 100).groupBy(F.substring("key", 1, 2)).count().agg(F.max("count")).first()[0]
+    assert keys < 60
+
+
 def test_mixed_documents(docs, no_docs):
     out = mixing.mixed(docs)
     assert out.columns == docs.columns
@@ -335,6 +351,25 @@ def test_neighbours(spark):
     assert ann.search(df.where("vec_id < 0"), df["vec_id"] % 20 == 0).count() == 0
 
 
+def test_neighbours_of_sparse_lists_and_blocks(spark, monkeypatch):
+    """Lists of few rows: a query visits more of them until it has its k. Shards and blocks of a list change nothing."""
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((400, 12))
+    x[7] *= 1000  # one very long vector
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    asks = df["vec_id"] % 20 == 0
+    monkeypatch.setattr(ann, "LIST_ROWS", 10)
+    few = ann.search(df, asks, least_probes=1, target=0.0).groupBy("query_id").count().collect()
+    assert [r["count"] for r in few] == [ann.K] * 20
+    whole = sorted(map(tuple, ann.search(df, asks, least_probes=40).collect()))
+    s = x @ x.T
+    best = [(q, r + 1, i) for q in range(0, 400, 20) for r, i in enumerate([i for i in np.argsort(-s[q], kind="stable") if i != q][: ann.K])]
+    assert [t[:3] for t in whole] == best
+    for name, value in (("SHARD_ROWS", 3), ("QUERY_ROWS", 2), ("FIRST_PROBES", 1), ("SPARSE", 1.1)):
+        monkeypatch.setattr(ann, name, value)
+    assert sorted(map(tuple, ann.search(df, asks, least_probes=40).collect())) == whole
+
+
 def test_neighbours_of_repeated_ids(spark):
     rng = np.random.default_rng(6)
     x = rng.standard_normal((60, 8))

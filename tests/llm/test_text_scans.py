@@ -109,6 +109,72 @@ def test_entropy_classes_and_samples(spark):
     assert got == list(range(len(secret)))
 
 
+def brute_entropy_spans(text):
+    """The added spans of the secret scan, step by step in plain Python."""
+    base = [b for spans in brute_secrets(text).values() for b in spans]
+
+    def best(v):
+        windows = [v[i : i + secrets.WINDOW] for i in range(len(v) - secrets.WINDOW + 1)]
+        return max((-sum(w.count(c) / len(w) * math.log2(w.count(c) / len(w)) for c in set(w)) for w in windows), default=0.0)
+
+    def part(p):
+        vowels = sum(c in "aeiouyAEIOUY" for c in p) / max(1, len(p))
+        kinds = (any(c.islower() for c in p), any(c.isupper() for c in p), sum(c.isdigit() for c in p))
+        least = None
+        if kinds[0] and not kinds[1] and kinds[2] >= 2 and any(c in "ghijklmnopqrstuvwxyz" for c in p):
+            least = secrets.ENTROPY["lower"]
+        elif kinds[1] and not kinds[0] and kinds[2] >= 2 and any(c in "GHIJKLMNOPQRSTUVWXYZ" for c in p):
+            least = secrets.ENTROPY["upper"]
+        elif p.isalpha() and (p.islower() or p.isupper() or p[1:].islower()) and vowels <= secrets.VOWELS["one case"]:
+            least = secrets.ENTROPY["one case"]
+        elif p.isalpha() and kinds[0] and sum(c.isupper() for c in p) >= 2 and vowels <= secrets.VOWELS["letters"]:
+            least = secrets.ENTROPY["letters"]
+        return len(p) >= secrets.WINDOW and least is not None and best(p) >= least - 1e-9
+
+    def secret(candidate):
+        v = re.sub(secrets.SAMPLE.replace("(?i:", "(?:"), "", candidate, flags=re.I)
+        hexa = bool(re.fullmatch("[0-9a-f]+|[0-9A-F]+", v))
+        allowed = any(re.search(a, v) for a in secrets.ALLOWED)
+        mixed = re.search("[0-9]", v) and (re.search("[A-Fa-f]", v) if hexa else re.search("[A-Z]", v) and re.search("[a-z]", v))
+        if mixed and not allowed and best(v) >= secrets.ENTROPY["hex" if hexa else "mixed"] - 1e-9:
+            return True
+        return not re.search(secrets.ALLOWED[0], v) and any(part(p) for p in re.split("[/_=+-]+", v) if p)
+
+    found = [m.span() for m in re.finditer("[A-Za-z0-9+/_=-]{20,}", text) if secret(m[0])]
+    return [(a, z) for a, z in found if all(z <= x or y <= a for x, y in base)]
+
+
+def test_added_secrets_against_brute_force(spark):
+    import random
+
+    r = random.Random(5)
+    alphabets = ["0123456789abcdef", "ABCDEF0123456789", "abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "abcdefghijklmnopqrstuvwxyz", "aeiou bcd", "abcXYZ012+/=", "ab1", "KQXVZBWRLkqxvzbwrl"]
+    pieces = ["token=", "secret: ", " ", "\n", "/", "-", "_", "=", "example", "0123456789", "word", "éß", "AKIA"]
+    texts = []
+    for _ in range(150):
+        out = []
+        for _ in range(r.randint(1, 14)):
+            out.append(r.choice(pieces) if r.random() < 0.5 else "".join(r.choice(r.choice(alphabets)) for _ in range(2)) + "".join(map(r.choice, [r.choice(alphabets)] * r.randint(5, 45))))
+        texts.append("".join(out))
+    scanned = secrets.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    got = {x["doc_id"]: [(s["start"], s["end"]) for s in x["entropy"]] for x in scanned.collect()}
+    assert got == {k: brute_entropy_spans(t) for k, t in enumerate(texts)}
+    assert sum(map(len, got.values())) > 30
+
+
+def test_many_spans_in_one_text(spark):
+    """Time grows in proportion to the spans of a text, and places stay right beyond the parts that arrays are run in."""
+    from lectern.llm import native_spans
+
+    n = 3 * native_spans.PART + 7
+    text = " é ".join(f"token=abcdefgh{k} +49 30 {1000000 + k}" for k in range(n))
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    one = secrets.digest(secrets.scan(df)).first()
+    assert (one["n_assign"], one["base_sha256"]) == (n, digest(brute_secrets(text)))
+    two = pii.digest(pii.scan(df)).first()
+    assert (two["n_phone"], two["base_sha256"]) == (n, digest(brute_pii(text)))
+
+
 def brute_pii(text):
     text = text or ""
 
@@ -125,6 +191,62 @@ def brute_pii(text):
     }
 
 
+def brute_added(text, model):
+    """Proposals, features, trees and the choice among overlapping spans of the personal-data scan in plain Python."""
+    trees, weights, limits = model
+    base = [b for spans in brute_pii(text).values() for b in spans]
+    proposed = []
+    for kind, p in enumerate(pii.GENERATORS.values()):
+        last = 0
+        for m in re.finditer(p, text):
+            proposed.append((m.start(), m.end(), kind, text[max(last, m.start() - pii.CONTEXT) : m.start()], m[0]))
+            last = m.end()
+
+    def features(kind, before, v):
+        count = lambda chars: sum(c in chars for c in v)
+        near = before[-pii.NEAR :]
+        some = lambda p, x: float(bool(re.search(p, x)))
+        digits = [c for c in v if c in "0123456789"]
+        first, last = re.search("^[^0-9A-Za-z]?([0-9A-Za-z]+)", v), re.search("([0-9A-Za-z]+)[^0-9A-Za-z]*$", v)
+        return {
+            "kind": kind, "digits": len(digits), "letters": len(re.findall("[A-Za-z]", v)), "length": len(v), "groups": len(re.split("[^0-9A-Za-z]+", v)), "blanks": count(" "),
+            "hyphens": count("-"), "dots": count("."), "slashes": count("/"), "parens": count("()"), "first": len(first[1]) if first else 0, "distinct": len(set(digits)) or 1,
+            "year": some("(?:^|[^0-9])(?:19|20)[0-9]{2}(?:[^0-9]|$)", v), "for_near": some(pii.FOR, near), "against_near": some(pii.AGAINST, near), "for_far": some(pii.FOR, before),
+            "domain": some(pii.DOMAIN, v), "last": len(last[1]) if last else 0,
+        }
+
+    def grow(tree, x):
+        return tree if not isinstance(tree, tuple) else grow(tree[2] if x[pii.FEATURES[tree[0]]] <= tree[1] else tree[3], x)
+
+    accepted = []
+    for a, z, kind, before, v in proposed:
+        if all(z <= x or y <= a for x, y in base):
+            x = features(kind, before, v)
+            p = 1 / (1 + math.exp(-2 * sum(w * grow(t, x) for t, w in zip(trees, weights, strict=True))))
+            if p >= limits[kind]:
+                accepted.append((a, z, kind, p))
+    stays = []
+    for one in sorted(accepted):
+        if stays and one[0] < stays[-1][1]:
+            if (one[3], one[2]) > (stays[-1][3], stays[-1][2]):
+                stays[-1] = one
+        else:
+            stays.append(one)
+    return sorted((list(pii.GENERATORS)[k], a, z) for a, z, k, _ in stays)
+
+
+def test_added_pii_against_brute_force(spark):
+    import random
+
+    r = random.Random(9)
+    lines = [t for t, _ in pii.examples()]
+    texts = [" ".join(r.choice([r.choice(lines), r.choice(TRICKY), "x"])[: r.randint(5, 80)] for _ in range(r.randint(1, 8))) for _ in range(250)]
+    got = {x["doc_id"]: sorted((k, s["start"], s["end"]) for k in pii.GENERATORS for s in x[k]) for x in pii.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    model = pii._model(spark.sparkContext.applicationId)
+    assert got == {k: brute_added(t, model) for k, t in enumerate(texts)}
+    assert {k for spans in got.values() for k, _, _ in spans} == set(pii.GENERATORS)
+
+
 TRICKY = [
     "a@b.c@d.e.f x%y+z@h-1.co.uk_more@x.y a@b @c.d e@f.", "1.2.3.4.5.6.7.8 256.1.1.1 001.002.003.0004 99999999999.1.1.1 1.1.1",
     "4111 1111 1111 1111 12 4111-1111-1111-1112 4111111111111111 41111111111111111111 4 1 1 1 1 1 1 1 1 1 1 1 1 1 1 1", "+1 (499) 555-6503 +49 30.123456 +1 2 +12345678901234567 + 1234567890123",
@@ -155,8 +277,53 @@ def brute_license(text):
     return len(w), len(places), min(at, default=None), max(at, default=None), ",".join(sorted({x for _, x in places}))
 
 
+def brute_labels(text):
+    """Labels and score by comparing every place with every template."""
+    w, k, found = words(text), licences.TEXT_K, {}
+    for label, texts in licences.TEMPLATES.items():
+        for t in map(str.split, texts):
+            hits = [(i, j) for i in range(len(w) - k + 1) for j in range(len(t) - k + 1) if w[i : i + k] == t[j : j + k]]
+            groups, last = [], None
+            for d in sorted({i - j for i, j in hits}):
+                if last is None or d - last > licences.NEAR:
+                    groups.append([])
+                groups[-1] += [h for h in hits if h[0] - h[1] == d]
+                last = d
+            for group in groups:
+                group.sort(key=lambda h: (h[0], -h[1]))
+                best = []
+                for n, (i, j) in enumerate(group):
+                    best.append(max([(1, k), *((c + 1, v + min(k, j - group[m][1])) for m, (c, v) in enumerate(best) if group[m][0] < i and group[m][1] < j)]))
+                covered = max(v for _, v in best)
+                span = max(i for i, _ in group) + k - min(i for i, _ in group)
+                if len(group) + k - 1 >= licences.LEAST * len(t) and span <= 2 * len(t):
+                    found[label] = max(found.get(label, 0), covered / len(t) if covered >= (1.0 if len(t) < licences.SHORT else licences.LEAST) * len(t) else 0)
+    base = brute_license(text)[4]
+    return ",".join(sorted({x for x, s in found.items() if s} | set(filter(None, base.split(","))))), 1.0 if base else max(found.values(), default=0.0)
+
+
+def test_labels_against_brute_force(spark):
+    """Templates whole, cut, with words put in, left out and shuffled, and repeated."""
+    import random
+
+    r = random.Random(4)
+    every = [t for texts in licences.TEMPLATES.values() for t in texts]
+    texts = []
+    for t in every:
+        w = t.split()
+        texts += [t, " ".join(w[: len(w) * 2 // 3]), " ".join(x for x in w if r.random() < 0.93), " ".join(y for x in w for y in ((x, "indeed") if r.random() < 0.06 else (x,)))]
+        parts = [w[i : i + 5] for i in range(0, len(w), 5)]
+        r.shuffle(parts)
+        texts += [" ".join(x for part in parts for x in part), f"x {t} y {t} {t[:40]}"]
+    got = {x["doc_id"]: (x["labels"], x["score"]) for x in licences.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    want = {k: brute_labels(t) for k, t in enumerate(texts)}
+    assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()}
+    assert sum(abs(got[k][1] - want[k][1]) > 0.02 for k in want) == 0
+    assert all(label in got[6 * k][0].split(",") for k, label in enumerate(x for x, texts_ in licences.TEMPLATES.items() for _ in texts_))
+
+
 def test_licenses(spark, docs, no_docs):
-    texts = [*licences.TEMPLATES["mit"][:1], "x " + licences.TEMPLATES["apache-2.0"][0].replace(" except", " indeed except"), "cc by " * 50, "general public general public license", "permission is hereby granted"]
+    texts = [*licences.TEMPLATES["mit"][:1], "x " + licences.TEMPLATES["apache-2.0"][0].replace(" except in", " indeed"), "cc by " * 50, "general public general public license", "permission is hereby granted"]
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()] + list(enumerate(texts, 100))
     found = licences.scan(spark.createDataFrame(rows, "doc_id long, text string"))
     got = by_row(found, "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
