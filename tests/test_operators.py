@@ -155,3 +155,72 @@ def test_contents_deeper_than_eight(spark):
     df = spark.createDataFrame([("b", k, k) for k in range(12)], "book string, ord int, depth int")
     got = {r["ord"]: (r["parent"], r["ancestors"]) for r in toc.ancestors(df).collect()}
     assert got == {k: (k - 1 if k else None, list(range(k))) for k in range(12)}
+
+
+def test_list_depths(spark):
+    """The levels of indents against a plain stack."""
+    import random
+
+    from lectern.operators import structure as sr
+
+    def plain(indents):
+        stack, out = [], []
+        for v in indents:
+            if not stack or v > stack[-1] + sr.SAME_INDENT:
+                stack.append(v)
+            else:
+                known = [i for i, x in enumerate(stack) if abs(v - x) <= sr.SAME_INDENT]
+                under = [i for i, x in enumerate(stack) if x < v]
+                stack = stack[: known[-1] + 1] if known else stack[: under[-1] + 1 if under else 0] + [v]
+            out.append(len(stack) - 1)
+        return out
+
+    r = random.Random(3)
+    lists = [[float(r.randint(0, 40)) for _ in range(r.randint(1, 12))] for _ in range(60)]
+    df = spark.createDataFrame(list(enumerate(lists)), "i int, v array<double>")
+    assert [x["d"] for x in df.orderBy("i").select(sr.list_depths(F.col("v")).alias("d")).collect()] == [plain(v) for v in lists]
+
+
+@pytest.mark.parametrize("text, want", [
+    ("• a", ("bullet", 1)), ("③ x", ("circled", 3)), ("(12) x", ("arabic", 12)), ("（３） x", None), ("十二、x", ("chinese", 12)), ("IV. x", ("roman", 4)), ("b) x", ("alpha", 2)),
+    ("i. x", ("alpha", 9)), ("1900. x", None), ("3.5 x", None), ("3.", None), ("abc. x", None), ("  7) x", ("arabic", 7)), ("", None)])
+def test_list_marks(spark, text, want):
+    mark = one(spark, lg.list_marker(F.lit(text)))
+    assert (mark and (mark["family"], mark["value"])) == want
+    if text == "i. x":
+        assert mark["values"] == {"alpha": 9, "roman": 1} and mark["prefix"] == 3
+
+
+@pytest.mark.parametrize("text, want", [
+    ("Figs 1, 2 and 3", ["figure/1", "figure/2", "figure/3"]), ("misfigure 2", []), ("表一百二a与三", ["table/102a", "table/3"]), ("Fig. 2(b), 4–5", ["figure/2b", "figure/4-5"]), ("tab. A.3; chart 9; plate 2", ["table/a.3"])])
+def test_media_references(spark, text, want):
+    df = spark.createDataFrame([(text,)], "text string")
+    assert [f"{r['kind']}/{r['number']}" for r in lg.media_references(df).collect()] == want
+
+
+def test_quotes_of_all_lengths(spark):
+    """Quotes in documents against `in`, lengths around the pieces', repeats and empty ones included."""
+    import random
+
+    r = random.Random(8)
+    texts = ["".join(r.choice("ab \\n.") for _ in range(r.randint(0, 120))) for _ in range(60)] + [None]
+    quotes = [(t[k : k + n]) for t in texts if t for k, n in ((3, 1), (0, 11), (5, 12), (2, 23), (4, 24), (1, 25), (0, 60))] + ["zz", "", None]
+    docs, asked = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"), spark.createDataFrame(list(enumerate(quotes)), "quote_id int, quote string")
+    got = {tuple(x) for x in se.quote_pairs(asked, docs).collect()}
+    assert got == {(q, d) for q, quote in enumerate(quotes) if quote is not None for d, t in enumerate(texts) if t is not None and quote in t}
+
+
+def test_union_in_buckets_is_the_union(spark):
+    """Cut at hours, every moment keeps the interval, and so the offset, that owns it without the cut."""
+    import random
+
+    from lectern.operators import intervals as iv
+
+    r = random.Random(6)
+    rows = []
+    for _ in range(300):
+        start = r.randint(0, 8 * 3_600_000)
+        rows.append((r.choice("ab"), start, start + r.randint(0, 5_000_000), r.choice((-3600, 0, 7200, 39600))))
+    df = spark.createDataFrame(rows, "k string, start long, end long, offset int")
+    whole = iv.by_local_day(iv.union(df, "k")).groupBy("k", "day").agg(F.sum(F.col("end") - F.col("start")).alias("ms"))
+    assert sorted(map(tuple, iv.daily(df, "k").collect())) == sorted(map(tuple, whole.collect()))
