@@ -95,11 +95,12 @@ def mixed(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     in turn. Documents without words go."""
     whole = F.col("size") * F.col("n")
     taken = F.col("epochs") * whole + F.least(F.greatest(F.col("cut"), F.lit(0).cast("long")), whole)
+    named = lambda key, source: F.concat(key, F.coalesce(F.concat(F.lit("s"), source.cast("string")), F.lit("n")))  # noqa: E731  one column, so that the window finds the join's partitions
     part = shares(documents, id_col, text_col, source_col, bucket_rows).select(
-        F.col("key").alias("_mix_key"), F.col("source").alias("_mix_source"), F.col("n").alias("_mix_rows"), F.floor(F.try_divide(taken, F.col("size")) + 0.5).alias("_mix_n")).where("_mix_n > 0")
-    keys = documents.withColumns({"_mix_of": entry_key(F.col(id_col), F.col(text_col)), "_mix_from": F.col(source_col)})
-    met = keys.join(part, (F.col("_mix_of") == F.col("_mix_key")) & F.col("_mix_from").eqNullSafe(F.col("_mix_source")))
-    nth = F.row_number().over(W.partitionBy("_mix_key", "_mix_source").orderBy("_mix_rows"))
+        named(F.col("key"), F.col("source")).alias("_mix_key"), F.col("n").alias("_mix_rows"), F.floor(F.try_divide(taken, F.col("size")) + 0.5).alias("_mix_n")).where("_mix_n > 0")
+    keys = documents.withColumn("_mix_of", named(entry_key(F.col(id_col), F.col(text_col)), F.col(source_col)))
+    met = keys.join(part, F.col("_mix_of") == F.col("_mix_key"))
+    nth = F.row_number().over(W.partitionBy("_mix_of").orderBy("_mix_rows"))
     times = met.withColumn("_mix_times", F.floor((F.col("_mix_n") + F.col("_mix_rows") - nth) / F.col("_mix_rows"))).where("_mix_times > 0")
     return times.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_mix_times")))).select(*[F.col(f"`{c}`") for c in documents.columns])
 
