@@ -125,3 +125,65 @@ def cascaded(elements: DataFrame, rules: DataFrame, key: str = "element") -> Dat
     met = elements.select(key, "tag", "id", "classes", F.explode(F.array_compact(files)).alias("_file")).join(filed, "_file")
     fits = (F.col("_tag").isNull() | (F.col("_tag") == F.col("tag"))) & (F.col("_id").isNull() | (F.col("_id") == F.col("id"))) & (F.size(F.array_except("_classes", "classes")) == 0)
     return met.where(fits).groupBy(key, "property").agg(F.max_by("value", F.struct("_s", "order")).alias("value"))
+
+
+def joined_pages(pages: DataFrame, key: str, page: str, text: str = "text") -> DataFrame:
+    """pages with text in which a paragraph that a page break cuts is whole again: the first paragraph of a page moves to
+    the end of the page before it, if both are prose and the earlier one does not end a sentence.
+
+    A page whose only paragraph has moved away has nothing that the next could join, so along a run of such pages every
+    second join happens.
+    """
+    line = W.partitionBy(key).orderBy(page)
+    df = pages.withColumn("_p", F.split(F.regexp_replace(text, r"^\s+|\s+$", ""), r"\n\s*\n"))
+    df = df.withColumns({"_tail": F.element_at("_p", -1), "_head": F.lead(F.col("_p")[0]).over(line), "_one": F.size("_p") == 1})
+    plain = lambda c: (c != "") & ~c.rlike(r"(?m)^(?:#{1,6}\s|[-*+]\s|[0-9]+[.)]\s|>|```|\|)|!\[|<|\$\$")
+    closed = F.regexp_replace("_tail", "[”’\"')）\\]】]+$", "")
+    hyphen = F.col("_tail").rlike("[-‐‑­]$")
+    ends = closed.rlike("[.!?。！？；;:]$") & ~(closed.endswith(".") & F.col("_head").rlike("^[a-z]"))
+    can = F.coalesce(plain(F.col("_tail")) & plain(F.col("_head")) & (hyphen | ~ends), F.lit(False))
+    df = df.withColumn("_can", can)
+    before = F.coalesce(F.lag("_can").over(line), F.lit(False))
+    df = df.withColumn("_starts", (~(F.col("_one") & before)).cast("int")).withColumn("_run", F.sum("_starts").over(line.rowsBetween(W.unboundedPreceding, 0)))
+    place = F.row_number().over(W.partitionBy(key, "_run").orderBy(page))
+    df = df.withColumn("_joins", F.col("_can") & (place % 2 == 1)).withColumn("_lost", F.coalesce(F.lag("_joins").over(line), F.lit(False)))
+    space = F.when(F.col("_tail").rlike("[A-Za-z0-9]$") & F.col("_head").rlike("^[A-Za-z0-9]"), " ").otherwise("")
+    whole = F.when(hyphen, F.concat(F.substring("_tail", F.lit(1), F.length("_tail") - 1), F.col("_head"))).otherwise(F.concat("_tail", space, "_head"))
+    kept = F.when(F.col("_lost"), F.slice("_p", F.lit(2), F.size("_p"))).otherwise(F.col("_p"))
+    new = F.when(F.col("_joins"), F.concat(F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(0))), F.array(whole))).otherwise(kept)
+    return df.withColumn(text, F.array_join(new, "\n\n")).drop("_p", "_tail", "_head", "_one", "_can", "_starts", "_run", "_joins", "_lost")
+
+
+def markdown_blocks(pages: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """key, ord, kind, level, text of the blocks of plain Markdown: headings, list items, quotes, fenced code, paragraphs."""
+    lines = pages.select(key, F.posexplode(F.split(text, "\n")).alias("at", "line"))
+    line = W.partitionBy(key).orderBy("at")
+    fence = F.col("line").rlike(r"^\s*```")
+    df = lines.withColumn("_f", F.sum(fence.cast("int")).over(line.rowsBetween(W.unboundedPreceding, 0))).withColumn("_fence", fence)
+    code = (F.col("_f") % 2 == 1) | F.col("_fence")
+    heading, item, quote = F.regexp_extract("line", r"^(#{1,6})\s+\S", 1), F.col("line").rlike(r"^\s*(?:[-*+]|[0-9]+[.)])\s+\S"), F.col("line").rlike(r"^\s*>")
+    df = df.withColumn("kind", F.when(code, "code").when(heading != "", "heading").when(item, "item").when(quote, "quote").when(F.trim("line") == "", "blank").otherwise("paragraph"))
+    df = df.withColumn("level", F.when(F.col("kind") == "heading", F.length(heading)))
+    alone = F.col("kind").isin("heading", "item", "blank") | (F.col("kind") != F.lag("kind").over(line)) | F.lag("kind").over(line).isNull()
+    # lines without a mark after an item go on with it
+    goes_on = (F.col("kind") == "paragraph") & (F.lag("kind").over(line) == "item")
+    df = df.withColumn("_new", (alone & ~F.coalesce(goes_on, F.lit(False))).cast("int")).withColumn("_b", F.sum("_new").over(line.rowsBetween(W.unboundedPreceding, 0)))
+    bare = (F.when(F.col("kind") == "heading", F.regexp_replace("line", r"^#+\s+|\s*#*\s*$", "")).when(F.col("kind") == "item", F.regexp_replace("line", r"^\s*(?:[-*+]|[0-9]+[.)])\s+", ""))
+            .when(F.col("kind") == "quote", F.regexp_replace("line", r"^\s*>\s?", "")).otherwise(F.col("line")))
+    df = df.where("kind <> 'blank' and not _fence").withColumn("_t", bare)
+    out = df.groupBy(key, "_b").agg(F.min_by("kind", "at").alias("kind"), F.min_by("level", "at").alias("level"), F.sort_array(F.collect_list(F.struct("at", "_t"))).alias("_l"))
+    joined = F.when(F.col("kind") == "code", F.array_join(F.transform("_l", lambda x: x["_t"]), "\n")).otherwise(F.trim(F.array_join(F.transform("_l", lambda x: F.trim(x["_t"])), " ")))
+    out = out.withColumn("text", joined).withColumn("ord", F.row_number().over(W.partitionBy(key).orderBy("_b")) - 1)
+    return out.select(key, "ord", "kind", "level", "text")
+
+
+def marked_references(runs: Column, paths: Column) -> Column:
+    """Runs (text, link, scale, raised, role) of which those become note references that point into a section of notes, are
+    small or raised, and hold nothing but a mark."""
+    mark = r"^[\s\[\]()（）【】.]*[0-9*†‡§]{1,8}[\s\[\]()（）【】.]*$"
+
+    def one(r: Column) -> Column:
+        notes = r["link"].contains("#") & F.array_contains(paths, F.substring_index(r["link"], "#", 1)) & (r["role"] == "normal") & ((r["scale"] <= 0.85) | r["raised"]) & r["text"].rlike(mark)
+        return r.withField("role", F.when(F.coalesce(notes, F.lit(False)), "note").otherwise(r["role"]))
+
+    return F.transform(runs, one)

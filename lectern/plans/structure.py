@@ -292,3 +292,67 @@ def block_predicates(spark, folder):
 def base64_round_trip(spark, folder):
     encoded = F.regexp_replace(F.base64(F.coalesce("text", F.lit("")).cast("binary")), "[\r\n]", "")
     return table(spark, folder, "documents").select("doc_id", encoded.alias("encoded"), F.unbase64(encoded).cast("string").alias("back"))
+
+
+PARAGRAPHS = ("It goes on and", "It ends here.", "# Heading", "a hyphen-", "He said \"so.\"")
+
+
+@query(f"""WITH RECURSIVE k AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n, (conv_id * 7 + turn * 3) % 5 AS a, (conv_id + turn) % 4 AS b FROM conversations),
+l AS (SELECT *, {list(PARAGRAPHS)!r} AS w FROM k), p AS (SELECT conv_id, turn, n, CASE WHEN b = 0 THEN [w[a + 1]] ELSE [w[(a + b) % 5 + 1], w[a + 1]] END AS ps FROM l),
+q AS (SELECT *, lead(ps[1]) OVER (PARTITION BY conv_id ORDER BY n) AS head, ps[-1] AS tail FROM p),
+c AS (SELECT *, head IS NOT NULL AND NOT starts_with(head, '#') AND NOT starts_with(tail, '#') AND (tail = 'It goes on and' OR tail = 'a hyphen-' OR (tail IN ('It ends here.', 'He said "so."') AND head = 'a hyphen-')) AS can FROM q),
+j AS (SELECT conv_id, turn, n, ps, head, tail, can, can AS joins, false AS lost FROM c WHERE n = 1
+UNION ALL SELECT c.conv_id, c.turn, c.n, c.ps, c.head, c.tail, c.can, c.can AND NOT (len(c.ps) = 1 AND j.joins), j.joins FROM j JOIN c ON c.conv_id = j.conv_id AND c.n = j.n + 1),
+o AS (SELECT *, CASE WHEN lost THEN ps[2:] ELSE ps END AS kept, CASE WHEN tail = 'a hyphen-' THEN 'a hyphen' || head WHEN tail = 'It goes on and' AND regexp_matches(head, '^[A-Za-z0-9]') THEN tail || ' ' || head ELSE tail || head END AS whole FROM j)
+SELECT conv_id, turn, array_to_string(CASE WHEN joins THEN list_append(kept[1 : len(kept) - 1], whole) ELSE kept END, chr(10) || chr(10)) AS text FROM o""")
+def joined_pages(spark, folder):
+    """Paragraphs over page breaks; turns stand in for pages of one or two paragraphs."""
+    c = table(spark, folder, "conversations")
+    a, b = (F.col("conv_id") * 7 + F.col("turn") * 3) % 5, (F.col("conv_id") + F.col("turn")) % 4
+    word = lambda n: F.element_at(F.array(*[F.lit(p) for p in PARAGRAPHS]), (n + 1).cast("int"))
+    text = F.when(b == 0, F.concat(word(a), F.lit(" \n"))).otherwise(F.concat(word((a + b) % 5), F.lit("\n \n"), word(a)))
+    return sr.joined_pages(c.select("conv_id", "turn", text.alias("text")), "conv_id", "turn").select("conv_id", "turn", "text")
+
+
+@query("""WITH k AS (SELECT p_partkey AS id, p_name AS t FROM part)
+SELECT id, unnest(range(6)) AS ord, unnest(['heading', 'paragraph', 'item', 'item', 'quote', 'code']) AS kind, unnest([CAST(1 + id % 6 AS INTEGER), NULL, NULL, NULL, NULL, NULL]) AS level,
+unnest([t || ' & on', 'one ' || t || ' two', t || ' goes on', 'second', 'said ' || t, '# ' || t || chr(10) || '  - x']) AS text FROM k""")
+def markdown_blocks(spark, folder):
+    k, t = F.col("p_partkey"), F.col("p_name")
+    text = F.concat(F.repeat(F.lit("#"), (1 + k % 6).cast("int")), F.lit(" "), t, F.lit(" & on ##\n\none "), t, F.lit("\n two\n\n- "), t, F.lit("\ngoes on\n2) second\n\n> said\n> "), t, F.lit("\n```py\n# "), t, F.lit("\n  - x\n```\n"))
+    out = sr.markdown_blocks(table(spark, folder, "part").select(k.alias("id"), text.alias("text")), "id")
+    return out.select("id", F.col("ord").cast("long").alias("ord"), "kind", "level", "text")
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 AND p_partkey % 3 > 0 AND p_size % 4 > 0 THEN 'note' ELSE 'normal' END AS first, CASE WHEN p_partkey % 2 = 0 AND p_partkey % 5 = 0 THEN 'note' ELSE 'normal' END AS second FROM part")
+def note_marks(spark, folder):
+    """Links of parts that become note references; even parts have a section of notes."""
+    k, size = F.col("p_partkey"), F.col("p_size")
+    run = lambda text, scale, raised, target: F.struct(text.alias("text"), F.concat(F.lit(target), F.lit("#f"), k.cast("string")).alias("link"), scale.alias("scale"), raised.alias("raised"), F.lit("normal").alias("role"))
+    runs = F.array(run(F.when(k % 3 > 0, F.concat(F.lit("["), (size % 90).cast("string"), F.lit("]"))).otherwise(F.lit("see here")), F.when(size % 4 > 0, 0.8).otherwise(1.0), F.lit(False), "notes"),
+                   run(F.lit(" † "), F.lit(1.0), k % 5 == 0, "notes"))
+    paths = F.when(k % 2 == 0, F.array(F.lit("notes"))).otherwise(F.array(F.lit("other")))
+    marked = table(spark, folder, "part").select("p_partkey", sr.marked_references(runs, paths).alias("r"))
+    return marked.select("p_partkey", F.col("r")[0]["role"].alias("first"), F.col("r")[1]["role"].alias("second"))
+
+
+@query("SELECT p_partkey, unnest(['color', 'margin', 'font-family']) AS name, unnest(['#a' || p_size, CAST(p_size AS VARCHAR) || 'px', 'a:b, c']) AS value FROM part")
+def style_declarations(spark, folder):
+    n = F.col("p_size").cast("string")
+    css = F.concat(F.lit("/* x: y; */ Color : #A"), n, F.lit(" !IMPORTANT;; nothing; margin:"), n, F.lit("PX; : z; empty: ; font-family: A:b, C; /* open: end"))
+    return table(spark, folder, "part").select("p_partkey", F.explode(tx.declarations(css)).alias("d")).select("p_partkey", "d.name", "d.value")
+
+
+@query("""SELECT event_id, '{"key":' || regexp_extract(props, '([0-9]+)', 1) || ',"in":[{"title":"a \\"t\\": k"}],"k2":1}' AS json FROM events""")
+def renamed_keys(spark, folder):
+    number = F.regexp_extract("props", "([0-9]+)", 1)
+    json = F.concat(F.lit('{"k":'), number, F.lit(',"in":[{"t":"a \\"t\\": k"}],"k2":1}'))
+    return table(spark, folder, "events").select("event_id", tx.renamed_keys(json, {"k": "key", "t": "title"}).alias("json"))
+
+
+@query("SELECT user_id, event_type AS node, count(*) AS n, string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY event_id) AS ids FROM events WHERE event_id % 3 = 0 GROUP BY 1, 2")
+def annotations_by_node(spark, folder):
+    """Annotations gathered by the text they belong to, in order."""
+    e = table(spark, folder, "events").where("event_id % 3 = 0")
+    g = e.groupBy("user_id", F.col("event_type").alias("node")).agg(F.count("*").alias("n"), F.sort_array(F.collect_list("event_id")).alias("ids"))
+    return g.select("user_id", "node", "n", F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"))

@@ -224,3 +224,23 @@ def test_union_in_buckets_is_the_union(spark):
     df = spark.createDataFrame(rows, "k string, start long, end long, offset int")
     whole = iv.by_local_day(iv.union(df, "k")).groupBy("k", "day").agg(F.sum(F.col("end") - F.col("start")).alias("ms"))
     assert sorted(map(tuple, iv.daily(df, "k").collect())) == sorted(map(tuple, whole.collect()))
+
+
+def test_files(spark, tmp_path):
+    """Listings, changed tables, day folders of diagnostics, keyed reads, blocks as JSON."""
+    from lectern.sources import files as fl
+
+    for name in ("b.json", "a.json", "c.txt"):
+        (tmp_path / name).write_text("{}")
+    assert [r["name"] for r in fl.json_files(spark, str(tmp_path)).collect()] == ["a.json", "b.json"]
+    df, place = spark.range(10).withColumn("x", F.col("id") * 2), f"{tmp_path}/t"
+    assert fl.write_if_changed(df, place) and not fl.write_if_changed(df.repartition(3), place) and fl.write_if_changed(df.where("id > 2"), place)
+    assert spark.read.parquet(f"{place}/rows").count() == 7
+    assert fl.keyed(spark.read.parquet(f"{place}/rows"), id=5).first()["x"] == 10
+    log = f"{tmp_path}/log"
+    for day in ("2024-01-01", "2024-01-02"):
+        fl.log_events(spark.createDataFrame([("open", 1), ("close", 2)], "event string, n int"), log, F.lit(day))
+    assert fl.recent_log(spark, log, "2024-01-02", "event string, n int").count() == 2
+    blocks = hb.blocks(spark.createDataFrame([(1, "<h1>A</h1><p>b &amp; <a href=x>c</a></p>")], "page_id long, html string"))
+    back = fl.decoded_blocks(fl.encoded_blocks(blocks))
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, blocks.select(*back.columns).collect()))
