@@ -9,6 +9,14 @@ from lectern.functions.text import heading_key, ordinal
 #: Blocks at the start of a section in which a heading without an anchor is sought, indents that count as one, and spans of a table's cell.
 SOUGHT, SAME_INDENT, MOST_SPAN = 8, 4.0, 64
 
+# What a heading's label may begin with, and what divides its number from its title.
+DIVISIONS, DIVIDERS = ("chapter", "part", "book"), r"\s:.\-–—"
+# Marks of lists, of lines that are no prose, of what prose does not hold; ends of sentences, what closes after them, hyphens.
+LIST_MARKS, LINE_MARKS, HELD_MARKS = r"\-*+", (">", "```", "|"), ("![", "<", "$$")
+SENTENCE_ENDS, CLOSING, HYPHENS = ".!?。！？；;:", "”’\"')）]】", "-‐‑\u00ad"
+# Characters of note marks and what may stand around them, their number, and the size from which text is small.
+NOTE_MARKS, NOTE_EDGES, MOST_MARK, SMALL = "0123456789*†‡§", " []()（）【】.", 8, 0.85
+
 
 def reading_units(blocks: DataFrame, key: str, order: str, boundary: Column, content: Column) -> DataFrame:
     """blocks with unit: a boundary starts a new one unless nothing but headings lies between it and the boundary before."""
@@ -92,9 +100,10 @@ def promoted_headings(blocks: DataFrame, hints: DataFrame, key: str) -> DataFram
     """
     line = W.partitionBy(key).orderBy("ord")
     b = blocks.select(key, "ord", heading_key(F.col("text")).alias("_key"), ordinal(F.col("text")).alias("_ordinal"), heading_key(F.lead("text").over(line)).alias("_next"), (F.row_number().over(line) - 1).alias("_at"))
-    bare = F.regexp_replace("label", r"(?i)^(chapter|part|book)\s*", "")
-    split = r"^([^\s:.\-–—]+)[\s:.\-–—]+(.+)$"
-    h = hints.select(key, "hint", "level", "anchor", heading_key(F.col("label")).alias("_label"), heading_key(F.regexp_extract(bare, split, 1)).alias("_number"), heading_key(F.regexp_extract(bare, split, 2)).alias("_title"))
+    bare = F.regexp_replace("label", rf"(?i)^(?:{'|'.join(DIVISIONS)})\s*", "")
+    pieces = F.split(bare, rf"[{DIVIDERS}]+", 2)
+    number, title = F.when(F.size(pieces) == 2, pieces[0]).otherwise(""), F.coalesce(F.try_element_at(pieces, F.lit(2)), F.lit(""))
+    h = hints.select(key, "hint", "level", "anchor", heading_key(F.col("label")).alias("_label"), heading_key(number).alias("_number"), heading_key(title).alias("_title"))
     anchored = h.join(b.select(key, F.col("ord").alias("anchor"), F.col("_at").alias("_where")), [key, "anchor"], "left")
     near = anchored.withColumn("_at", F.explode(F.when(F.col("_where").isNotNull(), F.sequence(F.col("_where") - 1, F.col("_where") + 1)).otherwise(F.sequence(F.lit(0), F.lit(SOUGHT - 1)))))
     met = near.join(b, [key, "_at"])
@@ -137,10 +146,17 @@ def joined_pages(pages: DataFrame, key: str, page: str, text: str = "text") -> D
     line = W.partitionBy(key).orderBy(page)
     df = pages.withColumn("_p", F.split(F.regexp_replace(text, r"^\s+|\s+$", ""), r"\n\s*\n"))
     df = df.withColumns({"_tail": F.element_at("_p", -1), "_head": F.lead(F.col("_p")[0]).over(line), "_one": F.size("_p") == 1})
-    plain = lambda c: (c != "") & ~c.rlike(r"(?m)^(?:#{1,6}\s|[-*+]\s|[0-9]+[.)]\s|>|```|\|)|!\[|<|\$\$")
-    closed = F.regexp_replace("_tail", "[”’\"')）\\]】]+$", "")
-    hyphen = F.col("_tail").rlike("[-‐‑­]$")
-    ends = closed.rlike("[.!?。！？；;:]$") & ~(closed.endswith(".") & F.col("_head").rlike("^[a-z]"))
+
+    def plain(c: Column) -> Column:
+        """Prose: no line of it begins a list, heading, quote, table or code, and it holds no picture, tag or formula."""
+        marked = lambda x: x.rlike(r"^(?:#{1,6}|[0-9]+[.)]|" + f"[{LIST_MARKS}])" + r"\s") | F.array_contains(F.array(*[x.startswith(m) for m in LINE_MARKS]), True)
+        held = [c.contains(m) for m in HELD_MARKS]
+        return (c != "") & ~F.exists(F.split(c, "\n"), marked) & ~F.array_contains(F.array(*held), True)
+
+    last = lambda c: F.right(c, F.lit(1))
+    closed = F.rtrim(F.col("_tail"), F.lit(CLOSING))
+    hyphen = last(F.col("_tail")).isin(*HYPHENS)
+    ends = last(closed).isin(*SENTENCE_ENDS) & ~(closed.endswith(".") & F.col("_head").rlike("^[a-z]"))
     can = F.coalesce(plain(F.col("_tail")) & plain(F.col("_head")) & (hyphen | ~ends), F.lit(False))
     df = df.withColumn("_can", can)
     before = F.coalesce(F.lag("_can").over(line), F.lit(False))
@@ -180,10 +196,10 @@ def markdown_blocks(pages: DataFrame, key: str, text: str = "text") -> DataFrame
 def marked_references(runs: Column, paths: Column) -> Column:
     """Runs (text, link, scale, raised, role) of which those become note references that point into a section of notes, are
     small or raised, and hold nothing but a mark."""
-    mark = r"^[\s\[\]()（）【】.]*[0-9*†‡§]{1,8}[\s\[\]()（）【】.]*$"
-
     def one(r: Column) -> Column:
-        notes = r["link"].contains("#") & F.array_contains(paths, F.substring_index(r["link"], "#", 1)) & (r["role"] == "normal") & ((r["scale"] <= 0.85) | r["raised"]) & r["text"].rlike(mark)
+        mark = F.trim(F.regexp_replace(r["text"], r"\s", " "), F.lit(NOTE_EDGES))
+        is_mark = F.length(mark).between(1, MOST_MARK) & (F.translate(mark, NOTE_MARKS, "") == "")
+        notes = r["link"].contains("#") & F.array_contains(paths, F.substring_index(r["link"], "#", 1)) & (r["role"] == "normal") & ((r["scale"] <= SMALL) | r["raised"]) & is_mark
         return r.withField("role", F.when(F.coalesce(notes, F.lit(False)), "note").otherwise(r["role"]))
 
     return F.transform(runs, one)
