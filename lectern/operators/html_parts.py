@@ -20,7 +20,8 @@ def attribute(token: Column, name: str) -> Column:
 
 
 def span_of(token: Column, name: str) -> Column:
-    return F.least(F.greatest(F.coalesce(attribute(token, name).try_cast("int"), F.lit(1)), F.lit(1)), F.lit(MOST_SPAN))
+    number = F.regexp_extract(token, rf"(?i)\s{name}\s*=\s*[\"']?\s*([0-9]{{1,4}})", 1).try_cast("int")
+    return F.least(F.greatest(F.coalesce(number, F.lit(1)), F.lit(1)), F.lit(MOST_SPAN))
 
 
 def opened(df: DataFrame, column: str, names: tuple[str, ...], key: str = "id") -> DataFrame:

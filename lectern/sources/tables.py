@@ -13,11 +13,10 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def event_keys(events: DataFrame) -> DataFrame:
     """events with ms, k (from the JSON properties), book and device."""
-    k = F.get_json_object("props", "$.k").cast("int")
-    return events.withColumns({
-        "ms": F.expr("unix_millis(cast(ts as timestamp))"), "k": k,
-        "book": F.concat(F.lit("b"), k.cast("string")), "device": F.concat(F.lit("u"), F.col("user_id").cast("string")),
-    })
+    # `inline` works the text out once; a projection would be copied into every expression on its columns
+    one = F.struct(F.get_json_object("props", "$.k").cast("int").alias("k"), F.expr("unix_millis(cast(ts as timestamp))").alias("ms"))
+    return events.select("*", F.inline(F.array(one))).withColumns({
+        "book": F.concat(F.lit("b"), F.col("k").cast("string")), "device": F.concat(F.lit("u"), F.col("user_id").cast("string"))})
 
 
 def wire_events(events: DataFrame) -> DataFrame:
@@ -49,7 +48,8 @@ def typed_events(events: DataFrame) -> DataFrame:
     metadata = F.struct(F.concat(F.lit("Title "), "book").alias("title"), F.col("device").alias("authors"), F.col("ms").alias("added"))
     df = e.select(F.col("event_id").cast("string").alias("id"), "device", "book", F.col("ms").alias("at"), kind.alias("kind"), reading.alias("r"), status.alias("s"), metadata.alias("m"))
     mine = lambda name, c: F.when(F.col("kind") == name, F.col(c))
-    df = df.select("id", "device", "book", "at", "kind", mine("Reading", "r").alias("reading"), mine("Status", "s").alias("status"), mine("Metadata", "m").alias("metadata"))
+    body = F.struct("at", "kind", mine("Reading", "r").alias("reading"), mine("Status", "s").alias("status"), mine("Metadata", "m").alias("metadata"))
+    df = df.select("id", "device", "book", F.inline(F.array(body)))
     return df.withColumn("valid", F.coalesce(is_valid(), F.lit(False)))
 
 
