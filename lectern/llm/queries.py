@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lectern.llm import ann, decontaminate, extract, licences, mixing, pii, quality, secrets, simhash, tokens
+from lectern.llm import ann, decontaminate, extract, infill, licences, mixing, packing, pii, quality, resample, secrets, simhash, tokens
 from lectern.llm.common import table
 
 
@@ -63,8 +63,23 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.digest(packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json")))
+
+
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill.digest(infill.transform(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_html_extraction, op2_nearest_neighbours, op3_decontamination, op4_secret_scan, op5_quality,
-                            op6_mixing, op7_token_output, op8_pii, op9_simhash, op10_license_scan)
+                            op6_mixing, op7_token_output, op8_pii, op9_simhash, op10_license_scan,
+                            op11_packing, op12_resampling, op13_fill_in_middle)
 }
-ORACLE_SQL: dict[str, str] = {"op3_decontamination": decontaminate.ORACLE, "op6_mixing": mixing.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op3_decontamination": decontaminate.ORACLE, "op6_mixing": mixing.ORACLE, "op12_resampling": resample.ORACLE,
+                              "op13_fill_in_middle": infill.ORACLE}
