@@ -9,13 +9,20 @@ from lectern.functions.text import heading_key, ordinal
 #: Blocks at the start of a section in which a heading without an anchor is sought, indents that count as one, and spans of a table's cell.
 SOUGHT, SAME_INDENT, MOST_SPAN = 8, 4.0, 64
 
-# What a heading's label may begin with, and what divides its number from its title.
-DIVISIONS, DIVIDERS = ("chapter", "part", "book"), r"\s:.\-–—"
-# Marks of lists, of lines that are no prose, of what prose does not hold; ends of sentences, what closes after them, hyphens.
-LIST_MARKS, LINE_MARKS, HELD_MARKS = r"\-*+", (">", "```", "|"), ("![", "<", "$$")
-SENTENCE_ENDS, CLOSING, HYPHENS = ".!?。！？；;:", "”’\"')）]】", "-‐‑\u00ad"
-# Characters of note marks and what may stand around them, their number, and the size from which text is small.
-NOTE_MARKS, NOTE_EDGES, MOST_MARK, SMALL = "0123456789*†‡§", " []()（）【】.", 8, 0.85
+# Words of a heading's label that are not its number.
+DIVISIONS = ("chapter", "part", "book")
+# First words of lines that are no prose (`#` up to six times, numbers with one of NUMBER_ENDS), beginnings of such
+# lines, and what no prose holds.
+HEADING_MARK, LIST_MARKS, NUMBER_ENDS = "#", ("-", "*", "+"), (".", ")")
+LINE_BEGINNINGS, HELD = (">", "```", "|"), ("![", "<", "$$")
+# Ends of sentences, what closes after them, and hyphens.
+SENTENCE_ENDS = (".", "!", "?", "。", "！", "？", "；", ";", ":")
+CLOSING = ("”", "’", '"', "'", ")", "）", "]", "】")
+HYPHENS = ("-", "‐", "‑", "\u00ad")
+# Marks of notes, what may stand around one, most marks of one, the share of the text's size up to which a run is small.
+NOTE_MARKS = ("0", "1", "2", "3", "4", "5", "6", "7", "8", "9", "*", "†", "‡", "§")
+AROUND_MARKS = ("[", "]", "(", ")", "（", "）", "【", "】", ".")
+MOST_MARKS, SMALL = 8, 0.85
 
 
 def reading_units(blocks: DataFrame, key: str, order: str, boundary: Column, content: Column) -> DataFrame:
@@ -91,6 +98,15 @@ def list_depths(indents: Column) -> Column:
     return F.aggregate(F.transform(indents, lambda x: x.cast("double")), start, step, lambda s: s["out"])
 
 
+def numbered_label(label: Column) -> tuple[Column, Column]:
+    """Number and title of a heading's label such as "Part Two: The sea": its words, but for one that names the division, are
+    a number and a title. Both are empty if there are fewer than two."""
+    words = F.filter(F.split(label, "[^\\p{L}\\p{M}\\p{N}\\p{S}'’]+"), lambda w: w != "")
+    words = F.when(F.lower(F.try_element_at(words, F.lit(1))).isin(*DIVISIONS), F.slice(words, F.lit(2), F.size(words))).otherwise(words)
+    two = F.size(words) > 1
+    return F.when(two, words[0]).otherwise(""), F.when(two, F.array_join(F.slice(words, F.lit(2), F.size(words)), " ")).otherwise("")
+
+
 def promoted_headings(blocks: DataFrame, hints: DataFrame, key: str) -> DataFrame:
     """Blocks (key, ord, text) that a hint (key, hint, label, level, anchor) makes headings: ord, level, hint.
 
@@ -100,9 +116,7 @@ def promoted_headings(blocks: DataFrame, hints: DataFrame, key: str) -> DataFram
     """
     line = W.partitionBy(key).orderBy("ord")
     b = blocks.select(key, "ord", heading_key(F.col("text")).alias("_key"), ordinal(F.col("text")).alias("_ordinal"), heading_key(F.lead("text").over(line)).alias("_next"), (F.row_number().over(line) - 1).alias("_at"))
-    bare = F.regexp_replace("label", rf"(?i)^(?:{'|'.join(DIVISIONS)})\s*", "")
-    pieces = F.split(bare, rf"[{DIVIDERS}]+", 2)
-    number, title = F.when(F.size(pieces) == 2, pieces[0]).otherwise(""), F.coalesce(F.try_element_at(pieces, F.lit(2)), F.lit(""))
+    number, title = numbered_label(F.col("label"))
     h = hints.select(key, "hint", "level", "anchor", heading_key(F.col("label")).alias("_label"), heading_key(number).alias("_number"), heading_key(title).alias("_title"))
     anchored = h.join(b.select(key, F.col("ord").alias("anchor"), F.col("_at").alias("_where")), [key, "anchor"], "left")
     near = anchored.withColumn("_at", F.explode(F.when(F.col("_where").isNotNull(), F.sequence(F.col("_where") - 1, F.col("_where") + 1)).otherwise(F.sequence(F.lit(0), F.lit(SOUGHT - 1)))))
@@ -136,6 +150,32 @@ def cascaded(elements: DataFrame, rules: DataFrame, key: str = "element") -> Dat
     return met.where(fits).groupBy(key, "property").agg(F.max_by("value", F.struct("_s", "order")).alias("value"))
 
 
+def is_prose(paragraph: Column) -> Column:
+    """No line begins as a heading, an item of a list, a quote, code or a row of a table does, and nothing stands for a picture,
+    markup or a formula."""
+    def other(line: Column) -> Column:
+        first = F.regexp_extract(line, r"^\S+", 0)
+        alone = F.length(line) > F.length(first)
+        hashes = F.length(first).between(1, 6) & (F.translate(first, HEADING_MARK, "") == "")
+        number = F.right(first, F.lit(1)).isin(*NUMBER_ENDS) & F.substring(first, F.lit(1), F.length(first) - 1).rlike("^[0-9]+$")
+        begins = F.exists(F.array(*[F.lit(b) for b in LINE_BEGINNINGS]), line.startswith)
+        return (alone & (hashes | first.isin(*LIST_MARKS) | number)) | begins
+
+    return (paragraph != "") & ~F.exists(F.split(paragraph, "\n"), other) & ~F.exists(F.array(*[F.lit(h) for h in HELD]), paragraph.contains)
+
+
+def joining_score(tail: Column, head: Column) -> Column:
+    """How far the end of one page and the beginning of the next speak for one paragraph (above 0) or against it.
+
+    An open end speaks for it, a hyphen most of all; the end of a sentence speaks against it, but a full stop may belong to an
+    abbreviation if what follows goes on in lower case.
+    """
+    closed = F.rtrim(tail, F.lit("".join(CLOSING)))
+    hyphen, ended = F.right(tail, F.lit(1)).isin(*HYPHENS), F.right(closed, F.lit(1)).isin(*SENTENCE_ENDS)
+    short = (F.right(closed, F.lit(1)) == SENTENCE_ENDS[0]) & F.substring(head, 1, 1).between("a", "z")
+    return F.lit(1) + F.when(hyphen, 4).otherwise(0) - F.when(ended, 2).otherwise(0) + F.when(ended & short, 2).otherwise(0)
+
+
 def joined_pages(pages: DataFrame, key: str, page: str, text: str = "text") -> DataFrame:
     """pages with text in which a paragraph that a page break cuts is whole again: the first paragraph of a page moves to
     the end of the page before it, if both are prose and the earlier one does not end a sentence.
@@ -147,17 +187,8 @@ def joined_pages(pages: DataFrame, key: str, page: str, text: str = "text") -> D
     df = pages.withColumn("_p", F.split(F.regexp_replace(text, r"^\s+|\s+$", ""), r"\n\s*\n"))
     df = df.withColumns({"_tail": F.element_at("_p", -1), "_head": F.lead(F.col("_p")[0]).over(line), "_one": F.size("_p") == 1})
 
-    def plain(c: Column) -> Column:
-        """Prose: no line of it begins a list, heading, quote, table or code, and it holds no picture, tag or formula."""
-        marked = lambda x: x.rlike(r"^(?:#{1,6}|[0-9]+[.)]|" + f"[{LIST_MARKS}])" + r"\s") | F.array_contains(F.array(*[x.startswith(m) for m in LINE_MARKS]), True)
-        held = [c.contains(m) for m in HELD_MARKS]
-        return (c != "") & ~F.exists(F.split(c, "\n"), marked) & ~F.array_contains(F.array(*held), True)
-
-    last = lambda c: F.right(c, F.lit(1))
-    closed = F.rtrim(F.col("_tail"), F.lit(CLOSING))
-    hyphen = last(F.col("_tail")).isin(*HYPHENS)
-    ends = last(closed).isin(*SENTENCE_ENDS) & ~(closed.endswith(".") & F.col("_head").rlike("^[a-z]"))
-    can = F.coalesce(plain(F.col("_tail")) & plain(F.col("_head")) & (hyphen | ~ends), F.lit(False))
+    can = F.coalesce(is_prose(F.col("_tail")) & is_prose(F.col("_head")) & (joining_score(F.col("_tail"), F.col("_head")) > 0), F.lit(False))
+    hyphen = F.right(F.col("_tail"), F.lit(1)).isin(*HYPHENS)
     df = df.withColumn("_can", can)
     before = F.coalesce(F.lag("_can").over(line), F.lit(False))
     df = df.withColumn("_starts", (~(F.col("_one") & before)).cast("int")).withColumn("_run", F.sum("_starts").over(line.rowsBetween(W.unboundedPreceding, 0)))
@@ -197,8 +228,9 @@ def marked_references(runs: Column, paths: Column) -> Column:
     """Runs (text, link, scale, raised, role) of which those become note references that point into a section of notes, are
     small or raised, and hold nothing but a mark."""
     def one(r: Column) -> Column:
-        mark = F.trim(F.regexp_replace(r["text"], r"\s", " "), F.lit(NOTE_EDGES))
-        is_mark = F.length(mark).between(1, MOST_MARK) & (F.translate(mark, NOTE_MARKS, "") == "")
+        # one unbroken run of marks once everything that may stand around it is a blank
+        runs_ = F.filter(F.split(F.translate(r["text"], "".join(AROUND_MARKS), " " * len(AROUND_MARKS)), r"\s+"), lambda x: x != "")
+        is_mark = (F.size(runs_) == 1) & (F.length(runs_[0]) <= MOST_MARKS) & F.forall(F.split(runs_[0], ""), lambda c: c.isin(*NOTE_MARKS))
         notes = r["link"].contains("#") & F.array_contains(paths, F.substring_index(r["link"], "#", 1)) & (r["role"] == "normal") & ((r["scale"] <= SMALL) | r["raised"]) & is_mark
         return r.withField("role", F.when(F.coalesce(notes, F.lit(False)), "note").otherwise(r["role"]))
 

@@ -244,3 +244,51 @@ def test_files(spark, tmp_path):
     blocks = hb.blocks(spark.createDataFrame([(1, "<h1>A</h1><p>b &amp; <a href=x>c</a></p>")], "page_id long, html string"))
     back = fl.decoded_blocks(fl.encoded_blocks(blocks))
     assert sorted(map(tuple, back.collect())) == sorted(map(tuple, blocks.select(*back.columns).collect()))
+
+
+@pytest.mark.parametrize("text, want", [
+    ("Table 3", True), ("TABLE 3.", True), ("表格 十二：", True), ("表3–2", True), ("Table 1.2-3:", True), ("table一.4", True), ("Table 1.", True),
+    ("Table", False), ("Table 3 shows", False), ("Table 1..2", False), ("Table 1.:", False), ("Tables 3", False), ("Table 2.b", False), ("Table 3 .", False), ("表一.二", False), ("", False), ("4 Table", False), ("Table 3::", False)])
+def test_table_labels(spark, text, want):
+    assert one(spark, tx.standalone_table_label(F.lit(text))) is want
+
+
+@pytest.mark.parametrize("tail, head, joins", [
+    ("the long road and", "then home", True), ("the long road.", "Then home", False), ("as Mr.", "smith said", True), ("as Mr.", "Smith said", False), ("half a hy-", "phen", True), ("half­", "Way", True),
+    ("he said “yes.”", "and left", True), ("he said “yes!”", "and left", False), ("说完了。", "他走了", False), ("说完了", "他走了", True), ("(so it was)", "Then", True), ("these:", "one", False), ("ends in digits 12", "34 more", True)])
+def test_paragraphs_over_pages(spark, tail, head, joins):
+    from lectern.operators import structure as sr
+
+    assert (one(spark, sr.joining_score(F.lit(tail), F.lit(head))) > 0) is joins
+
+
+@pytest.mark.parametrize("text, want", [
+    ("plain words", True), ("two\nlines", True), ("#hashtag stays", True), ("# heading", False), ("####### seven", True), ("- item", False), ("-5 degrees", True), ("12) item", False), ("12) ", False), ("3.14 is pi", True), ("a\n> said", False),
+    ("| a | b |", False), ("x <b>y</b>", False), ("see ![p](q)", False), ("costs $5", True), ("$$x$$", False), ("", False)])
+def test_prose_paragraphs(spark, text, want):
+    from lectern.operators import structure as sr
+
+    assert one(spark, sr.is_prose(F.lit(text))) is want
+
+
+@pytest.mark.parametrize("text, want", [("[12]", "note"), (" † ", "note"), ("（*）.", "note"), ("12 13", "normal"), ("123456789", "normal"), ("12345678", "note"), ("1a", "normal"), ("[]", "normal"), ("", "normal"), ("§§", "note"), ("1-2", "normal")])
+def test_note_marks(spark, text, want):
+    from lectern.operators import structure as sr
+
+    run = F.array(F.struct(F.lit(text).alias("text"), F.lit("n#1").alias("link"), F.lit(0.8).alias("scale"), F.lit(False).alias("raised"), F.lit("normal").alias("role")))
+    assert one(spark, sr.marked_references(run, F.array(F.lit("n"))))[0]["role"] == want
+
+
+@pytest.mark.parametrize("label, want", [
+    ("Part Two: The Sea", ("Two", "The Sea")), ("chapter 3 — Rain", ("3", "Rain")), ("IV. On Trees", ("IV", "On Trees")), ("Prologue", ("", "")), ("Book One", ("", "")), ("", ("", "")), (" : 7 : Don't go", ("7", "Don't go")), ("第一章 海", ("第一章", "海"))])
+def test_numbered_labels(spark, label, want):
+    from lectern.operators import structure as sr
+
+    number, title = sr.numbered_label(F.lit(label))
+    assert (one(spark, number), one(spark, title)) == want
+
+
+@pytest.mark.parametrize("text, want", [
+    ("(see Fig. 2 and Table 3)", True), ("（图一、表二；图3）", True), ("[cf. figs 1, 2 and 3 & table 4]", True), ("[cf. figs 1, 2 & 3]", False), ("(Fig. 2 shows it)", False), ("(band Fig. 1)", False), ("(Fig. 1 AND fig. 2 / table 4)", True), ("(none)", False), ("Fig. 1", False), ("(Fig. 1]", False), ("()", False)])
+def test_media_citations(spark, text, want):
+    assert one(spark, lg.is_media_citation(F.lit(text))) is want
