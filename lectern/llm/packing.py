@@ -19,7 +19,9 @@ from __future__ import annotations
 import functools
 import heapq
 import json
+import math
 import os
+import re
 from collections.abc import Iterator
 from itertools import count
 
@@ -30,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from lectern.llm.tokens import slices
+from lectern.llm.tokens import LETTERS, NUMBERS, SPACES, Pieces, slices
 
 #: Ids of a window.
 CAPACITY = 4096
@@ -38,8 +40,11 @@ CAPACITY = 4096
 END_ID = 2
 #: Ids of a group of rests, in windows.
 GROUP_WINDOWS = 256
-#: Different words whose ids a Python worker keeps; then it begins anew.
-KEPT_WORDS = 400_000
+# Fixed value: the pattern of a pre-tokenizer whose pieces are found here for words of Latin letters up to U+017F.
+PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+PIECE_OR_END = re.compile(PIECES.replace("\\p{L}", LETTERS).replace("\\p{N}", NUMBERS).replace("\\s", SPACES) + "|\n")
+#: Other characters, and the one whose lower case is two.
+ODD = r"[^\x00-\x{12f}\x{131}-\x{17f}]"
 
 
 def differencing(sizes: np.ndarray, k: int) -> np.ndarray:
@@ -55,7 +60,7 @@ def differencing(sizes: np.ndarray, k: int) -> np.ndarray:
         (_, _, a, a_nodes), (_, _, b, b_nodes) = heapq.heappop(heap), heapq.heappop(heap)
         short = k - len(a) - len(b)
         if short >= 0:
-            sums, slots = np.r_[a, b], np.r_[a_nodes, b_nodes]
+            sums, slots = np.concatenate((a, b)), np.concatenate((a_nodes, b_nodes))
         else:
             # the last of a meet the last of b, in opposite order
             alone_a, alone_b = len(a) + short, len(b) + short
@@ -63,8 +68,8 @@ def differencing(sizes: np.ndarray, k: int) -> np.ndarray:
             new = np.arange(nodes, nodes + len(left))
             merged.append((new, left, right))
             nodes += len(left)
-            sums, slots = np.r_[a[:alone_a], b[:alone_b], a[alone_a:] + b[alone_b:][::-1]], np.r_[a_nodes[:alone_a], b_nodes[:alone_b], new]
-        order = np.argsort(-sums, kind="stable")
+            sums, slots = np.concatenate((a[:alone_a], b[:alone_b], a[alone_a:] + b[alone_b:][::-1])), np.concatenate((a_nodes[:alone_a], b_nodes[:alone_b], new))
+        order = (-sums).argsort(kind="stable")
         sums, slots = sums[order], slots[order]
         if len(sums) == k:
             sums = sums - sums[-1]
@@ -78,13 +83,17 @@ def differencing(sizes: np.ndarray, k: int) -> np.ndarray:
 
 
 def windows(sizes: np.ndarray, capacity: int = CAPACITY) -> list[list[int]]:
-    """Items by window: as few windows as hold all, more (by one, two, four ...) while one exceeds the capacity."""
-    k, step = max(1, -(-int(sizes.sum()) // capacity)), 1
+    """Items by window: as few windows as hold all, more while one exceeds the capacity: as many as would bring the mean as
+    far under it as the fullest lies over the mean, and at least one, two, four ... more."""
+    total = int(sizes.sum())
+    k, step = max(1, -(-total // capacity)), 1
     while True:
         at = differencing(sizes, k)
-        if np.bincount(at, sizes, k).max(initial=0) <= capacity:
+        fullest = int(np.bincount(at, sizes, k).max(initial=0))
+        if fullest <= capacity:
             break
-        k, step = min(k + step, len(sizes)), step * 2
+        over = fullest - total / k
+        k, step = min(max(k + step, math.ceil(total / (capacity - over)) if over < capacity else 0), len(sizes)), step * 2
     order = np.argsort(at, kind="stable")
     return [x.tolist() for x in np.split(order, np.cumsum(np.bincount(at, minlength=k))[:-1])]
 
@@ -144,7 +153,10 @@ class WordEncoder:
         with open(path, encoding="utf-8") as file:
             told = json.load(file)
         self.cuts = self.apart(told)
-        self.kept: dict[str, np.ndarray] = {}
+        before = (told.get("pre_tokenizer") or {}).get("pretokenizers", [])
+        self.by_piece = self.cuts and len(before) == 2 and before[0]["pattern"] == {"Regex": PIECES}
+        self.pieces = Pieces(self.tokenizer.model)
+        self.pieces["\n"] = b""
 
     @staticmethod
     def apart(told: dict) -> bool:
@@ -161,12 +173,23 @@ class WordEncoder:
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
-    def words(self, words: list[str]) -> list[np.ndarray]:
-        fresh = [w for w in words if w not in self.kept]
-        if len(self.kept) + len(fresh) > KEPT_WORDS:
-            self.kept, fresh = {}, words
-        self.kept.update(zip(fresh, (np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch(fresh, add_special_tokens=False)), strict=True))
-        return [self.kept[w] for w in words]
+    def words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words one after the other, plain ones first, and where each word's begin and how many they are.
+
+        Plain Latin words have nothing to compose and are lower-cased by character; they are cut into pieces all at once.
+        """
+        odd = np.asarray(pc.match_substring_regex(words, ODD)) if self.by_piece else np.ones(len(words), bool)
+        plain = words.filter(pa.array(~odd)).to_pylist()
+        parts = list(map(self.pieces.__getitem__, PIECE_OR_END.findall("\n".join([*plain, ""]).lower())))
+        at = np.cumsum(np.r_[0, np.fromiter(map(len, parts), np.int64, len(parts)) // 4])
+        # only the end of a word has no ids
+        edges = np.r_[0, at[1:][np.diff(at) == 0]]
+        rest = [self.whole(w) for w in words.filter(pa.array(odd)).to_pylist()]
+        sizes, starts = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        sizes[~odd], starts[~odd] = np.diff(edges), edges[:-1]
+        n = np.array([len(x) for x in rest], np.int64)
+        sizes[odd], starts[odd] = n, at[-1] + np.cumsum(n) - n
+        return np.concatenate([np.frombuffer(b"".join(parts), np.uint32), *rest]), starts, sizes
 
     def batch(self, texts: pa.Array) -> list[np.ndarray]:
         """Ids of each text."""
@@ -181,9 +204,7 @@ class WordEncoder:
         if len(plain):
             parts = pc.ascii_split_whitespace(texts.take(pa.array(plain)))
             told = parts.flatten().dictionary_encode()
-            ids = self.words(told.dictionary.to_pylist())
-            sizes = np.array([len(x) for x in ids], np.int64)
-            starts, every = np.cumsum(sizes) - sizes, np.concatenate([*ids, np.zeros(0, np.uint32)])
+            every, starts, sizes = self.words(told.dictionary)
             slots = np.asarray(told.indices)
             n = sizes[slots]
             at = np.r_[0, np.cumsum(n)]
