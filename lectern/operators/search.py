@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from lectern.functions.arrays import match_spans
 from lectern.functions.text import excerpt
 
 #: Hits that a search page shows, and that an assistant is given.
@@ -30,16 +31,7 @@ def places(text: Column, query: str, case_sensitive: bool = False) -> Column:
 
 def marks(text: Column, pattern: str) -> Column:
     """Array of (start, end) of non-overlapping matches of a pattern, by code points."""
-    kind = f"array<{MARK_KIND}>"
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    both = F.filter(F.zip_with(F.split(text, pattern, -1), found, lambda a, b: F.struct(F.length(a).alias("gap"), F.length(b).alias("n"))), lambda x: x["n"].isNotNull())
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
-
-    def add(s: Column, x: Column) -> Column:
-        a = s["at"] + x["gap"]
-        return F.struct((a + x["n"]).alias("at"), F.array_append(s["out"], F.struct(a.alias("start"), (a + x["n"]).alias("end"))).alias("out"))
-
-    return F.aggregate(both, start, add, lambda s: s["out"])
+    return F.transform(match_spans(text, pattern), lambda p: F.struct(p["start"].alias("start"), p["end"].alias("end")))
 
 
 def search(nodes: DataFrame, query: str, case_sensitive: bool = False, around: int = 60) -> DataFrame:

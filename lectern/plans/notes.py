@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lectern.operators import notes as nt, replica as rp, search as se, toc as tc
+from lectern.operators.ranks import placed
 from lectern.plans.registry import query
 from lectern.plans.text import NODES_SQL
 from lectern.sources.tables import event_keys, table
@@ -35,17 +36,16 @@ def own_annotations(spark, folder):
     return nt.own_visible(annotations(spark, folder), F.lit("u7")).select("id", "book")
 
 
-PLACED_SQL = "p AS (SELECT event_id AS id, CASE WHEN event_id % 11 > 0 THEN user_id % 5 END AS spine, 'n' || (event_id % 120) AS node, CASE WHEN event_id % 13 > 0 THEN CAST(floor(value) AS BIGINT) END AS o FROM events WHERE event_id < 2000)"
+PLACED_SQL = "p AS (SELECT event_id AS id, user_id AS reader, CASE WHEN event_id % 11 > 0 THEN user_id % 5 + event_id % 3 END AS spine, 'n' || (event_id % 120) AS node, CASE WHEN event_id % 13 > 0 THEN CAST(floor(value) AS BIGINT) END AS o FROM events)"
 
 
-@query(f"WITH {PLACED_SQL} SELECT id, row_number() OVER (ORDER BY spine ASC NULLS LAST, CAST(substr(node, 2) AS BIGINT), o ASC NULLS LAST, id) AS place FROM p")
+@query(f"WITH {PLACED_SQL} SELECT reader, id, row_number() OVER (PARTITION BY reader ORDER BY spine ASC NULLS LAST, CAST(substr(node, 2) AS BIGINT), o ASC NULLS LAST, id) AS place FROM p")
 def annotations_in_order(spark, folder):
-    """The list of one reader's annotations in reading order, with their places."""
-    e = table(spark, folder, "events").where("event_id < 2000")
-    rows = e.select(F.col("event_id").alias("id"), F.when(F.col("event_id") % 11 > 0, F.col("user_id") % 5).alias("spine"), F.concat(F.lit("n"), (F.col("event_id") % 120).cast("string")).alias("node"),
-                    F.when(F.col("event_id") % 13 > 0, F.floor("value")).alias("offset"))
-    ordered = rp.in_reading_order(rows).select("id").agg(F.collect_list("id").alias("ids"))
-    return ordered.select(F.posexplode("ids").alias("place", "id")).select("id", (F.col("place") + 1).cast("long").alias("place"))
+    """Every reader's annotations in reading order, with their places."""
+    e = table(spark, folder, "events")
+    rows = e.select(F.col("event_id").alias("id"), F.col("user_id").alias("reader"), F.when(F.col("event_id") % 11 > 0, F.col("user_id") % 5 + F.col("event_id") % 3).alias("spine"),
+                    F.concat(F.lit("n"), (F.col("event_id") % 120).cast("string")).alias("node"), F.when(F.col("event_id") % 13 > 0, F.floor("value")).alias("offset"))
+    return placed(rows, *rp.reading_order(), group="reader").select("reader", "id", "place")
 
 
 TITLES = ("Notes", "Endnotes 2", "  Footnote: ", "Noted", "注释", "Chapter 1", "NOTES—12")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from lectern.sources.shared import removed
+
 #: Schema of blocks as they are written and read as JSON.
 BLOCK_SCHEMA = "struct<id:bigint,ord:int,kind:string,level:int,text:string,links:bigint,node:string>"
 
@@ -31,19 +33,24 @@ def digest(df: DataFrame) -> str:
 def write_if_changed(df: DataFrame, folder: str) -> bool:
     """Write df as Parquet below the folder unless what stands there has the same rows: whether it was written.
 
-    The committer moves finished files into place, and a marker with the digest is written last, so a run that breaks off
-    leaves no marker and the next one writes again.
+    The marker with the digest goes before the rows are touched and is written again after them, so a run that breaks off
+    anywhere in between leaves none, and the next one writes.
     """
     spark, now = df.sparkSession, digest(df)
     marker = f"{folder.rstrip('/')}/_digest"
-    place = spark._jvm.org.apache.hadoop.fs.Path(marker)
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{marker}/_SUCCESS")
     if place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place) and spark.read.text(marker).first()[0] == now:
         return False
+    removed(spark, marker)
     df.write.mode("overwrite").parquet(f"{folder.rstrip('/')}/rows")
-    spark.createDataFrame([(now,)], "value string").coalesce(1).write.mode("overwrite").text(marker)
+    mark(spark, marker, now)
     return True
 
 
+def mark(spark: SparkSession, marker: str, value: str) -> None:
+    spark.createDataFrame([(value,)], "value string").coalesce(1).write.mode("overwrite").text(marker)
+
+
 def log_events(events: DataFrame, folder: str, day: Column) -> None:
     """Append diagnostics as JSON lines, a folder for each day."""
     events.withColumn("day", day).write.mode("append").partitionBy("day").json(folder)
