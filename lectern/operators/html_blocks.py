@@ -57,6 +57,21 @@ def tokens(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", mo
     return df.where("tag is null or tag <> ''")
 
 
+def in_items(blocks: DataFrame) -> DataFrame:
+    """blocks (id, at, bound: the tag it begins with, tag: that if it is a start tag) with item: whether an item of the list
+    that is open there is open. An item ends with its list, its end tag or the next item of that list."""
+    line = W.partitionBy("id").orderBy("at")
+    upto = line.rowsBetween(W.unboundedPreceding, 0)
+    lists = F.when(~F.col("bound").isin("ul", "ol", "menu"), 0).when(F.col("tag").isNotNull(), 1).otherwise(-1)
+    df = blocks.withColumn("_sum", F.sum(F.coalesce(lists, F.lit(0))).over(upto))
+    df = df.withColumn("_depth", F.col("_sum") - F.least(F.min("_sum").over(upto), F.lit(0)))
+    # what the last tag at this depth says; a new list at a depth begins without an item
+    said = (F.when((F.col("bound") == "li") & F.col("tag").isNotNull(), True).when(F.col("bound") == "li", False).when(F.col("bound").isin("ul", "ol", "menu") & F.col("tag").isNotNull(), False))
+    level = W.partitionBy("id", "_depth").orderBy("at").rowsBetween(W.unboundedPreceding, 0)
+    open_ = F.coalesce(F.last(said, ignorenulls=True).over(level), F.lit(False))
+    return df.withColumn("item", open_ & (F.col("_depth") > 0)).drop("_sum", "_depth")
+
+
 def blocks(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """id, ord (from 0), kind, level, text, length, links, bold (share of characters), node.
 
@@ -74,11 +89,13 @@ def blocks(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") ->
     df = df.withColumns({"piece": raw, "chars": F.length(raw)})
     part = F.struct("ord", "piece")
     sums = df.groupBy("id", "block").agg(
-        F.min("ord").alias("at"), F.max("opens").alias("tag"), F.sort_array(F.collect_list(F.when(F.col("chars") > 0, part))).alias("parts"),
+        F.min("ord").alias("at"), F.max("opens").alias("tag"), F.max(F.when(bounds, F.col("tag"))).alias("bound"), F.sort_array(F.collect_list(F.when(F.col("chars") > 0, part))).alias("parts"),
         F.count_if((F.col("tag") == "a") & ~F.col("closing")).alias("links"), F.sum(F.when(F.col("in_bold"), F.col("chars")).otherwise(0)).alias("bold_chars"), F.sum("chars").alias("chars"))
+    # a block begins with one tag: text behind the end of a list is an item if the list stood in one
+    sums = in_items(sums)
     joined = F.array_join(F.transform("parts", lambda p: p["piece"]), "")
     text = F.regexp_replace(F.regexp_replace(F.regexp_replace(joined, " +", " "), " ?\n ?", "\n"), "^[ \n]+|[ \n]+$", "")
-    kind = (F.when(F.col("tag").rlike("^h[1-6]$"), "heading").when(F.col("tag") == "hr", "separator").when(F.col("tag").isin("li", "dt", "dd"), "item")
+    kind = (F.when(F.col("tag").rlike("^h[1-6]$"), "heading").when(F.col("tag") == "hr", "separator").when(F.col("tag").isin("li", "dt", "dd") | (F.col("tag").isNull() & F.col("item")), "item")
             .when(F.col("tag").isin("td", "th", "caption"), "cell").when(F.col("tag") == "pre", "pre").when(F.col("tag") == "blockquote", "quote").otherwise("paragraph"))
     out = sums.withColumns({"text": text, "kind": kind, "level": F.when(F.col("tag").rlike("^h[1-6]$"), F.substring("tag", 2, 1).cast("int"))})
     out = out.where("text <> '' or kind = 'separator'").withColumn("n", F.row_number().over(W.partitionBy("id").orderBy("at")))

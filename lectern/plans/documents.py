@@ -229,6 +229,34 @@ def html_tables(spark, folder):
     return hp.tables(made_tables(spark, folder)).select("id", "row", "column", "row_span", "column_span", "header", "text", "caption")
 
 
+@query("""WITH p AS (SELECT p_partkey AS id, p_name AS t, p_size AS n FROM part)
+SELECT id, unnest([1, 1, 1, 2]) AS "table", unnest([0, 0, 1, 0]) AS row, unnest([0, 1, 0, 0]) AS "column", unnest([t || ' ' || n, 'b' || n, 'last', 'in ' || t]) AS text, unnest(['T ' || n, 'T ' || n, 'T ' || n, NULL]) AS caption FROM p""")
+def nested_tables(spark, folder):
+    """Tables in cells of tables, one for each part."""
+    t, n = F.col("p_name"), F.col("p_size").cast("string")
+    html = F.concat(F.lit("<table><caption>T "), n, F.lit("</caption><tr><td>"), t, F.lit("<table><tr><td>in "), t, F.lit("</td></tr></table>"), n, F.lit("</td><td>b"), n, F.lit("</td></tr><tr><td>last</td></tr></table>"))
+    found = hp.tables(table(spark, folder, "part").select(F.col("p_partkey").alias("page_id"), html.alias("html")))
+    return found.select("id", F.col("table").cast("int").alias("table"), "row", "column", "text", "caption")
+
+
+@query("""WITH p AS (SELECT p_partkey AS id, p_name AS t, p_size AS n, p_partkey % 5 AS k FROM part)
+SELECT id, unnest(CASE k WHEN 0 THEN ['Table ' || n || ': ' || t, 'Source: ' || t] WHEN 1 THEN ['表' || n, t] WHEN 2 THEN ['Table ' || n || '. ' || t] WHEN 3 THEN CAST([] AS VARCHAR[]) ELSE ['table caption ' || t] END) AS text,
+ unnest(CASE k WHEN 0 THEN ['table', 'table'] WHEN 1 THEN ['image', 'image'] WHEN 2 THEN ['table'] WHEN 3 THEN CAST([] AS VARCHAR[]) ELSE ['table'] END) AS carrier FROM p""")
+def claimed_captions(spark, folder):
+    """Captions and notes of tables and pictures by what they say and where they stand; sentences about tables and captions
+    between two tables belong to none."""
+    t, n, k = F.col("p_name"), F.col("p_size").cast("string"), F.col("p_partkey") % 5
+    put = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
+    cells = "<table><tr><td>x</td></tr></table>"
+    html = (F.when(k == 0, put("<div class=table-wrap><p>Table ", n, ": ", t, "</p>", cells, "<p>Source: ", t, "</p></div><p>Source: none</p>"))
+            .when(k == 1, put("<p>表", n, "</p><p>", t, "</p><p><img src=a.png></p><p>Table ", n, " shows ", t, "</p>"))
+            .when(k == 2, put("<p>Table ", n, " lists ", t, "</p>", cells, "<p>Table ", n, ". ", t, "</p><p>words</p>"))
+            .when(k == 3, put(cells, "<p>Table ", n, ": ", t, "</p>", cells)).otherwise(put("<p class='Table_Caption'>table caption ", t, "</p>", cells, "<h2>Table ", n, "</h2>")))
+    blocks = hp.table_captions(hp.flow(table(spark, folder, "part").select(F.col("p_partkey").alias("page_id"), html.alias("html"))))
+    carriers = blocks.select(F.col("id").alias("_id"), F.col("ord").alias("_ord"), F.col("kind").alias("_kind"))
+    return blocks.where("carrier is not null").join(carriers, (F.col("id") == F.col("_id")) & (F.col("carrier") == F.col("_ord"))).select("id", "text", F.col("_kind").alias("carrier"))
+
+
 def made_parts(spark, folder):
     """Pages with definition lists, pictures with and without captions, and notes."""
     p = table(spark, folder, "part")

@@ -64,11 +64,11 @@ def citation_candidates(spark, folder):
     return lg.citations(table(spark, folder, "customer").select(F.col("c_custkey").alias("id"), text.alias("text")), "id").select("id", "inside", "cites")
 
 
-@query("""WITH RECURSIVE t AS (SELECT page_id AS id, unnest(string_split(html, '')) AS c, unnest(range(length(html))) AS at FROM pages),
-b AS (SELECT id, c, at, row_number() OVER (PARTITION BY id ORDER BY at) AS n, {'(': ')', '[': ']', '（': '）', '［': '］'}[c] AS own FROM t WHERE c IN ('(', ')', '[', ']', '（', '）', '［', '］')),
+@query("""WITH RECURSIVE t AS (SELECT page_id AS id, unnest(string_split(html, '')) AS c, unnest(range(length(html))) AS pos FROM pages),
+b AS (SELECT id, c, pos, row_number() OVER (PARTITION BY id ORDER BY pos) AS n, CASE c WHEN '(' THEN ')' WHEN '[' THEN ']' WHEN '（' THEN '）' WHEN '［' THEN '］' END AS own FROM t WHERE c IN ('(', ')', '[', ']', '（', '）', '［', '］')),
 r AS (SELECT id, CAST(0 AS BIGINT) AS n, '' AS open, CAST(0 AS BIGINT) AS s, CAST(NULL AS BIGINT) AS e FROM (SELECT DISTINCT id FROM b)
- UNION ALL SELECT r.id, b.n, CASE WHEN own IS NOT NULL THEN own || open WHEN c = open[1] THEN substr(open, 2) ELSE open END, CASE WHEN open = '' THEN at ELSE s END, CASE WHEN own IS NULL AND c = open THEN at + 1 END FROM r JOIN b ON b.id = r.id AND b.n = r.n + 1)
-SELECT id, CAST(s AS INTEGER) AS start, CAST(e AS INTEGER) AS end FROM r WHERE e IS NOT NULL""".replace("{'(': ')', '[': ']', '（': '）', '［': '］'}[c]", "CASE c WHEN '(' THEN ')' WHEN '[' THEN ']' WHEN '（' THEN '）' WHEN '［' THEN '］' END"))
+ UNION ALL SELECT r.id, b.n, CASE WHEN own IS NOT NULL THEN own || open WHEN c = open[1] THEN substr(open, 2) ELSE open END, CASE WHEN open = '' THEN pos ELSE s END, CASE WHEN own IS NULL AND c = open THEN pos + 1 END FROM r JOIN b ON b.id = r.id AND b.n = r.n + 1)
+SELECT id, CAST(s AS INTEGER) AS start, CAST(e AS INTEGER) AS "end" FROM r WHERE e IS NOT NULL""")
 def nested_brackets(spark, folder):
     """Outermost passages in brackets of whole pages, markup and scripts included."""
     spans = enclosed(F.col("html"), lg.CITED_IN)
