@@ -165,3 +165,15 @@ def test_long_lines(spark, n):
     line = "He came; she (so it was. Yes.) left. “Go!” " * n
     parts = split(spark.createDataFrame([(0, line)], "i int, t string"))[0]
     assert [p["sentence"] for p in parts[:4]] == ["He came;", "she (so it was. Yes.) left.", "“Go!”", "He came;"] and len(parts) == 3 * n
+
+
+def test_easy_lines_are_read_alike(spark):
+    """Lines without quotes, brackets and colons: the expression ends sentences where reading mark by mark does."""
+    r = random.Random(3)
+    lines = ["".join(r.choice(["a", "b", " ", "A", ".", "!", "。", ",", "1", "'", "Dr", "é", "  ", "中", ". B", "? c"]) for _ in range(r.randint(0, 30))) for _ in range(600)]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "i int, t string").where(~F.col("t").rlike(st.HARD))
+    got = split(df)
+    for row in df.withColumn("c", st.cuts(F.col("t"))).collect():
+        at = [0, *row["c"], len(row["t"])]
+        want = [x for x in (row["t"][a:z].strip() for a, z in zip(at, at[1:])) if x]
+        assert [p["sentence"] for p in got.get(row["i"], [])] == want, row["t"]
