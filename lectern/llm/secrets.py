@@ -2,7 +2,7 @@
 
 Candidates are unbroken strings of key characters. Each candidate gets a class (hex, or mixed
 letters and digits), and so does each of its parts between separators (letters of one case and
-digits, or letters alone, which also need fewer vowels than words have). A window of `WINDOW`
+digits, hexadecimal digits, or letters alone, which also need fewer vowels than words have). A window of `WINDOW`
 characters slides over it; the sum of n * log2(n) over its character counts changes only by the
 counts of the character that enters and the one that leaves, which gives Shannon entropy step by step. A candidate whose best window
 reaches its class's threshold is a secret, unless it is on the allow-list: identifiers of
@@ -29,7 +29,7 @@ ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 CANDIDATE = r"(?:\G|(?<![A-Za-z0-9+/_=-]))[A-Za-z0-9+/_=-]{20,}+"
 #: Characters in a window, and the entropy (bits a character) that its class must reach in one window.
 WINDOW = 20
-ENTROPY = {"hex": 3.0, "mixed": 3.7, "lower": 3.5, "upper": 3.4, "letters": 3.75, "one case": 3.4}
+ENTROPY = {"hex": 3.0, "mixed": 3.7, "lower": 3.5, "upper": 3.4, "letters": 3.75, "one case": 3.4, "signed": 3.2}
 #: Vowels at most, as a share, of letters alone that are no words.
 VOWELS = {"letters": 0.3, "one case": 0.25}
 # Forms that look random but are not secret.
@@ -37,11 +37,14 @@ ALLOWED = (
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",  # UUID
     r"^[0-9_=/+-]*$",  # numbers alone
     r"^[A-Za-z]+$",  # one word
-    r"^[A-Za-z]*(?:[_/=+-]+[A-Za-z]*)*$",  # words joined by separators
+    r"^[A-Za-z_/=+-]*$",  # words joined by separators
     r"^(?:/[A-Za-z0-9_-]{1,19})+/?$",  # paths of short names
 )
-#: The part of a candidate with a run in order or a sample.
-SAMPLE = r"[^/_=+-]*(?i:0123456789|abcdefghijklm|qwertyuiop|example|placeholder|changeme|xxxxxx)[^/_=+-]*"
+#: Runs in order and samples, and the part of a candidate that holds one.
+SAMPLES = r"(?i:0123456789|abcdefghijklm|qwertyuiop|example|placeholder|changeme|xxxxxx)"
+SAMPLE = rf"[^/_=+-]*{SAMPLES}[^/_=+-]*"
+#: How the tokens of signed headers begin; their class needs less entropy.
+SIGNED = "eyJ"
 
 
 def _term(n: Column) -> Column:
@@ -85,21 +88,37 @@ def is_secret_part(part: Column) -> Column:
     """Letters of one case with digits, or letters alone, that reach their class's entropy."""
     vowels = F.length(F.regexp_replace(part, "[^aeiouyAEIOUY]", "")) / F.length(part)
     least = F.when(part.rlike("^(?=.*[0-9].*[0-9])(?=.*[g-z])[a-z0-9]+$"), ENTROPY["lower"]).when(part.rlike("^(?=.*[0-9].*[0-9])(?=.*[G-Z])[A-Z0-9]+$"), ENTROPY["upper"])
+    # hexadecimal digits behind a short prefix, in one case or both
+    least = least.when(part.rlike("^(?=[^0-9]*[0-9])(?=[0-9]*[A-Fa-f])[0-9A-Fa-f]+$"), ENTROPY["hex"])
     least = least.when(part.rlike("^(?:[a-z]+|[A-Z]?[a-z]+|[A-Z]+)$") & (vowels <= VOWELS["one case"]), ENTROPY["one case"])
     least = least.when(part.rlike("^(?=.*[a-z])(?=.*[A-Z].*[A-Z])[A-Za-z]+$") & (vowels <= VOWELS["letters"]), ENTROPY["letters"])
     return F.coalesce((F.length(part) >= WINDOW) & least.isNotNull() & (best_entropy(part) >= least), F.lit(False))
 
 
-def is_secret(candidate: Column) -> Column:
-    value = F.regexp_replace(candidate, SAMPLE, "")
-    hexadecimal = value.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$")
+def without_samples(candidate: Column) -> Column:
+    """The candidate without the parts between separators that hold a sample or a run in order."""
+    parts = F.regexp_extract_all(candidate, F.lit("[/_=+-]+|[^/_=+-]+"), F.lit(0))
+    return F.when(candidate.rlike(SAMPLES), F.array_join(F.filter(parts, lambda p: ~p.rlike(SAMPLES)), "")).otherwise(candidate)
+
+
+def is_allowed(value: Column) -> Column:
+    """Whether value has a form of ALLOWED. The last, which repeats a group, is told part by part: a long value would be too deep for it."""
     allowed = value.rlike(ALLOWED[0])
-    for form in ALLOWED[1:]:
+    for form in ALLOWED[1:-1]:
         allowed = allowed | value.rlike(form)
-    classes = value.rlike("[0-9]") & F.when(hexadecimal, value.rlike("[A-Fa-f]")).otherwise(value.rlike("[A-Z]") & value.rlike("[a-z]"))
-    least = F.when(hexadecimal, F.lit(ENTROPY["hex"])).otherwise(F.lit(ENTROPY["mixed"]))
-    whole = classes & ~allowed & (best_entropy(value) >= least)
-    return whole | (~value.rlike(ALLOWED[0]) & F.exists(F.split(value, "[/_=+-]+"), is_secret_part))
+    names = F.split(F.regexp_replace(value, "^/|/$", ""), "/", -1)
+    return allowed | (value.startswith("/") & ~value.rlike("[+=]") & F.forall(names, lambda n: F.length(n).between(1, 19)))
+
+
+def is_secret(candidate: Column) -> Column:
+    def told(value: Column) -> Column:
+        hexadecimal = value.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$")
+        classes = value.rlike("[0-9]") & F.when(hexadecimal, value.rlike("[A-Fa-f]")).otherwise(value.rlike("[A-Z]") & value.rlike("[a-z]"))
+        least = F.when(hexadecimal, F.lit(ENTROPY["hex"])).when(value.startswith(SIGNED), F.lit(ENTROPY["signed"])).otherwise(F.lit(ENTROPY["mixed"]))
+        whole = classes & ~is_allowed(value) & (best_entropy(value) >= least)
+        return whole | (~value.rlike(ALLOWED[0]) & F.exists(F.split(value, "[/_=+-]+"), lambda p: let(p, is_secret_part)))
+
+    return let(without_samples(candidate), told)
 
 
 def found(text: Column) -> dict[str, Column]:

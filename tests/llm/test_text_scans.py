@@ -109,6 +109,37 @@ def test_entropy_classes_and_samples(spark):
     assert got == list(range(len(secret)))
 
 
+def test_keys_with_prefixes_and_signed_tokens(spark):
+    token = "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0NTY3ODkwIiwibmFtZSI6IkFubiJ9.dBjftJeZ4CVP-mB92K27uhbUJU1p1r_wW1gFWFOEjXk"
+    texts = ["x ghp_16C7e42F292c6912E7710c838347Ae178B4a y", token, "/usr/share/doc/some-package/examples/long-name/", "a/" * 40, "-" * 60 + "1"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: [s["value"] for s in r["entropy"]] for r in secrets.scan(df).collect()}
+    assert got == {0: ["ghp_16C7e42F292c6912E7710c838347Ae178B4a"], 1: token.split("."), 2: [], 3: [], 4: []}
+
+
+def test_one_very_long_candidate(spark):
+    """Time grows with the length of one unbroken string, whatever it holds, and stays within seconds."""
+    import random
+    import time
+
+    r = random.Random(2)
+    key = lambda n: "".join(r.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/") for _ in range(n))
+
+    def seconds(text):
+        df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        began = time.perf_counter()
+        out = secrets.scan(df).collect()
+        return time.perf_counter() - began, out
+
+    seconds(key(1000))
+    half, _ = seconds(key(100_000))
+    whole, out = seconds(key(200_000))
+    assert out[0]["entropy"] and whole < 15 and whole < 3 * half + 1
+    for text in ("/abc1" * 40_000, "-" * 200_000 + "1", "a_" * 100_000, "x" * 200_000, "0123456789" * 20_000):
+        took, _ = seconds(text)
+        assert took < 15, text[:10]
+
+
 def brute_entropy_spans(text):
     """The added spans of the secret scan, step by step in plain Python."""
     base = [b for spans in brute_secrets(text).values() for b in spans]
@@ -125,6 +156,8 @@ def brute_entropy_spans(text):
             least = secrets.ENTROPY["lower"]
         elif kinds[1] and not kinds[0] and kinds[2] >= 2 and any(c in "GHIJKLMNOPQRSTUVWXYZ" for c in p):
             least = secrets.ENTROPY["upper"]
+        elif re.fullmatch("[0-9A-Fa-f]+", p) and kinds[2] and (kinds[0] or kinds[1]):
+            least = secrets.ENTROPY["hex"]
         elif p.isalpha() and (p.islower() or p.isupper() or p[1:].islower()) and vowels <= secrets.VOWELS["one case"]:
             least = secrets.ENTROPY["one case"]
         elif p.isalpha() and kinds[0] and sum(c.isupper() for c in p) >= 2 and vowels <= secrets.VOWELS["letters"]:
@@ -136,7 +169,7 @@ def brute_entropy_spans(text):
         hexa = bool(re.fullmatch("[0-9a-f]+|[0-9A-F]+", v))
         allowed = any(re.search(a, v) for a in secrets.ALLOWED)
         mixed = re.search("[0-9]", v) and (re.search("[A-Fa-f]", v) if hexa else re.search("[A-Z]", v) and re.search("[a-z]", v))
-        if mixed and not allowed and best(v) >= secrets.ENTROPY["hex" if hexa else "mixed"] - 1e-9:
+        if mixed and not allowed and best(v) >= secrets.ENTROPY["hex" if hexa else "signed" if v.startswith("eyJ") else "mixed"] - 1e-9:
             return True
         return not re.search(secrets.ALLOWED[0], v) and any(part(p) for p in re.split("[/_=+-]+", v) if p)
 
