@@ -4,11 +4,13 @@ A page is cut into text blocks. Each block has a cost for being called boilerpla
 for being called content (from the tags, classes, links, length and punctuation around it);
 neighbouring blocks and blocks under one parent pay for being called differently. The
 labelling of least total cost is a minimum cut, found by blocking flows over level graphs.
-What an element's class, id or role says is evidence of bounded weight: long prose outweighs
-it, and an element that holds most of the page's prose is no boilerplate whatever its name.
+A list or table is a node of its own, with the cost of all its text and strong edges to its
+items, so the cut decides them together. What an element's class, id or role says is evidence
+of bounded weight; it is excused where the element holds an article of its own, or where the
+page has no other prose.
 
 Defined cases: null, empty and blank html give an empty text; text without tags is one
-block; unclosed, stray and cut-off tags and comments are tolerated; pages are rows of
+block; if nothing is content, what is neither marked nor mostly links is; unclosed, stray and cut-off tags and comments are tolerated; pages are rows of
 their own, so repeated rows repeat; null ids and urls are kept; extra columns are ignored.
 """
 
@@ -38,7 +40,7 @@ UNDER = {"nav": 8.0, "footer": 8.0, "aside": 7.0, "menu": 8.0, "dialog": 7.0, "b
 MARKS = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments respond disqus cookie cookies consent footer header masthead menu nav navbar navigation navigationmenu notice alert popup modal promo promotion promoted related recommended share sharing sidebar side social sponsor sponsored subscribe newsletter signup login search toolbar widget widgets pagination pager copyright legal disclaimer complementary contentinfo".split())
 #: Marks that an id inside an article means, words that say nothing beside a mark, and first words that turn it around.
 SURE = frozenset("comment comments respond disqus sidebar share sharing related".split())
-BESIDE = frozenset("site page main top bottom left right inner outer box list area block section wrapper wrap container global primary secondary".split())
+BESIDE = frozenset("site page main top bottom left right inner outer box list area block section wrapper wrap container global primary secondary thread".split())
 TURNED = frozenset("no not non has with without hide is show".split())
 #: Costs of an element, and all below it, whose name is a mark, and of one whose name has a mark among other words.
 MARKED, HINTED = 5.0, 2.5
@@ -49,6 +51,10 @@ ATTRIBUTE = re.compile(r"([^\s/=\"'>][^\s/=>]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*
 #: Words from which a block counts as prose, and the share of the page's prose from which an element's name counts less.
 PROSE, MOSTLY = 15, 0.7
 SPLIT = re.compile(r"[^a-z]+")
+#: Elements that hold items, and the items that share their cost; the weight of an edge between them.
+HOLDERS = frozenset("ul ol dl table".split())
+ITEMS = frozenset("li dt dd td th tr caption tbody thead tfoot".split())
+TOGETHER = 4.0
 
 
 def mark(value: str, sure: bool) -> float:
@@ -63,10 +69,11 @@ def mark(value: str, sure: bool) -> float:
 
 
 class Node:
-    __slots__ = ("tag", "parent", "cost", "own", "marked", "skip", "prose")
+    __slots__ = ("tag", "parent", "cost", "own", "marked", "skip", "prose", "good", "articles")
 
     def __init__(self, tag: str, parent: Node | None, attributes: str):
-        self.tag, self.parent, self.prose, self.marked = tag, parent, 0, 0.0
+        self.tag, self.parent, self.prose, self.marked, self.articles = tag, parent, 0, 0.0, 0
+        self.good = tag in ("article", "main", "h1")
         self.skip = bool(parent and parent.skip)
         own, marked = UNDER.get(tag, 0.0), MARKED if tag == "form" else 0.0
         if tag == "header" and parent and parent.cost < 0:
@@ -79,21 +86,33 @@ class Node:
                 elif name in ("class", "id", "role"):
                     if tag not in ("body", "html") and not (name == "id" and tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6")):
                         marked = max(marked, mark(value, name != "id" or not parent or parent.cost >= -2))
-                    if own == 0 and not GOOD.isdisjoint(SPLIT.split(value)):
-                        own = -1.5
+                    if not GOOD.isdisjoint(SPLIT.split(value)):
+                        self.good = True
+                        own = own or -1.5
         self.own = marked
         before = parent.cost if parent else 0.0
         self.cost = max(before, own) if before > 3 or own > 3 else before + own
 
 
 def weigh(nodes: list[Node]) -> None:
-    """Set `marked` of every element (parents come first): its own mark and those of what it stands in, each the less
-    the more of the page's prose is under it."""
+    """Set `marked` of every element (parents come first): the largest of its own mark and those of what it stands in.
+
+    A mark is excused the more of the page's prose is under the element, but only if the element holds one article (a
+    heading of the first level, or an unmarked element called so) or if no other prose of the page is unmarked.
+    """
+    free = nodes[0].prose
+    for node in nodes[1:]:  # prose is an element's own yet, and `marked` only whether anything around is marked
+        node.marked = max(node.own, node.parent.marked)
+        free += 0 if node.marked or node.cost > 3 else node.prose
     for node in reversed(nodes[1:]):
         node.parent.prose += node.prose
+        # one within the other are the same article
+        node.parent.articles += 1 if node.good and not node.own else node.articles
     total = max(1, nodes[0].prose)
     for node in nodes[1:]:
-        above, own = node.parent.marked, node.own * min(1.0, (1 - node.prose / total) / (1 - MOSTLY))
+        above = node.parent.marked
+        excused = node.articles == 1 or free < PROSE
+        own = node.own * min(1.0, (1 - node.prose / total) / (1 - MOSTLY)) if excused else node.own
         if node.tag in ("article", "main"):  # what it stands in does not make it boilerplate, unless it is marked too (a comment)
             node.marked = above if node.own else 0.0
         else:
@@ -209,7 +228,7 @@ def cost(text: str, node: Node, links: int) -> float:
     if node.cost > 3:
         return node.cost
     z = 0.6 + node.cost + node.marked
-    if node.marked:  # long prose outweighs a mark
+    if 0 < node.marked <= HINTED:  # long prose outweighs a hint
         z -= min(2.0, max(0, words - 30) / 50)
     z += 3.0 * min(1.0, links / size) - min(2.5, words / 12)
     z -= 0.8 if text[-1] in ".!?\"'”»" else 0.0
@@ -277,20 +296,50 @@ def minimum_cut(costs: list[float], edges: list[tuple[int, int, float]]) -> list
                 u = to[e]
 
 
+def holder_of(node: Node) -> Node | None:
+    """The list or table of an item whose text stands in it directly."""
+    while node.tag in ITEMS:
+        node = node.parent
+        if node.tag in HOLDERS:
+            return node
+    return None
+
+
 def label(found: list[tuple[str, Node, int]]) -> list[bool]:
-    costs = [cost(*b) for b in found]
+    holders = [holder_of(node) for _, node, _ in found]
+    costs, places, said = [], {}, {}
+    for (text, node, links), held in zip(found, holders, strict=True):
+        c = cost(text, node, links)
+        if held is not None:
+            # what an item says of itself counts only if it is marked; the rest goes to its list
+            c = c if node.cost > 3 or node.marked > held.marked else 0.0
+            told = said.setdefault(id(held), [held, 0, 0, 0])
+            told[1:] = told[1] + text.count(" ") + 1, told[2] + len(text), told[3] + links
+        costs.append(c)
+    for key, (held, words, size, links) in said.items():
+        places[key] = len(costs)
+        z = 0.6 + held.cost + held.marked + 3.0 * min(1.0, links / size) - min(2.5, words / 12)
+        costs.append(held.cost if held.cost > 3 else z)
     edges: list[tuple[int, int, float]] = []
     last: dict[int, int] = {}
     for i, (_, node, _) in enumerate(found):
+        held = holders[i]
+        if held is not None:
+            edges.append((i, places[id(held)], TOGETHER))
         if i:
             before = found[i - 1][1]
             apart = abs(before.cost + before.marked - node.cost - node.marked)
             edges.append((i - 1, i, 1.2 if before.parent is node.parent else 0.6 if apart < 3 else 0.2))
+            # a list and the block before or behind it under the same parent
+            for j, other, beside in ((i - 1, holders[i - 1], node), (i, held, before)):
+                if other is not None and other.parent is beside.parent:
+                    edges.append((places[id(other)], i if j < i else i - 1, 1.2))
         key = id(node.parent)
         if key in last and last[key] != i - 1:
             edges.append((last[key], i, 0.6))
         last[key] = i
-    return minimum_cut(costs, edges)
+    kept = minimum_cut(costs, edges)[: len(found)]
+    return kept if any(kept) else [node.cost <= 3 and not node.marked and 2 * links < len(text) for text, node, links in found]
 
 
 def main_text(html: str | None) -> str:
