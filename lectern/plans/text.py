@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lectern.functions import text as tx
-from lectern.operators import batching as bt, search as se
+from lectern.operators import batching as bt, continuations as co, search as se
 from lectern.plans.registry import query
 from lectern.sources.tables import table
 
@@ -208,3 +208,18 @@ def glossary_pick(spark, folder):
     size = lambda x: F.length(F.to_json(F.struct(x.alias("s"), x.alias("t"))))
     ordered = F.array_sort("terms", lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).when(a < b, -1).when(a > b, 1).otherwise(0))
     return held.select("doc_id", bt.pick_skipping(ordered, size, 400, bt.GLOSSARY_MOST).alias("picked"))
+
+
+@query(r"""WITH n AS (SELECT item_id AS quote_id, lower(regexp_replace(text, '\s+', '', 'g')) AS t FROM benchmark), q AS (SELECT quote_id, substr(t, 1, length(t) // 2) || repeat('*', quote_id % 30) || substr(t, length(t) // 2 + 1 + quote_id % 7) AS q FROM n WHERE t <> ''),
+d AS (SELECT doc_id, lower(regexp_replace(text, '\s+', '', 'g')) AS t FROM documents), c AS (SELECT *, length(q) AS n, contains(t, q) AS same FROM q JOIN d ON contains(t, q) OR (length(q) >= 96 AND contains(t, substr(q, 1, 32)))),
+p AS (SELECT *, unnest(range(1, length(t) + 1)) AS i FROM c WHERE NOT same), h AS (SELECT *, list_max(list_filter(range(0, n + 1), lambda k: substr(t, i, k) = substr(q, 1, k) AND i + k - 1 <= length(t))) AS a FROM p WHERE substr(t, i, 32) = substr(q, 1, 32)),
+l AS (SELECT *, unnest(range(n - 24, n + 25)) AS z FROM h), m AS (SELECT *, least(a, z) AS b, substr(t, i, z) AS w FROM l WHERE i - 1 + z <= length(t)),
+s AS (SELECT *, least(list_max(list_filter(range(0, n + 1), lambda k: k <= z AND right(w, k) = right(q, k))), n - b, z - b) AS e FROM m)
+SELECT DISTINCT quote_id, doc_id FROM c WHERE same UNION SELECT quote_id, doc_id FROM s WHERE b >= 32 AND e >= 32 AND n - b - e <= 24 AND z - b - e <= 24""")
+def near_quote_repeats(spark, folder):
+    """Passages of the benchmark, changed in the middle, that documents repeat but for the change."""
+    b = table(spark, folder, "benchmark").select(F.col("item_id").alias("quote_id"), co.normalised(F.col("text")).alias("t")).where("t <> ''")
+    half, k = F.floor(F.length("t") / 2).cast("int"), F.col("quote_id")
+    quote = F.concat(F.substring(F.col("t"), F.lit(1), half), F.repeat(F.lit("*"), (k % 30).cast("int")), F.substring(F.col("t"), (half + 1 + k % 7).cast("int"), F.lit(2147483647)))
+    docs = table(spark, folder, "documents").select("doc_id", co.normalised(F.col("text")).alias("text"))
+    return co.near_quotes(b.select("quote_id", quote.alias("quote")), docs)
