@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window as W, functions as F
 
 from lectern.functions import text as tx
-from lectern.operators import batching as bt, language as lg, periods as pr, replica as rp, shelf as sh, structure as sr, toc as tc
+from lectern.operators import batching as bt, json_links as jl, language as lg, periods as pr, proposals as pp, replica as rp, shelf as sh, structure as sr, toc as tc
 from lectern.plans.reading import ALL_DAYS, TODAY, read
 from lectern.operators import intervals as iv
 from lectern.plans.registry import query
@@ -356,3 +356,36 @@ def annotations_by_node(spark, folder):
     e = table(spark, folder, "events").where("event_id % 3 = 0")
     g = e.groupBy("user_id", F.col("event_type").alias("node")).agg(F.count("*").alias("n"), F.sort_array(F.collect_list("event_id")).alias("ids"))
     return g.select("user_id", "node", "n", F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"))
+
+
+LINKED_SQL = """p AS (SELECT event_id, user_id, event_type, CAST(regexp_extract(props, '([0-9]+)', 1) AS INTEGER) AS k FROM events)"""
+
+
+@query(f"""WITH {LINKED_SQL}, l AS (SELECT event_id, unnest(range(4)) AS o, unnest(['https://a/' || k, 'http://b/' || user_id, 'https://a/' || k, 'http://c/' || event_type]) AS url, unnest(['k' || k, NULL, 'again', event_type]) AS title FROM p),
+f AS (SELECT event_id, url, min(o) AS o, arg_min(coalesce(title, ''), o) AS title FROM l GROUP BY 1, 2)
+SELECT event_id, row_number() OVER (PARTITION BY event_id ORDER BY o) - 1 AS ord, url, nullif(title, '') AS title FROM f""")
+def nested_links(spark, folder):
+    """Addresses at several depths of JSON made from events, repeated ones once."""
+    e = event_keys(table(spark, folder, "events"))
+    k, user, kind = F.col("k").cast("string"), F.col("user_id").cast("string"), F.col("event_type")
+    json = F.to_json(F.struct(
+        F.array(F.struct(F.concat(F.lit("https://a/"), k).alias("url"), F.concat(F.lit("k"), k).alias("title"))).alias("a"),
+        F.struct(F.struct(F.concat(F.lit("http://b/"), user).alias("uri"), F.lit(7).alias("name")).alias("x"), F.array(F.struct(F.concat(F.lit("https://a/"), k).alias("url"), F.lit("again").alias("title"))).alias("y")).alias("b"),
+        F.concat(F.lit("http://c/"), kind).alias("url"), kind.alias("name"), F.lit("http://in.text/").alias("z")))
+    return jl.links(e.select("event_id", json.alias("json")), "event_id").select("event_id", F.col("ord").cast("long").alias("ord"), "url", "title")
+
+
+@query("""WITH s AS (SELECT conv_id AS s, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS ord, turn, trim(text) AS t, turn % 5 = 3 AS image FROM conversations),
+b AS (SELECT *, lead(image) OVER w AS image2, lead(t) OVER w AS t2 FROM s WINDOW w AS (PARTITION BY s ORDER BY ord)),
+c AS (SELECT *, length(t2) BETWEEN 1 AND 300 AND len(regexp_split_to_array(t2, '\\s+')) <= 40 AND regexp_matches(t2, '\\p{L}') AND NOT regexp_matches(t2, '[?!？！]') AND NOT starts_with(lower(t2), 'someone') AND NOT starts_with(t2, '有人')
+ AND (regexp_matches(t2, '^[—–\\-(（\\[【]') OR NOT (regexp_matches(t2, '["”’」』]$') OR regexp_matches(lower(t2), '^(i|we|he|she|they|nothing|this|that|it) '))) AS credit FROM b)
+SELECT s, ord, CASE WHEN image2 IS NULL THEN 'no such block' WHEN image OR image2 THEN 'wrong blocks' WHEN NOT credit THEN 'no credit' END AS reason FROM c WHERE t <> ''""")
+def proposal_reasons(spark, folder):
+    """Quotes with the next turn as their credit, proposed for every turn; every fifth turn is a picture."""
+    c = table(spark, folder, "conversations")
+    ord_ = (F.row_number().over(W.partitionBy("conv_id").orderBy("turn")) - 1).cast("int")
+    blocks = c.select(F.col("conv_id").alias("s"), ord_.alias("ord"), F.when(F.col("turn") % 5 == 3, "image").otherwise("paragraph").alias("kind"), "text", F.lit(None).cast("array<string>").alias("body"), F.lit(None).cast("boolean").alias("credited"))
+    n = F.col("ord")
+    json = F.concat(F.lit('{"kind":"quote","body":['), n.cast("string"), F.lit('],"attribution":'), (n + 1).cast("string"), F.lit(',"alignment":null}'))
+    made = blocks.where(F.trim("text") != "").select("s", n.alias("nth"), json.alias("json"))
+    return pp.checked(made, blocks, "s").select("s", F.col("nth").cast("long").alias("ord"), "reason")
