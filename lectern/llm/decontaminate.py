@@ -15,12 +15,13 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import ahocorasick
 import numpy as np
 import pandas as pd
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from lectern.llm.common import alnum_words, map_rows, stored
 
@@ -89,17 +90,50 @@ def blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text"
     return n, ([(r["item"], r["text"]) for r in dealt.where(F.col("block") == k).collect()] for k in range(n))
 
 
-def block_by_block(df: DataFrame, benchmark: DataFrame, item_col: str, text_col: str, step: Callable[[DataFrame, Broadcast], DataFrame]) -> DataFrame:
-    """step for each block in turn. Of several blocks only one is in the driver and broadcast at a time: what it gives is written before the next."""
-    n, each = blocks(benchmark, item_col, text_col)
-    context = df.sparkSession.sparkContext
-    if n <= 1:
-        return step(df, context.broadcast(next(each, [])))
-    for block in each:
+def text_key(text: Column) -> Column:
+    return F.sha2(text.cast("binary"), 256)
+
+
+def hits_of(documents: DataFrame, text_col: str, sent: Broadcast, size: int) -> DataFrame:
+    """Per text that one block of the benchmark hits: key (its hash), items (ids as strings) and hits (words); equal texts repeat."""
+    def make() -> Callable:
+        scan, items = scanner(sent.value, size), sent.value
+
+        def one(cols: dict) -> dict:
+            out = {"key": [], "items": [], "hits": []}
+            for key, text in zip(cols["key"], cols["text"], strict=True):
+                _, mask, found = scan(text)
+                if found:
+                    out["key"].append(key)
+                    out["items"].append(sorted({str(items[i][0]) for i in found if items[i][0] is not None}))
+                    out["hits"].append(np.flatnonzero(mask).tolist())
+            return out
+
+        return one
+
+    rows = documents.where(F.length(text_col) > 0).select(text_key(F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
+    return map_rows(rows, make, "key string, items array<string>, hits array<int>")
+
+
+def hits(documents: DataFrame, benchmark: DataFrame, item_col: str, item_text_col: str, text_col: str, size: int) -> DataFrame:
+    """One row for each different text that the benchmark hits: key, items, hits.
+
+    One block of the benchmark is in the driver and broadcast at a time. Of several, what each hits is written, which is little;
+    the documents are only read again, and what the blocks say of a text is put together at the end.
+    """
+    n, each = blocks(benchmark, item_col, item_text_col)
+    context, found = documents.sparkSession.sparkContext, []
+    for block in each if n else [[]]:
         sent = context.broadcast(block)
-        df = stored(step(df, sent), "decontaminated")
-        sent.destroy()
-    return df
+        rows = hits_of(documents, text_col, sent, size)
+        if n <= 1:
+            found.append(rows)
+        else:
+            found.append(stored(rows, "benchmark-hits"))
+            sent.destroy()
+    whole = reduce(DataFrame.unionByName, found)
+    together = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_set(c))))
+    return whole.groupBy("key").agg(together("items").alias("items"), together("hits").alias("hits"))
 
 
 def decontaminate(
@@ -109,57 +143,58 @@ def decontaminate(
     """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items (sorted ids as strings)
     and spans (hit ranges of the original text, code points, end exclusive)."""
     kind = documents.schema[id_col].dataType.simpleString()
-    df = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).withColumns({
-        "n_words": F.lit(0).cast("long"), "items": F.array().cast("array<string>"), "hits": F.array().cast("array<int>")})
-
-    def step(rows: DataFrame, sent: Broadcast) -> DataFrame:
-        def make() -> Callable:
-            scan, items = scanner(sent.value, size), sent.value
-
-            def one(cols: dict) -> dict:
-                for k, text in enumerate(cols["text"]):
-                    cols["n_words"][k], mask, found = scan(text)
-                    if found:
-                        cols["hits"][k] = sorted({*cols["hits"][k], *np.flatnonzero(mask).tolist()})
-                        cols["items"][k] = sorted({*cols["items"][k], *(str(items[i][0]) for i in found if items[i][0] is not None)})
-                return cols
-
-            return one
+    df = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    n, each = blocks(benchmark, item_col, item_text_col)
+    if n <= 1:
+        sent = documents.sparkSession.sparkContext.broadcast(next(each, []))
+        return finished(df, kind, lambda: scanner(sent.value, size), lambda: sent.value)
+    met = df.withColumn("key", text_key(F.col("text"))).join(hits(documents, benchmark, item_col, item_text_col, text_col, size), "key", "left")
+    return finished(met.select("doc_id", "text", "items", "hits"), kind)
 
-        return map_rows(rows, make, f"doc_id {kind}, text string, n_words long, items array<string>, hits array<int>")
 
-    df = block_by_block(df, benchmark, item_col, item_text_col, step)
+def finished(df: DataFrame, kind: str, scan_of: Callable | None = None, items_of: Callable | None = None) -> DataFrame:
+    """The result rows of documents, whose hits are columns of df or are found here by a scanner."""
+    def make() -> Callable:
+        scan, known = (scan_of(), items_of()) if scan_of else (None, None)
 
-    def finish() -> Callable:
         def one(cols: dict) -> dict:
-            ranges = []
-            for text, n, hit in zip(cols["text"], cols["n_words"], cols["hits"], strict=True):
-                mask = np.zeros(n, bool)
-                mask[hit] = True
-                ranges.append([{"start": a, "end": b} for a, b in spans(text, mask)] if hit else [])
-            return cols | {
-                "n_hit": [len(h) for h in cols["hits"]], "n_items": [len(i) for i in cols["items"]],
-                "items_sha256": [hashlib.sha256(",".join(i).encode()).hexdigest() for i in cols["items"]],
-                "contaminated": [bool(h) for h in cols["hits"]], "spans": ranges,
-            }
+            n_words, hit, items, ranges = [], [], [], []
+            for k, text in enumerate(cols["text"]):
+                if scan:
+                    n, mask, found = scan(text)
+                    names, mask = sorted({str(known[i][0]) for i in found if known[i][0] is not None}), mask if len(found) else np.zeros(0, bool)
+                else:
+                    n, names = len(alnum_words(text)), cols["items"][k] or []
+                    mask = np.zeros(n, bool)
+                    mask[cols["hits"][k] or []] = True
+                n_words.append(n)
+                items.append(names)
+                hit.append(int(mask.sum()))
+                ranges.append([{"start": a, "end": b} for a, b in spans(text, mask)] if hit[-1] else [])
+            return {"doc_id": cols["doc_id"], "n_words": n_words, "n_hit": hit, "n_items": [len(i) for i in items], "items_sha256": [hashlib.sha256(",".join(i).encode()).hexdigest() for i in items],
+                    "contaminated": [h > 0 for h in hit], "items": items, "spans": ranges}
 
         return one
 
-    return map_rows(df, finish, f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>, spans array<struct<start: int, end: int>>")
+    return map_rows(df, make, f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>, spans array<struct<start: int, end: int>>")
 
 
 def clean(documents: DataFrame, benchmark: DataFrame, text_col: str = "text", item_text_col: str = "text", size: int = WINDOW) -> DataFrame:
     """The documents, with all their columns, in which no window of the benchmark occurs."""
-    def step(rows: DataFrame, sent: Broadcast) -> DataFrame:
-        @F.pandas_udf("boolean")
-        def occurs(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            scan = scanner(sent.value, size)
-            for texts in batches:
-                yield pd.Series([bool(scan(t)[2]) for t in texts], dtype=bool)
-
-        return rows.where(~occurs(F.col(text_col)))
-
-    return block_by_block(documents, benchmark.select(F.lit(0).alias("item_id"), F.col(item_text_col).alias("text")), "item_id", "text", step)
+    items = benchmark.select(F.lit(0).alias("item_id"), F.col(item_text_col).alias("text"))
+    n, each = blocks(items)
+    if n > 1:
+        found = hits(documents, items, "item_id", "text", text_col, size).select(F.col("key").alias("_hit_key"))
+        return documents.join(found, text_key(F.col(text_col)) == F.col("_hit_key"), "left_anti")
+    sent = documents.sparkSession.sparkContext.broadcast(next(each, []))
+
+    @F.pandas_udf("boolean")
+    def occurs(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        scan = scanner(sent.value, size)
+        for texts in batches:
+            yield pd.Series([bool(scan(t)[2]) for t in texts], dtype=bool)
+
+    return documents.where(~occurs(F.col(text_col)))
 
 
 #: DuckDB: the grams of each length that some window has, joined by their text.
