@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W, functions as F
 
 from lectern.functions import text as tx
-from lectern.operators import batching as bt, json_links as jl, language as lg, periods as pr, proposals as pp, replica as rp, shelf as sh, structure as sr, toc as tc
+from lectern.operators import batching as bt, focus as fc, json_links as jl, language as lg, periods as pr, proposals as pp, replica as rp, shelf as sh, structure as sr, toc as tc
 from lectern.plans.reading import ALL_DAYS, TODAY, read
 from lectern.operators import intervals as iv
 from lectern.plans.registry import query
@@ -87,9 +87,9 @@ def promoted_headings(spark, folder):
     return sr.promoted_headings(blocks, hints, "conv_id").select("conv_id", F.col("ord").alias("turn"), "hint")
 
 
-CASCADE_SQL = """el AS (SELECT p_partkey AS element, p_brand AS tag, 'i' || p_partkey AS id, [string_split(p_type, ' ')[1], string_split(p_type, ' ')[2]] AS classes FROM part),
-ru AS (SELECT p_partkey AS ord, CASE WHEN p_partkey % 3 = 0 THEN p_brand END AS tag, CASE WHEN p_partkey % 5 = 0 THEN 'i' || (p_partkey + 1) END AS id,
- CASE WHEN p_partkey % 3 = 0 AND p_partkey % 2 = 0 OR p_partkey % 3 > 0 AND p_partkey % 5 > 0 THEN [string_split(p_type, ' ')[1]] ELSE [] END AS classes, 'p' || (p_size % 3) AS property, 'v' || p_partkey AS value FROM part WHERE p_partkey <= 60),
+CASCADE_SQL = """el AS (SELECT p_partkey AS element, p_brand || p_partkey // 64 AS tag, 'i' || p_partkey AS id, ['c' || p_partkey // 8, string_split(p_type, ' ')[2]] AS classes FROM part),
+ru AS (SELECT p_partkey AS ord, CASE WHEN p_partkey % 3 = 0 THEN p_brand || p_partkey // 64 END AS tag, CASE WHEN p_partkey % 5 = 0 THEN 'i' || (p_partkey + 1) END AS id,
+ CASE WHEN p_partkey % 3 = 0 AND p_partkey % 2 = 0 OR p_partkey % 3 > 0 AND p_partkey % 5 > 0 THEN ['c' || p_partkey // 8] ELSE [] END AS classes, 'p' || (p_size % 3) AS property, 'v' || p_partkey AS value FROM part),
 m AS (SELECT element, property, value, CASE WHEN ru.id IS NOT NULL THEN 100 ELSE 0 END + len(ru.classes) * 10 + CASE WHEN ru.tag IS NOT NULL THEN 1 ELSE 0 END AS s, ord FROM el, ru
  WHERE (ru.tag IS NULL OR ru.tag = el.tag) AND (ru.id IS NULL OR ru.id = el.id) AND list_has_all(el.classes, ru.classes))"""
 
@@ -99,9 +99,10 @@ def style_cascade(spark, folder):
     p = table(spark, folder, "part")
     word = lambda n: F.try_element_at(F.split("p_type", " "), F.lit(n))
     k = F.col("p_partkey")
-    elements = p.select(k.alias("element"), F.col("p_brand").alias("tag"), F.concat(F.lit("i"), k.cast("string")).alias("id"), F.array(word(1), word(2)).alias("classes"))
-    classes = F.when(((k % 3 == 0) & (k % 2 == 0)) | ((k % 3 > 0) & (k % 5 > 0)), F.array(word(1))).otherwise(F.array().cast("array<string>"))
-    rules = p.where("p_partkey <= 60").select(F.when(k % 3 == 0, F.col("p_brand")).alias("tag"), F.when(k % 5 == 0, F.concat(F.lit("i"), (k + 1).cast("string"))).alias("id"), classes.alias("classes"), k.alias("order"),
+    tag, own = F.concat("p_brand", F.floor(k / 64).cast("string")), F.concat(F.lit("c"), F.floor(k / 8).cast("string"))
+    elements = p.select(k.alias("element"), tag.alias("tag"), F.concat(F.lit("i"), k.cast("string")).alias("id"), F.array(own, word(2)).alias("classes"))
+    classes = F.when(((k % 3 == 0) & (k % 2 == 0)) | ((k % 3 > 0) & (k % 5 > 0)), F.array(own)).otherwise(F.array().cast("array<string>"))
+    rules = p.select(F.when(k % 3 == 0, tag).alias("tag"), F.when(k % 5 == 0, F.concat(F.lit("i"), (k + 1).cast("string"))).alias("id"), classes.alias("classes"), k.alias("order"),
                                               F.concat(F.lit("p"), (F.col("p_size") % 3).cast("string")).alias("property"), F.concat(F.lit("v"), k.cast("string")).alias("value"))
     return sr.cascaded(elements, rules)
 
@@ -176,11 +177,11 @@ def text_slices(spark, folder):
     return table(spark, folder, "documents").select("doc_id", tx.slice_of(F.col("text"), F.lit(5), F.lit(25)).alias("part"))
 
 
-@query("""WITH c AS (SELECT conv_id, turn, role, substr(text, 1, 9) AS t, CASE WHEN role IS NOT DISTINCT FROM lag(role) OVER (PARTITION BY conv_id ORDER BY turn) THEN 0 ELSE 1 END AS s FROM (SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN 'x' ELSE role END AS role, text FROM conversations)),
+@query("""WITH c AS (SELECT conv_id, turn, role, text AS t, CASE WHEN role IS NOT DISTINCT FROM lag(role) OVER (PARTITION BY conv_id ORDER BY turn) THEN 0 ELSE 1 END AS s FROM (SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN 'x' ELSE role END AS role, text FROM conversations)),
 g AS (SELECT *, sum(s) OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS g FROM c) SELECT conv_id, CAST(g AS INTEGER) AS run, string_agg(t, '' ORDER BY turn) AS text, min(role) AS style FROM g GROUP BY conv_id, g""")
 def coalesced_runs(spark, folder):
     c = table(spark, folder, "conversations").withColumn("style", F.when(F.col("turn") % 3 == 0, "x").otherwise(F.col("role")))
-    runs = c.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", F.substring("text", 1, 9).alias("text"), "style"))).alias("runs"))
+    runs = c.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "text", "style"))).alias("runs"))
     joined = tx.coalesced(F.transform("runs", lambda r: F.struct(r["text"].alias("text"), r["style"].alias("style"))))
     return runs.select("conv_id", F.posexplode(joined).alias("run", "r")).select("conv_id", "run", "r.text", "r.style")
 
@@ -389,3 +390,21 @@ def proposal_reasons(spark, folder):
     json = F.concat(F.lit('{"kind":"quote","body":['), n.cast("string"), F.lit('],"attribution":'), (n + 1).cast("string"), F.lit(',"alignment":null}'))
     made = blocks.where(F.trim("text") != "").select("s", n.alias("nth"), json.alias("json"))
     return pp.checked(made, blocks, "s").select("s", F.col("nth").cast("long").alias("ord"), "reason")
+
+
+@query("""WITH RECURSIVE c AS (SELECT conv_id AS s, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INTEGER) AS ord, ['heading', 'paragraph', 'item', 'item', 'image', 'caption', 'separator'][(conv_id * 3 + turn * 5 + turn // 3) % 7 + 1] AS kind, CAST(turn % 2 AS INTEGER) AS d, turn % 11 = 10 AS b FROM conversations),
+g AS (SELECT s, -1 AS ord, CAST(NULL AS INTEGER) AS grp, false AS heads, CAST(NULL AS INTEGER) AS depth, '' AS kind, '' AS body, CAST(NULL AS INTEGER) AS mine FROM (SELECT DISTINCT s FROM c)
+ UNION ALL SELECT s, ord, CASE WHEN apart THEN grp WHEN joins THEN grp ELSE ord END, CASE WHEN apart THEN heads WHEN joins THEN heads AND k = 'heading' ELSE k = 'heading' END, CASE WHEN apart THEN depth WHEN k = 'item' THEN coalesce(CASE WHEN joins THEN depth END, d) END,
+  CASE WHEN apart THEN kind ELSE k END, CASE WHEN apart THEN body WHEN k <> 'image' THEN k WHEN joins THEN body ELSE '' END, CASE WHEN NOT apart THEN CASE WHEN joins THEN grp ELSE ord END END
+ FROM (SELECT c.s, c.ord, c.kind AS k, c.d, c.kind = 'separator' AS apart, CASE WHEN NOT c.b THEN g.grp END AS grp, g.heads AND NOT c.b AS heads, CASE WHEN NOT c.b THEN g.depth END AS depth, CASE WHEN c.b THEN '' ELSE g.kind END AS kind, CASE WHEN c.b THEN '' ELSE g.body END AS body,
+  NOT c.b AND g.grp IS NOT NULL AND (g.heads OR (c.kind = 'caption' AND g.kind = 'image') OR (c.kind = 'item' AND coalesce(c.d >= g.depth, false)) OR (c.kind = 'item' AND g.depth IS NULL AND g.body = 'paragraph')) AS joins FROM g JOIN c ON c.s = g.s AND c.ord = g.ord + 1))
+SELECT s, ord, mine AS "group" FROM g WHERE mine IS NOT NULL""")
+def focus_groups(spark, folder):
+    """Turns of conversations as blocks of kinds by turn, and the groups in which they are read."""
+    c = table(spark, folder, "conversations")
+    kinds = F.array(*[F.lit(k) for k in ("heading", "paragraph", "item", "item", "image", "caption", "separator")])
+    turn = F.col("turn")
+    kind = F.element_at(kinds, ((F.col("conv_id") * 3 + turn * 5 + F.floor(turn / 3)) % 7 + 1).cast("int"))
+    blocks = c.select(F.col("conv_id").alias("s"), (F.row_number().over(W.partitionBy("conv_id").orderBy("turn")) - 1).cast("int").alias("ord"), kind.alias("kind"), F.concat(F.lit("n"), turn.cast("string")).alias("node"),
+                      F.when(kind == "item", (turn % 2).cast("int")).alias("depth"), F.lit(None).cast("int").alias("list"), F.lit(False).alias("picture"), (turn % 11 == 10).alias("boundary"))
+    return fc.focus_groups(blocks, "s")
