@@ -235,3 +235,12 @@ def marked_references(runs: Column, paths: Column) -> Column:
         return r.withField("role", F.when(F.coalesce(notes, F.lit(False)), "note").otherwise(r["role"]))
 
     return F.transform(runs, one)
+
+
+def style_ratios(runs: DataFrame, *key: str) -> DataFrame:
+    """key, bold, italic and size: shares of bold and italic characters and the mean size of runs (text, bold, italic, size),
+    weighed by characters that are no white space; 0 where there are none. Null flags are false, a null size is 1."""
+    n = F.coalesce(F.length(F.regexp_replace("text", r"\s", "")), F.lit(0))
+    share = lambda c: F.coalesce(F.try_divide(F.sum(c), F.sum(n)), F.lit(0.0))
+    marked = lambda name: F.when(F.coalesce(name, F.lit(False)), n).otherwise(0)
+    return runs.groupBy(*key).agg(share(marked("bold")).alias("bold"), share(marked("italic")).alias("italic"), share(n * F.coalesce("size", F.lit(1.0))).alias("size"))

@@ -137,3 +137,23 @@ def without_overlaps(spans: DataFrame, key: str, protected: DataFrame | None = N
 
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
+
+
+def pages_of_anchors(anchors: DataFrame, pages: DataFrame, key: str) -> DataFrame:
+    """anchors (key, node, offset, progression, ...) with page: of the pages (key, node, offset, page, progression) that begin in
+    the anchor's node at or before it, the last; of those that begin at one place, the one whose progression is nearest, then the
+    smallest. Null where none does.
+
+    One ordered pass per node finds the place, an equality join the pages there.
+    """
+    starts = pages.select(key, "node", "offset", F.lit(0).alias("_k")).distinct()
+    both = starts.unionByName(anchors.select(key, "node", "offset", F.lit(1).alias("_k")).distinct())
+    line = W.partitionBy(key, "node").orderBy("offset", "_k").rowsBetween(W.unboundedPreceding, 0)
+    at = both.withColumn("_at", F.last(F.when(F.col("_k") == 0, F.col("offset")), ignorenulls=True).over(line)).where("_k = 1 and _at is not null").select(F.col(key).alias("_key"), F.col("node").alias("_node"), "_at", F.col("offset").alias("_o"))
+    p = pages.select(key, "node", F.col("offset").alias("_at"), "page", F.col("progression").alias("_p"))
+    # the progression travels with the place, so that equal anchors need no second key
+    wanted = anchors.select(F.col(key).alias("_key"), F.col("node").alias("_node"), F.col("offset").alias("_o"), F.coalesce("progression", F.lit(0.0)).alias("_want")).distinct()
+    met = at.join(wanted, ["_key", "_node", "_o"]).join(p, (F.col("_key") == F.col(key)) & (F.col("_node") == F.col("node")) & (p["_at"] == at["_at"]))
+    best = met.groupBy("_key", "_node", "_o", "_want").agg(F.min(F.struct(F.abs(F.col("_p") - F.col("_want")).alias("d"), "page"))["page"].alias("page"))
+    out = anchors.withColumn("_w", F.coalesce("progression", F.lit(0.0)))
+    return out.join(best, (F.col(key) == F.col("_key")) & (F.col("node") == F.col("_node")) & (F.col("offset") == F.col("_o")) & (F.col("_w") == F.col("_want")), "left").select(*anchors.columns, "page")

@@ -408,3 +408,36 @@ def focus_groups(spark, folder):
     blocks = c.select(F.col("conv_id").alias("s"), (F.row_number().over(W.partitionBy("conv_id").orderBy("turn")) - 1).cast("int").alias("ord"), kind.alias("kind"), F.concat(F.lit("n"), turn.cast("string")).alias("node"),
                       F.when(kind == "item", (turn % 2).cast("int")).alias("depth"), F.lit(None).cast("int").alias("list"), F.lit(False).alias("picture"), (turn % 11 == 10).alias("boundary"))
     return fc.focus_groups(blocks, "s")
+
+
+@query("""WITH e AS (SELECT event_id, user_id, CAST(floor(value / 10) AS BIGINT) AS o, round(value / 500, 3) AS prog, event_type IN ('view', 'click') AS page FROM events),
+p AS (SELECT DISTINCT user_id, o, prog, event_id AS page FROM e WHERE page), a AS (SELECT * FROM e WHERE NOT page),
+m AS (SELECT a.event_id, p.page, row_number() OVER (PARTITION BY a.event_id ORDER BY p.o DESC, abs(p.prog - a.prog), p.page) AS n FROM a JOIN p ON p.user_id = a.user_id AND p.o <= a.o)
+SELECT a.event_id, m.page FROM a LEFT JOIN m ON m.event_id = a.event_id AND n = 1""")
+def anchor_pages(spark, folder):
+    """Pages of anchors, ties by progression; views and clicks stand in for the beginnings of pages."""
+    e = table(spark, folder, "events").select("event_id", "user_id", F.lit("n").alias("node"), F.floor(F.col("value") / 10).alias("offset"), F.round(F.col("value") / 500, 3).alias("progression"), F.col("event_type").isin("view", "click").alias("_page"))
+    pages = e.where("_page").select("user_id", "node", "offset", F.col("event_id").alias("page"), "progression")
+    return tc.pages_of_anchors(e.where("not _page").drop("_page"), pages, "user_id").select("event_id", "page")
+
+
+@query(r"""WITH r AS (SELECT conv_id, length(regexp_replace(text, '\s', '', 'g')) AS n, role = 'user' AS bold, turn % 3 = 0 AS italic, 1 + turn % 4 * 0.25 AS size FROM conversations)
+SELECT conv_id, round(CASE WHEN sum(n) > 0 THEN sum(CASE WHEN bold THEN n ELSE 0 END) / sum(n) ELSE 0 END, 6) AS bold, round(CASE WHEN sum(n) > 0 THEN sum(CASE WHEN italic THEN n ELSE 0 END) / sum(n) ELSE 0 END, 6) AS italic,
+round(CASE WHEN sum(n) > 0 THEN sum(n * size) / sum(n) ELSE 0 END, 6) AS size FROM r GROUP BY 1""")
+def style_ratios(spark, folder):
+    """Shares of bold and italic text and the mean size of sections; turns stand in for runs."""
+    c = table(spark, folder, "conversations")
+    runs = c.select("conv_id", "text", (F.col("role") == "user").alias("bold"), (F.col("turn") % 3 == 0).alias("italic"), (1 + F.col("turn") % 4 * 0.25).alias("size"))
+    out = sr.style_ratios(runs, "conv_id")
+    return out.select("conv_id", *[F.round(n, 6).alias(n) for n in ("bold", "italic", "size")])
+
+
+@query("""WITH e AS (SELECT event_id, regexp_extract(props, '([0-9]+)', 1) AS k, event_type FROM events)
+SELECT event_id, CASE WHEN event_id % 4 <> 1 THEN '{"kind":"' || CASE event_type WHEN 'view' THEN 'seen' ELSE event_type END || '","in":[{"title":' || k || ',"kind":"x"}]' || CASE WHEN event_id % 4 = 2 THEN ',"title":"t"' ELSE '' END || '}' END AS json FROM e""")
+def renamed_fields(spark, folder):
+    """Keys and values renamed at every depth; null where a new key meets its own name in an object."""
+    e = event_keys(table(spark, folder, "events"))
+    k, n = F.col("k").cast("string"), F.col("event_id") % 4
+    inner = F.when(n == 1, F.concat(F.lit('{"t":'), k, F.lit(',"title":0,"kind":"x"}'))).otherwise(F.concat(F.lit('{"t":'), k, F.lit(',"kind":"x"}')))
+    json = F.concat(F.lit('{"kind":"'), "event_type", F.lit('","in":['), inner, F.lit("]"), F.when(n == 2, ',"title":"t"').otherwise(""), F.lit("}"))
+    return e.select("event_id", tx.safely_renamed_keys(tx.renamed_values(json, "kind", {"view": "seen"}), {"t": "title"}).alias("json"))
