@@ -7,8 +7,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from lectern.functions.arrays import match_spans
 from lectern.functions.text import excerpt
 
-#: Hits that a search page shows, and that an assistant is given.
-SHOWN, GIVEN = 200, 6
+#: Hits that a search page shows, that an assistant is given, and that it takes from each service.
+SHOWN, GIVEN, SERVICE = 200, 6, 5
 MARK_KIND = "struct<start:int,end:int>"
 
 
@@ -47,6 +47,14 @@ def first_hits(hits: DataFrame, n: int = SHOWN) -> DataFrame:
     return hits.orderBy("doc_id", "ord", "start").limit(n)
 
 
+def first_of_each(rows: DataFrame, group: str, *order: Column, n: int = SERVICE) -> DataFrame:
+    """The n first rows of each group, with their place. Each task keeps its own first n of a group before they meet, so a group
+    that holds most rows is no task of its own."""
+    part = W.partitionBy(group, "_part").orderBy(*order)
+    own = rows.withColumn("_part", F.spark_partition_id()).withColumn("_n", F.row_number().over(part)).where(F.col("_n") <= n)
+    return own.withColumn("place", F.row_number().over(W.partitionBy(group).orderBy(*order))).where(F.col("place") <= n).drop("_part", "_n")
+
+
 def page(nodes: DataFrame, offset: int = 0, limit: int = 40, budget: int = 14_000) -> DataFrame:
     """Per document: nodes offset to offset + limit until the budget of characters is spent; the last one is cut."""
     w = W.partitionBy("doc_id").orderBy("ord")

@@ -37,6 +37,19 @@ def search_top200(spark, folder):
     return se.first_hits(se.search(nodes(spark, folder), "the ")).select("doc_id", "ord", "start")
 
 
+@query(f"{HITS_SQL} SELECT doc_id, ord, start FROM s ORDER BY doc_id, ord, start LIMIT 6")
+def search_given(spark, folder):
+    """What an assistant is given of a search."""
+    return se.first_hits(se.search(nodes(spark, folder), "the "), se.GIVEN).select("doc_id", "ord", "start")
+
+
+@query("""WITH t AS (SELECT source, doc_id, n_chars, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS place FROM documents) SELECT source, doc_id, CAST(place AS INTEGER) AS place FROM t WHERE place <= 5""")
+def service_top5(spark, folder):
+    """The five longest documents of every source."""
+    d = table(spark, folder, "documents").select("source", "doc_id", "n_chars")
+    return se.first_of_each(d, "source", F.col("n_chars").desc(), F.col("doc_id").asc()).select("source", "doc_id", "place")
+
+
 @query("SELECT doc_id, CAST(len(regexp_extract_all(text, 'the')) AS BIGINT) AS n FROM documents")
 def search_counts(spark, folder):
     return table(spark, folder, "documents").select("doc_id", F.size(se.places(F.col("text"), "the", True)).cast("long").alias("n"))
