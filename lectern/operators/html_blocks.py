@@ -40,14 +40,14 @@ def _characters(text: Column) -> Column:
     return F.aggregate(refs, text, put)
 
 
-def tokens(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", most_chars: int | None = None) -> DataFrame:
+def tokens(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", most_chars: int | None = None, skipped: tuple[str, ...] = SKIPPED) -> DataFrame:
     """id, ord, token, tag (lower case, null for text), closing. Skipped elements and comments are left out.
 
     most_chars: pages of more characters give no rows (2 * 1024 * 1024 is a usual limit of readers); none by default.
     """
     html = F.col(html_col)
     bare = html
-    for name in SKIPPED:
+    for name in skipped:
         bare = F.regexp_replace(bare, rf"(?is)<{name}\b[^>]*>.*?</{name}\s*>", " ")
     kept = bare if most_chars is None else F.when(F.length(html) <= most_chars, bare)
     df = pages.select(F.col(id_col).alias("id"), F.posexplode(F.regexp_extract_all(kept, F.lit(TOKEN), F.lit(0))).alias("ord", "token"))

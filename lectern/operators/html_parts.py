@@ -9,6 +9,7 @@ from lectern.functions.text import begins_with_table_label, bound, is_table_note
 from lectern.operators.html_blocks import BLOCKS, decoded_entities, tokens
 from lectern.operators.language import caption_key
 from lectern.operators.structure import MOST_SPAN
+from lectern.operators.toc import parents
 
 # What an element's type or role says of a note.
 NOTE_TYPES = ("footnote", "endnote", "rearnote", "note", "doc-footnote", "doc-endnote")
@@ -238,3 +239,26 @@ def note_definitions(pages: DataFrame, id_col: str = "page_id", html_col: str =
     held = df.withColumn("_depth", depth).withColumn("_ended", ended).where("not _ended")
     out = held.groupBy("id", "note").agg(F.first(attribute(F.when(F.col("tag").isNotNull(), F.col("token")), "id"), ignorenulls=True).alias("fragment"), joined_text().alias("text"))
     return out.where("fragment is not null and text <> ''").select("id", "fragment", "text")
+
+
+def contents_tree(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
+    """id, ord (from 0), depth, parent (ord of the entry above), label, href: the entries of tables of contents, in the two forms that
+    books have: nested lists with links, and nested points with a label and content. Entries without a label are left out, and
+    what is under them moves to the entry above.
+
+    An entry is what follows its start tag up to the next tag that begins or ends an entry or a list.
+    """
+    df = tokens(pages, id_col, html_col, skipped=("script", "style", "head", "title", "doctitle", "docauthor"))
+    opens = ~F.col("closing")
+    point, item = (F.col("tag") == "navpoint") & opens, (F.col("tag") == "li") & opens
+    df = nested(nested(df, "list", ("ol", "ul", "menu")), "point", ("navpoint",))
+    upto = W.partitionBy("id").orderBy("ord").rowsBetween(W.unboundedPreceding, 0)
+    df = df.withColumn("entry", F.sum((point | item).cast("int")).over(upto)).where("entry > 0")
+    own = W.partitionBy("id", "entry").orderBy("ord").rowsBetween(W.unboundedPreceding, 0)
+    ended = F.sum((F.col("tag").isin("ol", "ul", "menu") | (F.col("tag").isin("li", "navpoint") & F.col("closing"))).cast("int")).over(own)
+    df = df.withColumn("_ended", ended).where("_ended = 0")
+    link = F.when(F.col("tag") == "a", attribute(F.col("token"), "href")).when(F.col("tag") == "content", attribute(F.col("token"), "src"))
+    found = df.groupBy("id", "entry").agg(joined_text().alias("label"), F.min_by(link, F.when(link.isNotNull(), F.col("ord"))).alias("href"), (F.max(F.when(point, F.col("point_depth")).when(item, F.col("list_depth"))) - 1).alias("depth"))
+    kept = found.where("label <> ''").withColumn("ord", F.row_number().over(W.partitionBy("id").orderBy("entry")) - 1)
+    tree = parents(kept, "id")
+    return tree.select("id", "ord", "depth", "parent", "label", "href")

@@ -239,6 +239,14 @@ def nested_tables(spark, folder):
     return found.select("id", F.col("table").cast("int").alias("table"), "row", "column", "text", "caption")
 
 
+@query(r"""WITH n AS (SELECT page_id AS id, unnest(regexp_extract_all(html, '(?s)<nav>(.*?)</nav>', 1)) AS nav FROM pages), l AS (SELECT id, unnest(regexp_extract_all(nav, '(?s)<li>(.*?)</li>', 1)) AS li, unnest(range(len(regexp_extract_all(nav, '(?s)<li>(.*?)</li>', 1)))) AS k FROM n)
+SELECT id, k AS ord, 0 AS depth, regexp_replace(li, '<[^>]*>', '', 'g') AS label, regexp_extract(li, 'href="([^"]*)"', 1) AS href FROM l""")
+def menu_entries(spark, folder):
+    """The menus of pages as tables of contents."""
+    menus = table(spark, folder, "pages").select("page_id", F.array_join(F.regexp_extract_all("html", F.lit("(?s)<nav>.*?</nav>"), F.lit(0)), "").alias("html"))
+    return hp.contents_tree(menus).select("id", F.col("ord").cast("long").alias("ord"), F.col("depth").cast("int").alias("depth"), "label", "href")
+
+
 @query("""WITH p AS (SELECT p_partkey AS id, p_name AS t, p_size AS n, p_partkey % 5 AS k FROM part)
 SELECT id, unnest(CASE k WHEN 0 THEN ['Table ' || n || ': ' || t, 'Source: ' || t] WHEN 1 THEN ['表' || n, t] WHEN 2 THEN ['Table ' || n || '. ' || t] WHEN 3 THEN CAST([] AS VARCHAR[]) ELSE ['table caption ' || t] END) AS text,
  unnest(CASE k WHEN 0 THEN ['table', 'table'] WHEN 1 THEN ['image', 'image'] WHEN 2 THEN ['table'] WHEN 3 THEN CAST([] AS VARCHAR[]) ELSE ['table'] END) AS carrier FROM p""")

@@ -98,3 +98,14 @@ def test_flow(spark):
     kinds = {r["ord"]: r["kind"] for r in got}
     assert [(r["kind"], r["text"], r["carrier"] and kinds[r["carrier"]]) for r in got] == [
         ("paragraph", "lead", None), ("paragraph", "Table 1: First", "table"), ("table", "", None), ("paragraph", "Note: n1", "table"), ("paragraph", "between", None), ("paragraph", "Table 2", "image"), ("paragraph", "A long title", "image"), ("image", "", None), ("paragraph", "Table 9 shows it", None)]
+
+
+@pytest.mark.parametrize("html, want", [
+    ("<nav epub:type='toc'><h1>Contents</h1><ol><li><a href='a.xhtml'>One &amp; only</a><ol><li><a href='a.xhtml#x'>Part <i>x</i></a></li><li><span>No link</span></li></ol></li><li><a href=b.xhtml>Two</a></li></ol></nav>",
+     [(0, 0, None, "One & only", "a.xhtml"), (1, 1, 0, "Part x", "a.xhtml#x"), (2, 1, 0, "No link", None), (3, 0, None, "Two", "b.xhtml")]),
+    ("<ncx><docTitle><text>Book</text></docTitle><navMap><navPoint id='p1'><navLabel><text>One</text></navLabel><content src='a.html'/><navPoint><navLabel><text>Deep</text></navLabel><content src='a.html#d'/></navPoint></navPoint><navPoint><navLabel><text>Two</text></navLabel><content src='b.html'/></navPoint></navMap></ncx>",
+     [(0, 0, None, "One", "a.html"), (1, 1, 0, "Deep", "a.html#d"), (2, 0, None, "Two", "b.html")]),
+    ("<ul><li><ul><li><a href=x>In</a></li></ul></li><li>After</ul>", [(0, 1, None, "In", "x"), (1, 0, None, "After", None)]), ("<p>none</p>", [])])
+def test_contents(spark, html, want):
+    got = hp.contents_tree(pages(spark, html)).orderBy("ord").collect()
+    assert [(r["ord"], r["depth"], r["parent"], r["label"], r["href"]) for r in got] == want
