@@ -42,4 +42,4 @@ def focus_groups(blocks: DataFrame, key: str) -> DataFrame:
         return bound(F.when(x["boundary"], zero.cast(STATE)).otherwise(before), of)
 
     found = scanned(F.col("b"), zero, step, STATE, lambda s: F.when(s["mine"].isNotNull(), F.struct(s["ord"].alias("ord"), s["mine"].alias("group"))), "struct<ord:int,group:int>")
-    return sections.select(key, F.inline(found))
+    return sections.select(key, F.inline_outer(found)).where("ord is not null")

@@ -116,7 +116,7 @@ def tables(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") ->
     cell = F.struct("cell", (F.col("line") - 1).cast("int").alias("row"), "row_span", "column_span", F.coalesce("header", F.lit(False)).alias("header"), "text")
     whole = texts.groupBy("id", "table").agg(F.sort_array(F.collect_list(F.when(F.col("cell") > 0, cell))).alias("cells"), F.max(F.when(F.col("cell") == 0, F.nullif("text", F.lit("")))).alias("caption"))
     told = whole.join(rows, ["id", "table"], "left").withColumn("_rows", F.coalesce("_rows", F.lit(1)))
-    placed = told.withColumn("at", grid(F.col("cells"), F.col("_rows"))).select("id", "table", "caption", F.inline(F.arrays_zip("cells", "at")))
+    placed = told.withColumn("at", grid(F.col("cells"), F.col("_rows"))).select("id", "table", "caption", F.inline_outer(F.arrays_zip("cells", "at"))).where("at is not null")  # not outer, Spark works the grid out again to see whether it is empty
     return placed.select("id", "table", "at.row", "at.column", "at.row_span", "at.column_span", "cells.header", "cells.text", "caption")
 
 
@@ -136,7 +136,7 @@ def scopes(df: DataFrame) -> DataFrame:
         return F.struct(x["ord"].alias("ord"), F.when(x["closing"], left).otherwise(opened).alias("open"))
 
     at = lambda s: F.struct(s["ord"].alias("ord"), F.coalesce(F.try_element_at(s["open"], F.lit(-1)), F.lit(-1)).alias("_scope"))
-    known = wanted.select("id", F.inline(scanned(F.col("w"), zero, step, state, at, "struct<ord:int,_scope:int>")))
+    known = wanted.select("id", F.inline_outer(scanned(F.col("w"), zero, step, state, at, "struct<ord:int,_scope:int>")))
     last = F.last("_scope", ignorenulls=True).over(W.partitionBy("id").orderBy("ord").rowsBetween(W.unboundedPreceding, 0))
     return df.join(known, ["id", "ord"], "left").withColumn("scope", F.nullif(last, F.lit(-1))).drop("_scope")
 

@@ -165,4 +165,4 @@ def annotated(texts: DataFrame, spans: DataFrame, key: str) -> DataFrame:
     nexts = F.concat(F.transform("m", lambda x: x["a"]), F.array(F.length("text")))
     pieces = F.flatten(F.zip_with(edges, nexts, lambda e, n: F.array(
         F.struct(F.substring(F.col("text"), e["a"] + 1, e["z"] - e["a"]).alias("text"), e["mark"].alias("mark")), F.struct(F.substring(F.col("text"), e["z"] + 1, n - e["z"]).alias("text"), F.lit(None).cast("string").alias("mark")))))
-    return df.select(key, F.posexplode(F.filter(pieces, lambda p: p["text"] != "")).alias("run", "_p")).select(key, "run", "_p.text", "_p.mark")
+    return df.select(key, F.posexplode_outer(F.filter(pieces, lambda p: p["text"] != "")).alias("run", "_p")).where("_p is not null").select(key, "run", "_p.text", "_p.mark")

@@ -148,7 +148,8 @@ def sentences(rows: DataFrame, key: str, text: str = "text", divide: bool = True
 
     lines = bound(pieces, lambda p: F.arrays_zip(p.alias("line"), starts(p, F.lit(0), 1).alias("at")))
     parts = F.filter(F.flatten(F.transform(lines, of_line)), lambda x: ~_blank(x["t"]))
-    each = rows.select(F.col(key), F.posexplode(parts).alias("ord", "_p"))
+    # outer: otherwise Spark works the sentences out a second time to see whether there are any
+    each = rows.select(F.col(key), F.posexplode_outer(parts).alias("ord", "_p")).where("_p is not null")
     bare, led = F.trim("_p.t", F.lit(BLANKS)), F.length("_p.t") - F.length(F.ltrim("_p.t", F.lit(BLANKS)))
     start = F.col("_p.at") + led
     return each.select(key, "ord", start.alias("start"), (start + F.length(bare)).alias("end"), bare.alias("sentence"))

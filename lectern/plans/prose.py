@@ -72,7 +72,7 @@ SELECT id, CAST(s AS INTEGER) AS start, CAST(e AS INTEGER) AS "end" FROM r WHERE
 def nested_brackets(spark, folder):
     """Outermost passages in brackets of whole pages, markup and scripts included."""
     spans = enclosed(F.col("html"), lg.CITED_IN)
-    return table(spark, folder, "pages").select(F.col("page_id").alias("id"), F.inline(spans))
+    return table(spark, folder, "pages").select(F.col("page_id").alias("id"), F.inline_outer(spans)).where("start is not null")
 
 
 @query("""WITH p AS (SELECT page_id AS id, url, page_id % 3 AS k FROM pages) SELECT id, url AS link FROM p WHERE k = 0 UNION ALL SELECT id, url || '_(c)' FROM p WHERE k = 1 UNION ALL SELECT id, 'www.z' || id || '.com' FROM p WHERE k = 1""")
