@@ -14,10 +14,10 @@ STATUSES = ("NotStarted", "Reading", "Finished")
 SESSION_MS = 30_000
 
 
-def decode(events: DataFrame, json: str = "json") -> DataFrame:
+def decode(events: DataFrame, json: str = "json", most_span: int | None = MOST_SPAN) -> DataFrame:
     """Columns id, device, book, at, kind, reading, status, metadata, valid from one JSON text per row.
 
-    The union is tagged from outside: `"Clear"`, or an object with one member named by the kind.
+    The union is tagged from outside: `"Clear"`, or an object with one member named by the kind. most_span: see `is_valid`.
     """
     # `inline` parses each text once; a projection would be copied into every filter on its fields
     head = F.from_json(json, "id string, device string, book string, at bigint, kind string")
@@ -27,7 +27,7 @@ def decode(events: DataFrame, json: str = "json") -> DataFrame:
     parsed = F.from_json("raw", f"Reading {READING}, Status {STATUS}, Metadata {METADATA}")
     df = df.select("*", F.inline(F.array(F.struct(kind.alias("kind"), parsed.alias("body"))))).drop("raw")
     df = df.withColumns({"reading": F.col("body.Reading"), "status": F.col("body.Status"), "metadata": F.col("body.Metadata")}).drop("body")
-    return df.withColumn("valid", F.coalesce(is_valid(), F.lit(False)))
+    return df.withColumn("valid", F.coalesce(is_valid(most_span), F.lit(False)))
 
 
 def is_canonical_date(text: Column) -> Column:
@@ -35,12 +35,13 @@ def is_canonical_date(text: Column) -> Column:
     return F.coalesce(F.date_format(text.try_cast("date"), "yyyy-MM-dd") == text, F.lit(False))
 
 
-def is_valid() -> Column:
+def is_valid(most_span: int | None = MOST_SPAN) -> Column:
+    """Whether an event of decoded columns keeps the limits; a reading may last most_span milliseconds, any time if that is None."""
     short = lambda c: F.length(c).between(1, MOST_TEXT)
     finite = lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf"))
     r, s, m = "reading.", "status.", "metadata."
     start, end = F.col(r + "start"), F.col(r + "end")
-    reading = (start >= 0) & (start <= end) & (end - start <= MOST_SPAN) & (F.abs(F.col(r + "offset")) <= MOST_OFFSET) & (F.length(r + "session") <= MOST_TEXT) & finite(F.col(r + "from")) & finite(F.col(r + "to"))
+    reading = (start >= 0) & (start <= end) & (F.lit(True) if most_span is None else end - start <= most_span) & (F.abs(F.col(r + "offset")) <= MOST_OFFSET) & (F.length(r + "session") <= MOST_TEXT) & finite(F.col(r + "from")) & finite(F.col(r + "to"))
     status = F.col(s + "status").isin(*STATUSES) & (F.col(s + "finished").isNull() | is_canonical_date(F.col(s + "finished")))
     metadata = F.col(m + "title").isNotNull() & F.col(m + "authors").isNotNull() & F.col(m + "added").isNotNull()
     by_kind = F.when(F.col("kind") == "Clear", True).when(F.col("kind") == "Reading", reading).when(F.col("kind") == "Status", status).when(F.col("kind") == "Metadata", metadata).otherwise(False)
