@@ -139,7 +139,8 @@ def train(features: np.ndarray, target: np.ndarray, rounds: int = 300, ridge: fl
     """Logistic regression on soft targets by accelerated gradient steps."""
     if not len(features):
         return np.zeros(DIMENSIONS), 10.0
-    x = np.c_[features, np.ones(len(features))].astype(np.float32)
+    x = np.ones((len(features), features.shape[1] + 1), np.float32)
+    x[:, :-1] = features
     balance = np.where(target >= 0.5, 0.5 / max(1e-9, (target >= 0.5).mean()), 0.5 / max(1e-9, (target < 0.5).mean()))
     target, balance = target.astype(np.float32), balance.astype(np.float32)
     steep = np.ones(x.shape[1], np.float32)
@@ -180,7 +181,9 @@ def fit(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", sa
         return step
 
     rows = map_rows(draw, features, "draw long, pattern int, x binary").orderBy("draw", "pattern", "x").limit(sample_rows).collect()
-    x = np.array([np.frombuffer(r["x"], "<f4") for r in rows], float).reshape(-1, DIMENSIONS)
+    x = np.empty((len(rows), DIMENSIONS), np.float32)  # in single precision, as sent and as fitted: the driver holds it twice
+    for i, r in enumerate(rows):
+        x[i] = np.frombuffer(r["x"], "<f4")
     return train(x, np.array([of[r["pattern"]] for r in rows]))
 
 
