@@ -21,3 +21,11 @@ def test_same_rows_over_many_tasks(spark, monkeypatch, name):
     monkeypatch.setattr(sr, "TASK_RULES", 40)
     got = QUERIES[name](spark, SF)
     assert rows(got.toPandas()) == rows(expected(ORACLE_SQL[name], SF))
+
+
+@pytest.mark.parametrize("name", ["style_cascade"])
+def test_results_of_more_rows_come_from_more_tasks(spark, monkeypatch, name):
+    monkeypatch.setattr(hb, "TASK_CHARS", 2_000, raising=False)
+    monkeypatch.setattr(sr, "TASK_RULES", 40, raising=False)
+    # 200 parts give 25,000 characters of pages, or 400 elements and rules
+    assert QUERIES[name](spark, SF).rdd.getNumPartitions() >= 10
