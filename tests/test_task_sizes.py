@@ -23,7 +23,7 @@ def test_same_rows_over_many_tasks(spark, monkeypatch, name):
     assert rows(got.toPandas()) == rows(expected(ORACLE_SQL[name], SF))
 
 
-@pytest.mark.parametrize("name", ["style_cascade"])
+@pytest.mark.parametrize("name", ["nested_tables", "style_cascade"])
 def test_results_of_more_rows_come_from_more_tasks(spark, monkeypatch, name):
     monkeypatch.setattr(hb, "TASK_CHARS", 2_000, raising=False)
     monkeypatch.setattr(sr, "TASK_RULES", 40, raising=False)
